@@ -28,7 +28,7 @@ CAPACITY = 2048
 END_ID = 1
 #: Longest piece of a tail, and windows of a block: bounds on the work of one merge, not on the data.
 PIECE = 256
-BLOCK_WINDOWS = 128
+BLOCK_WINDOWS = 256
 #: Words whose ids a worker remembers.
 MEMO = 600_000
 
@@ -131,12 +131,11 @@ def default_tokenizer() -> str:
 
 
 def cuts(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n ids: whole windows, then the tail in nearly equal pieces."""
-    whole, tail = divmod(n, capacity)
-    out = [(i * capacity, capacity) for i in range(whole)]
-    k = -(-tail // piece)
-    edges = [whole * capacity + tail * i // k for i in range(k + 1)] if k else []
-    return out + [(a, b - a) for a, b in zip(edges, edges[1:])]
+    """(start, length) of the pieces of a document of n ids: whole windows, then the tail in pieces and a remainder.
+
+    The remainders' many lengths are what lets the merges level the windows."""
+    base = n - n % capacity
+    return [(a, capacity) for a in range(0, base, capacity)] + [(a, min(piece, n - a)) for a in range(base, n, piece)]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, end_id: int = END_ID) -> DataFrame:
