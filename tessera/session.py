@@ -20,3 +20,15 @@ def build_session(app: str = "tessera", master: str | None = None, shuffle_parti
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
+
+
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it; on a cluster ship it with --py-files instead."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
