@@ -40,3 +40,17 @@ def text_chunks(text: str, size: int = 1 << 20) -> Iterator[str]:
             end += 1
         yield text[start:end]
         start = end
+
+
+def word_chunks(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words [^\\x20\\x09-\\x0D]+ of a text in UTF-8, in lists of bounded size; no word is cut."""
+    if len(raw) <= size:
+        yield raw.split()
+        return
+    start, n = 0, len(raw)
+    while start < n:
+        end = min(n, start + size)
+        while end < n and raw[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield raw[start:end].split()
+        start = end

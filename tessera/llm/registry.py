@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing
+from tessera.llm import packing, simhash
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
