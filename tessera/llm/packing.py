@@ -13,8 +13,11 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,47 +33,92 @@ END_ID = 1
 PIECE = 256
 BLOCK_WINDOWS = 256
 #: Words whose ids a worker remembers.
-MEMO = 600_000
+MEMO = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Final marks that the tokenizer splits from the letters before them.
+MARKS = frozenset(".,;:!?|)")
+#: Where Python's splitting or lower-casing differs from the tokenizer's: U+001C to U+001F and the capital sigma.
+ODD = re.compile("[\x1c-\x1f\u03a3]")
+
+
+END = "</w>"
+
+
+def letter_encoder(vocabulary: dict[str, int]):
+    """The same merges for words of letters, each with a NUL behind it in the place of the word end.
+
+    A merge's rank is its id in the file, single bytes with a word end come before all merges, and a pair can only ever merge
+    into a token of the vocabulary by the rule that made that token, so ranks of joined bytes give the same merges."""
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {}
+    for token, i in vocabulary.items():
+        body = token.removesuffix(END) if len(token) > len(END) else token
+        if all(c in byte for c in body):
+            ranks[bytes(map(byte.get, body)) + b"\0" * (body != token)] = i
+    return tiktoken.Encoding("letters", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
+
+
 class WordIds:
     """Ids of whole texts, remembered by word.
 
-    The tokenizer of the given file never joins characters across white space, so a text's ids are its words' ids in turn.
-    Python also splits at U+001C to U+001F, which the tokenizer doesn't: a text with these goes to the tokenizer whole."""
+    The tokenizer of the given file never joins characters across white space and lower-cases each character by itself, so a
+    text's ids are the ids of its lower-cased words in turn. Normalised words of letters are learned many at a time; the last id
+    of each is one that ends a word. A text with a character of ODD goes to the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for x, i in vocabulary.items() if x.endswith(END)]] = True
+        self.letters = letter_encoder(vocabulary)
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
+        self.flat = np.empty(1 << 16, np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32)
         self.starts = np.zeros(1 << 15, np.int64)  # one more than words: each word's end is the next one's start
 
-    def learn(self, words: list[str]) -> None:
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         n = len(self.code)
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        ends = self.starts[n] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = self.starts[n] + np.cumsum(counts)
         while n + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.starts[n] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, ends[-1] - self.starts[n])
+        self.flat[self.starts[n] : ends[-1]] = ids
         self.starts[n + 1 : n + 1 + len(words)] = ends
         self.code.update(zip(words, range(n, n + len(words))))
 
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn, and the number of ids of each word."""
-        if missing := set(words).difference(self.code):
-            if len(self.code) + len(missing) > MEMO:
-                self.clear()
-                missing = set(words)
-            self.learn(list(missing))
+    def learn(self, words: set[str]) -> None:
+        letters = {x for x in words if x.isalpha() and (x.isascii() or is_normalized("NFC", x))}
+        marked = [x for x in words - letters if x[-1] in MARKS and x[:-1].isalpha() and (x.isascii() or is_normalized("NFC", x))]
+        other = list(words.difference(letters, marked))
+        letters.update(x[:-1] for x in marked)
+        other += {x[-1] for x in marked}.difference(other, self.code)
+        plain = list(letters.difference(self.code))
+        for i in range(0, len(plain), 16384):
+            part = plain[i : i + 16384]
+            ids = np.array(self.letters.encode_ordinary("\0".join([*part, ""])), np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            self.add(part, ids, np.diff(ends, prepend=0))
+        for i in range(0, len(other), 4096):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(other[i : i + 4096], add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.add(other[i : i + 4096], np.fromiter(chain.from_iterable(ids), np.int64, counts.sum()), counts)
+        if marked:
+            ids, counts = self.known([y for x in marked for y in (x[:-1], x[-1])])
+            self.add(marked, ids, counts[0::2] + counts[1::2])
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
         first = self.starts[code]
         count = self.starts[code + 1] - first
@@ -78,7 +126,16 @@ class WordIds:
         total = int(before[-1]) if len(before) else 0
         return self.flat[np.repeat(first - before + count, count) + np.arange(total)], count
 
-    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, and the number of ids of each word."""
+        if missing := set(words).difference(self.code):
+            if len(self.code) + len(missing) > MEMO:
+                self.clear()
+                missing = set(words)
+            self.learn(missing)
+        return self.known(words)
+
+    def texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         held: list[str] = []
         size = 0
@@ -98,10 +155,10 @@ class WordIds:
         ends = [0]
         odd = {}
         for i, text in enumerate(texts):
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            if ODD.search(text):
                 odd[i] = self.long(text)
             else:
-                words += text.split()
+                words += text.lower().split()
             ends.append(len(words))
         ids, count = self.of_words(words)
         at = np.concatenate([[0], np.cumsum(count)])[ends]
@@ -109,9 +166,9 @@ class WordIds:
             yield odd[i] if i in odd else ids[at[i] : at[i + 1]]
 
     def long(self, text: str) -> np.ndarray:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = [self.of_words(words)[0] for x in text_chunks(text) if (words := x.split())]
+        parts = [self.of_words(words)[0] for x in text_chunks(text) if (words := x.lower().split())]
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
@@ -146,7 +203,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         tail = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), memo.texts(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), memo.texts(x.as_py() for x in batch.column(1))):
                 raw = memoryview(np.concatenate([ids.astype("<u4", copy=False), tail])).cast("B")
                 n = len(ids) + 1
                 rows += [(doc, a, k, zlib.crc32(raw[4 * a : 4 * (a + k)]), n) for a, k in cuts(n, capacity, piece)]
