@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, simhash
+from tessera.llm import decontamination, language_id, lm_scoring, packing, simhash, token_counts
 
 
 def queries() -> dict:
     return {
-        "op1_packing": packing.op1_packing,
-        "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+        f.__name__: f
+        for f in (
+            packing.op1_packing,
+            simhash.op2_simhash_near_dedup,
+            token_counts.op3_token_counts,
+            decontamination.op4_decontamination,
+            language_id.op5_language_id,
+            lm_scoring.op6_lm_scoring,
+        )
     }
 
 
