@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, language_id, lm_scoring, packing, simhash, token_counts
+from tessera.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
             decontamination.op4_decontamination,
             language_id.op5_language_id,
             lm_scoring.op6_lm_scoring,
+            quality.op7_quality_rules,
+            line_dedup.op8_substring_dedup,
         )
     }
 
