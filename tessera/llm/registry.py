@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality, simhash, token_counts
+from tessera.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality, run_index, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
             lm_scoring.op6_lm_scoring,
             quality.op7_quality_rules,
             line_dedup.op8_substring_dedup,
+            run_index.op9_suffix_array_dedup,
+            secrets.op10_secret_scans,
         )
     }
 
