@@ -152,12 +152,14 @@ def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE, keep: tuple[str, ...] =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_column().alias("text")).withColumn("h", F.xxhash64("text"))
     found = cut(candidates(texts.select("doc_id", "text", "h"), rules)).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "kinds")
     both = texts.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")), "left")
+    return both.select("doc_id", *keep, "text", all_spans(F.col("text"), F.col("kinds"), rules).alias("spans"))
+
+
+def all_spans(text: Column, kinds: Column, rules: tuple[Rule, ...]) -> Column:
+    """The spans of all rules, in order; a rule with a trigram query only runs where the index leaves it."""
     none = F.array().cast("array<struct<start:long,place:int,kind:string,end:long>>")
-    each = [
-        F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r, i)).otherwise(none) if trigram_query(r.pattern) else spans(F.col("text"), r, i)
-        for i, r in enumerate(rules)
-    ]
-    return both.select("doc_id", *keep, "text", F.array_sort(F.concat(*each)).alias("spans"))
+    each = [F.when(F.array_contains(kinds, r.kind), spans(text, r, i)).otherwise(none) if trigram_query(r.pattern) else spans(text, r, i) for i, r in enumerate(rules)]
+    return F.array_sort(F.concat(*each))
 
 
 def listed(found: Column) -> Column:
@@ -179,6 +181,21 @@ def redacted(text: Column, found: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(found) > 0, F.aggregate(found, zero, step, rest)).otherwise(text)
 
 
+def mask(docs: DataFrame, more: tuple[Rule, ...] = MORE, by: str = "[secret]") -> DataFrame:
+    """docs with the secrets masked in the text, and n_chars, if there, as the text's new length where it changed; all else as it is."""
+    rules = (*BASE, *more)
+    marked = docs.withColumn("__text", text_column()).withColumn("__h", F.xxhash64("__text"))
+    found = cut(candidates(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__text").alias("text"), F.col("__h").alias("h")), rules))
+    found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), F.col("kinds").alias("__kinds"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
+    both = marked.join(found, same, "left").withColumn("__spans", all_spans(F.col("__text"), F.col("__kinds"), rules))
+    hit = F.size("__spans") > 0
+    out = both.withColumn("text", F.when(hit, redacted(F.col("__text"), F.col("__spans"), by)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of each document."""
     found = scan(documents(spark, sf_dir))

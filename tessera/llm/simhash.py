@@ -7,6 +7,11 @@ key, with the one-bit variants on one side. The rest of the chain is tested befo
 
 Fingerprints are compared once each, however many documents share one. Links become components by star contraction.
 
+A distance that stands for a similarity of 0.8 is too wide for 64 bits. `deduplicate` therefore uses two wide
+rings: one of the text's words, whose segments of 32 bits start the chains, and one of its five-word shingles, whose full Hamming
+distance decides. Two texts meet where a whole segment is equal, are pruned if the chain from there exceeds its budget, and are compared
+with the LEADERS first texts of that segment's value, so that a group of any size makes links in proportion to its size.
+
 Defined results: a text without words has fingerprint zero and links like any other; documents that share an id have the same
 component; a null id has its own fingerprint but no say in the component's id; an empty table gives no rows.
 """
@@ -101,6 +106,124 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
     return own.join(members.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Bits of the ring of words and of the ring of shingles.
+WORD_BITS, SHINGLE_BITS = 2048, 1024
+SIMILARITY = 0.8
+#: Texts of a segment's value that the others are compared with; all pairs are, up to one text more than this.
+LEADERS = 3
+#: Bits behind the first segment in which a chain is tested, and the share of them that may differ.
+CHAIN_BITS, CHAIN_SHARE = 64, 0.34
+#: Standard deviations of the distance by which its limit exceeds the mean at the least similarity.
+MARGIN = 0.7
+
+
+
+def wide_fingerprint(hashes: np.ndarray, width: int) -> bytes:
+    """A ring of so many bits: each is 1 if it is set in over half of the distinct hashes, each spread over all bits."""
+    hashes = np.unique(hashes)
+    spread = np.arange(1, width // 32, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(width, np.int64)
+    for i in range(0, len(hashes), 4080):
+        h = hashes[i : i + 4080, None] * spread
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8), axis=1)
+        for j in range(0, len(bits), 255):  # sums of 255 rows fit in a byte
+            ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def greatest_distance(similarity: float) -> int:
+    """Differing bits up to which two rings stand for sets of at least this Jaccard similarity."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(SHINGLE_BITS * share + MARGIN * np.sqrt(SHINGLE_BITS * share * (1 - share)))
+
+
+def wide_fingerprints(texts: DataFrame, words: int) -> DataFrame:
+    """t, the segments of the words' ring, and the shingles' ring. texts: t, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, rings = [], []
+            for x in batch.column(1).cast(pa.large_binary()):
+                raw = x.as_py()
+                own = {w for part in word_chunks(raw.lower()) for w in part}
+                ring = wide_fingerprint(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), WORD_BITS)
+                starts.append(np.frombuffer(ring, "<i4").tolist())
+                rings.append(wide_fingerprint(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(raw, words, 42)]), SHINGLE_BITS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(rings, pa.binary())], names=["t", "starts", "ring"])
+
+    return texts.mapInArrow(run, "t binary, starts array<int>, ring binary")
+
+
+def meetings(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids that share a segment and whose chains stay in budget. keys: k, id, next (long each)."""
+    most = int(CHAIN_SHARE * CHAIN_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3  # the leaders of the last value so far
+        for batch in batches:
+            before = len(held[0])
+            k, ids, ahead = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns))
+            if not len(k):
+                continue
+            place = np.arange(len(k))
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), place, 0))
+            a, b = [], []
+            for j in range(LEADERS):
+                member = np.flatnonzero((place - start > j) & (place >= before))
+                leader = start[member] + j
+                near = np.bitwise_count(ahead[member] ^ ahead[leader]) <= most
+                a.append(ids[leader[near]])
+                b.append(ids[member[near]])
+            tail = slice(start[-1], min(len(k), start[-1] + LEADERS))
+            held = [k[tail], ids[tail], ahead[tail]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    dealt = keys.select("k", "id", "next").repartition("k").sortWithinPartitions("k", "id")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def within(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs whose rings differ in at most so many bits. pairs: a, b, left, right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(-1, SHINGLE_BITS // 64) for c in batch.columns[2:4])
+            near = np.bitwise_count(left ^ right).sum(axis=1) <= most
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, all columns as they are: of each group of near copies the one with the least doc_id.
+
+    Rows with equal texts are one group (null counts as empty); of rows that also share the id one stays; a null id ranks last."""
+    key = F.substring(F.unhex(F.sha2(text_column().cast("binary"), 256)), 1, 16)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"))
+    texts = docs.select(key.alias("t"), text_column().alias("text"))
+    first = docs.select(key.alias("t"), rank.alias("rank")).groupBy("t").agg(F.min("rank").alias("rank"))
+    own = wide_fingerprints(texts, words).groupBy("t").agg(F.first("starts").alias("starts"), F.first("ring").alias("ring"))
+    own = cut(own.join(first, "t").withColumn("id", F.conv(F.hex(F.substring("t", 1, 8)), 16, -10).cast("long")))
+
+    n = WORD_BITS // 32
+    at = F.col("i")
+    low = lambda c: F.col("starts")[(at + c) % n].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    keys = own.select("id", "starts", F.posexplode("starts").alias("i", "s"))
+    keys = keys.select("id", F.shiftleft(at.cast("long"), 32).bitwiseOR(low(0)).alias("k"), F.shiftleft(low(1), 32).bitwiseOR(low(2)).alias("next"))
+    pairs = meetings(keys)
+    rings = own.select("id", "ring")
+    pairs = pairs.join(rings.toDF("a", "left"), "a").join(rings.toDF("b", "right"), "b")
+    roots = components(within(pairs, greatest_distance(similarity))).select(F.col("node").alias("id"), "root")
+    groups = own.select("t", "id", "rank").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    stays = groups.groupBy("root").agg(F.min(F.struct("rank", "t")).alias("one")).select(F.col("one.t").alias("__t"), F.col("one.rank.doc_id").alias("__id"))
+    marked = docs.withColumn("__key", key)
+    kept = marked.join(stays, (F.col("__key") == F.col("__t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     out = near_duplicates(documents(spark, sf_dir))
