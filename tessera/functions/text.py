@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions import tables as T
 
@@ -60,7 +61,7 @@ def folder(learned: dict[str, str] | None = None) -> Callable[[Column], Column]:
     """Latin script, compatibility forms, no accents, lower case. learned: token to Latin token."""
     learned = dict(learned or {})
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def fold(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(lambda x: x.lower() if x.isascii() else without_marks(unicodedata.normalize("NFKC", to_latin(x, learned))).lower())
 
