@@ -67,27 +67,32 @@ def pairs(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             last = now[-1:]
 
 
+SIZE = (2 << WORD_BITS) + (1 << PAIR_BITS)
+
+
 def counted(texts: DataFrame) -> DataFrame:
-    """Sums over all texts: (block, values) with the words' and contexts' cells first and the pairs' cells behind them."""
-    size = (2 << WORD_BITS) + (1 << PAIR_BITS)
+    """Sums over the target's texts, then over all others: (block, values), with the cells of words, of contexts and of pairs.
+
+    texts: text, target (boolean)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        held: list[np.ndarray] = []
+        total = np.zeros(2 * SIZE, np.int64)
+        held: list[list[np.ndarray]] = [[], []]
         n = 0
 
         def settle() -> None:
             nonlocal held, n
-            if held:
-                total[:] += np.bincount(np.concatenate(held).astype(np.int64), minlength=size)
-            held, n = [], 0
+            for own, at in zip(held, (0, SIZE)):
+                if own:
+                    total[at : at + SIZE] += np.bincount(np.concatenate(own).astype(np.int64), minlength=SIZE)
+            held, n = [[], []], 0
 
         for batch in batches:
-            for x in batch.column(0):
+            for x, target in zip(batch.column(0), batch.column(1).to_pylist()):
                 for left, right in pairs(x.as_py()):
-                    held += [right, left + np.uint64(1 << WORD_BITS), pair_cells(left, right) + np.uint64(2 << WORD_BITS)]
+                    held[not target] += [right, left + np.uint64(1 << WORD_BITS), pair_cells(left, right) + np.uint64(2 << WORD_BITS)]
                     n += len(left)
-                    if n > 1 << 21:
+                    if n > 1 << 20:
                         settle()
         settle()
         yield from as_blocks(total, TaskContext.get().partitionId() % SALTS)
@@ -115,19 +120,15 @@ def as_blocks(total: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
 class Models:
     """Both models, from their block sums."""
 
-    def __init__(self, target: list, background: list) -> None:
-        t, b = self.whole(target), self.whole(background)
-        self.tokens = int(t[: 1 << WORD_BITS].sum())
-        scale = self.tokens / max(1, int(b[: 1 << WORD_BITS].sum()))
-        self.target = self.parts(t.astype(np.float64))
-        self.background = self.parts(b * scale)
-
-    @staticmethod
-    def whole(rows: list) -> np.ndarray:
-        out = np.zeros((2 << WORD_BITS) + (1 << PAIR_BITS), np.int64)
+    def __init__(self, rows: list) -> None:
+        sums = np.zeros(2 * SIZE, np.int64)
         for r in rows:
-            out[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(bytes(r.v), "<i8")
-        return out
+            sums[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(bytes(r.v), "<i8")
+        target, every = sums[:SIZE], sums[:SIZE] + sums[SIZE:]
+        self.tokens = int(target[: 1 << WORD_BITS].sum())
+        scale = self.tokens / max(1, int(every[: 1 << WORD_BITS].sum()))
+        self.target = self.parts(target.astype(np.float64))
+        self.background = self.parts(every * scale)
 
     @staticmethod
     def parts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,8 +157,10 @@ class Models:
 def fit(docs: DataFrame, target_ids: DataFrame) -> Models:
     """docs: doc_id, text. target_ids: doc_id of the target's documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    target = texts.join(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return Models(counted(target.select("text")).collect(), counted(texts.select("text")).collect())
+    target = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    # the labels grow with the corpus: the same join at every size, instead of a broadcast of small ones
+    marked = texts.join(target.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    return Models(counted(marked).collect())
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
