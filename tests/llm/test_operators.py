@@ -1,0 +1,422 @@
+"""Each operator against a plain version on small data."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from tessera.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality, run_index, secrets, simhash, token_counts
+from tessera.session import reach
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    reach(spark)
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def make(spark, rows):
+    reach(spark)
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_packing_round_trip(docs, texts):
+    from tokenizers import Tokenizer
+
+    out = packing.pack(docs).toPandas()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    by_doc = dict(list(out.sort_values(["doc_id", "start"]).groupby("doc_id")))
+    for doc, text in texts.items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in by_doc[doc].itertuples():
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 2048 and (g.length.cumsum() - g.length == g.offset).all()
+    assert out.length.sum() / (2048 * out.sequence_id.nunique()) > 0.95
+
+
+def test_differencing_places_all_and_levels():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 257, 900)
+    window = packing.differencing(lengths, 50)
+    loads = np.bincount(window, lengths, 50)
+    assert loads.sum() == lengths.sum() and loads.max() - loads.min() < 64
+    fitted = packing.near_equal(lengths, 2048)
+    assert np.bincount(fitted, lengths).max() <= 2048
+
+
+def test_odd_texts_have_the_tokenizers_ids():
+    memo = packing.WordIds(packing.default_tokenizer())
+    cases = ["ΑΣ ος", "a\x1cb c", "<|endoftext|> hi", "don't 'S x's", "İstanbul Å K ½", "क़क 한글", "a,b.c;;", "", " x​y"]
+    for got, text in zip(memo.texts(cases), cases):
+        assert got.tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+# ---------------------------------------------------------------- 2
+
+
+def plain_fingerprint(text):
+    w = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
+    ones = [0] * 64
+    for r in runs:
+        h = xxhash.xxh64_intdigest(r.encode(), 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(runs))
+
+
+def roots(ids, linked):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_equals_brute_force(spark, sf, texts):
+    out = {r.doc_id: r for r in simhash.op2_simhash_near_dedup(spark, sf).collect()}
+    fp = {i: plain_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3]
+    root = roots(fp, near)
+    for i in fp:
+        assert int(out[i].fingerprint, 16) == fp[i] and out[i].component_id == root[i]
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(15)]
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for b in base for _ in range(8)} | {0, 1, (1 << 64) - 1})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert got == want and len(want) > 10
+
+
+def test_wide_dedup_keeps_one_of_each_group(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(4000)]
+    rows = []
+    for g in range(12):
+        own = rng.choices(words, k=300)
+        for c in range(3):
+            copy = list(own)
+            for _ in range(c * 2):
+                copy[rng.randrange(300)] = rng.choice(words)
+            rows.append((100 * g + c, " ".join(copy)))
+    rows += [(5000 + i, " ".join(rng.choices(words, k=300))) for i in range(20)] + [(0, rows[0][1]), (None, rows[0][1])]
+    kept = sorted(r.doc_id for r in simhash.deduplicate(make(spark, rows)).collect())
+    assert kept == sorted([100 * g for g in range(12)] + [5000 + i for i in range(20)])
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_token_counts_equal_the_library(texts):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = token_counts.vocabulary(token_counts.default_vocabulary())
+    reference = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    reference.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    count = token_counts.Counter(pieces)
+    odd = ["", " ", "  a  ", "▁", "a▁b", "\n\n a\n", "<s> <0x0A>", "日本語 😀", "a\x00 b", "é" * 50, "\t\ta"]
+    for text in [*odd, *list(texts.values())[:60]]:
+        want = len(reference.encode(text).ids)
+        assert count.text(text) == want and count.text(text, size=41) == want, text[:40]
+
+
+# ---------------------------------------------------------------- 4
+
+
+def plain_tiles(item, text, k):
+    used_i, used_t, marked = [False] * len(item), [False] * len(text), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(item) and t + n < len(text) and item[p + n] == text[t + n] and not used_i[p + n] and not used_t[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        n, p, t = best
+        if n < k:
+            return marked
+        for j in range(n):
+            used_i[p + j] = used_t[t + j] = True
+        marked += n
+
+
+def test_tiling_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        item = [rng.choice("abc") for _ in range(rng.randint(3, 14))]
+        text = [rng.choice("abc") for _ in range(rng.randint(3, 22))]
+        block = decontamination.Block([(1, " ".join(item))], 3)
+        got = next((m[2] for m in block.matches(" ".join(text), 0.0)), 0)
+        assert got == plain_tiles(item, text, 3), (item, text)
+
+
+def test_reordered_passages_are_found(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    parts = item.split()
+    moved = " ".join(parts[20:] + ["x"] * 40 + parts[:20])
+    docs = make(spark, [(1, moved), (2, " ".join(parts[:8])), (3, "clean text " * 20), (4, None), (None, item)])
+    benchmark = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (10, item)], "item_id long, text string")
+    got = decontamination.contaminated(docs, benchmark, block_chars=60).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 7), (0, 10), (1, 7), (1, 10)]
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, benchmark, block_chars=60).collect()) == [2, 3, 4]
+    assert decontamination.contaminated(docs, benchmark.where("false")).count() == 0
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_language_is_predicted_on_held_out_rows(spark):
+    path = "/root/testdata/sf0.01"
+    reach(spark)
+    out = language_id.op5_language_id(spark, path).toPandas()
+    want = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang").toPandas()
+    both = out.merge(want, on="doc_id")
+    held = both[both.held_out]
+    assert (held.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in held.doc_id]).all()
+    assert len(held) > 200 and (held.lang_pred == held.lang).mean() > 0.97
+    assert out.score.between(0, 1).all()
+
+
+def test_language_of_nothing(spark):
+    docs = spark.createDataFrame([(1, None, "en"), (2, "12 !?", "en"), (3, "the words of a text", "en"), (4, "les mots", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs.select("doc_id", "text", "lang").dropna())
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "und" and got[1].score == 0 and got[4].lang_pred == "en"
+    empty = language_id.fit(docs.where("false"))
+    assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
+
+
+# ---------------------------------------------------------------- 6
+
+
+def plain_models(texts, target):
+    def counts(chosen):
+        words, context, both = (collections.Counter() for _ in range(3))
+        for t in chosen:
+            ids = lm_scoring.cells(t.lower().encode().split())
+            left = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
+            words.update(ids.tolist())
+            context.update(left.tolist())
+            both.update(lm_scoring.pair_cells(left, ids).tolist())
+        return words, context, both
+
+    return counts([texts[i] for i in target]), counts(texts.values())
+
+
+def test_scores_equal_plain_cross_entropies(spark, sf, texts):
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()} & set(texts)
+    (tw, tc, tb), (bw, bc, bb) = plain_models(texts, good)
+    scale = sum(tw.values()) / sum(bw.values())
+    size = 1 << lm_scoring.WORD_BITS
+
+    def loss(words, context, both, f, left, right, pair):
+        total = sum(words.values()) * f + lm_scoring.RAISE * size
+        p = (words[right] * f + lm_scoring.RAISE) / total
+        if context[left]:
+            p = lm_scoring.PAIR_WEIGHT * min(1, both[pair] / context[left]) + (1 - lm_scoring.PAIR_WEIGHT) * p
+        return -np.log(p)
+
+    out = {r.doc_id: r for r in lm_scoring.op6_lm_scoring(spark, sf).collect()}
+    for i in list(texts)[:25]:
+        ids = lm_scoring.cells(texts[i].lower().encode().split())
+        left = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
+        pair = lm_scoring.pair_cells(left, ids).tolist()
+        triples = list(zip(left.tolist(), ids.tolist(), pair))
+        t = np.mean([loss(tw, tc, tb, 1, *x) for x in triples])
+        b = np.mean([loss(bw, bc, bb, scale, *x) for x in triples])
+        assert out[i].n_tokens == len(ids) and out[i].score == pytest.approx(t - b, abs=1e-4)
+
+
+def test_scores_of_nothing(spark):
+    docs = make(spark, [(1, None), (2, ""), (3, "a b a b"), (3, "a b")])
+    got = lm_scoring.score(docs, lm_scoring.fit(docs, docs.where("doc_id = 3"))).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.score is None) for r in got) == [(1, 0, True), (2, 0, True), (3, 2, False), (3, 4, False)]
+    assert all(r.score is None for r in lm_scoring.score(docs, lm_scoring.fit(docs, docs.where("false"))).collect())
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_quality_measures_equal_plain_ones(spark, sf, texts):
+    for r in quality.op7_quality_rules(spark, sf).collect():
+        x = texts[r.doc_id]
+        w = re.findall(WORD, x)
+        windows = list(zip(w, w[1:], w[2:]))
+        n = collections.Counter(windows)
+        inside = {j for i, k in enumerate(windows) if n[k] > 1 for j in (i, i + 1, i + 2)}
+        seen, repeated = set(), 0
+        for line in x.split("\n"):
+            if re.search(WORD, line):
+                repeated += line in seen
+                seen.add(line)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), repeated, len(inside))
+        assert r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
+
+
+def test_depleted_documents_go_and_copies_stay(spark):
+    reach(spark)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    own = lambda n: " ".join(word() for _ in range(n))
+    menu = [own(12) for _ in range(6)]
+    long = "\n".join(own(40) for _ in range(4))
+    rows = [(i, "\n".join([*menu, own(10)]), "h") for i in range(20)] + [(100 + i, "\n".join([menu[0], own(30), own(30)]), "h") for i in range(20)]
+    rows += [(200 + i, long + f"\nx{i}", "h") for i in range(20)] + [(300, "\n".join([*menu, own(10)]), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in quality.keep(docs).collect()) == [*range(100, 120), *range(200, 220), 300]
+
+
+# ---------------------------------------------------------------- 8
+
+
+def test_line_dedup_equals_plain(spark, docs, texts):
+    first, want = {}, set()
+    for i in sorted(texts):
+        at = 0
+        for unit, line in enumerate(texts[i].split("\n")):
+            key = " ".join(line.lower().split())
+            if len(key.split()) >= 5:
+                if key in first:
+                    want.add((i, unit, at, at + len(line), *first[key]))
+                first.setdefault(key, (i, unit))
+            at += len(line) + 1
+    got = {(r.doc_id, r.unit, r.start, r.end, r.kept_doc_id, r.kept_unit) for r in line_dedup.repeats(docs).collect()}
+    assert got == want and want
+
+
+def test_line_dedup_text_and_order(spark):
+    line = "one two three four five"
+    rows = [(2, f"a\n{line}\nb"), (1, f"{line}\nc"), (None, line), (3, None), (1, f"{line.upper()}\nd")]
+    got = sorted(((r.doc_id or 0, r.text) for r in line_dedup.deduplicate(make(spark, rows)).collect()), key=str)
+    assert got == sorted([(2, "a\nb"), (1, f"{line}\nc"), (0, ""), (3, ""), (1, "d")], key=str)
+    paragraphs = make(spark, [(1, f"{line}\n\nx"), (2, f"y\n\n{line}")])
+    assert [(r.doc_id, r.start, r.end) for r in line_dedup.repeats(paragraphs, "paragraph").collect()] == [(2, 3, 3 + len(line))]
+
+
+# ---------------------------------------------------------------- 9
+
+
+def plain_removed(raws, length):
+    seen = collections.Counter(x[i : i + length] for x in raws for i in range(len(x) - length + 1))
+    out = []
+    for x in raws:
+        m = np.zeros(len(x), bool)
+        for i in range(len(x) - length + 1):
+            if seen[x[i : i + length]] > 1:
+                m[i : i + length] = True
+        runs = int((np.diff(np.concatenate([[0], m.view(np.int8)])) == 1).sum())
+        out.append((len(x), int(m.sum()), runs, hashlib.sha256(np.frombuffer(x, np.uint8)[~m].tobytes()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_run_index_equals_brute_force(spark, hot):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    base = [text(rng.randint(0, 1500)) for _ in range(20)]
+    rows = []
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            b = rng.choice(base)
+            a = rng.randint(0, len(b))
+            parts.append(b[a : a + rng.randint(0, 900)] + rng.choice(["", text(30)]))
+        rows.append("".join(parts))
+    rows += ["a" * 900, "ab" * 400, "a" * 399, None, "", rows[3], rows[3], "é" * 300, "xyz" * 100 + rows[5]]
+    docs = make(spark, [(i if i % 9 else None, x) for i, x in enumerate(rows)])
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run_index.removed(docs, 400, hot).collect())
+    assert got == plain_removed([(x or "").encode() for x in rows], 400)
+
+
+def test_index_statistics_equal_brute_force():
+    rng = random.Random(7)
+    strings = ["".join(rng.choices("ab", k=rng.randint(1, 12))).encode() for _ in range(8)]
+    index = run_index.RunIndex(strings)
+    got = index.matching_statistics()
+    places = [(s, i) for s, x in enumerate(strings) for i in range(len(x))]
+    for s, i in places:
+        best = 0
+        for u, j in places:
+            if (s, i) != (u, j):
+                n = 0
+                while i + n < len(strings[s]) and j + n < len(strings[u]) and strings[s][i + n] == strings[u][j + n]:
+                    n += 1
+                best = max(best, n)
+        assert got[index.starts[s] + i] == best
+    assert index.runs < index.size
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    rng = random.Random(8)
+    raw = bytes(rng.choices(b"abcd", k=5000))
+    whole = {(a, d, p >> 24) for part in run_index.segments(raw, 400) for a, d, p in zip(part[0].tolist(), part[1], part[2].tolist())}
+    monkeypatch.setattr(run_index, "PART", 1000)
+    windows = [(p >> 24, p >> 12 & 4095) for part in run_index.segments(raw, 400) for p in part[2].tolist()]
+    assert sorted(i for lo, n in windows for i in range(lo, lo + n + 1)) == list(range(4601)) and whole
+
+
+# ---------------------------------------------------------------- 10
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain_secrets(t):
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [f"{k}:{a}:{e}" for a, _, k, e in sorted(out)]
+
+
+def test_secrets_equal_plain(spark, texts):
+    rng = random.Random(9)
+    parts = ["token", "SECRET", "api_key", "apikey", "passwd", "=", ":", " ", "'", '"', "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é😀", "\n", "x-y."]
+    cases = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(300)] + ["a secret=token: abcdefgh", None, ""]
+    docs = make(spark, list(enumerate(cases)) + [(1000 + i, t) for i, t in texts.items()])
+    for r in secrets.scan(docs).collect():
+        got = [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.place < 3]
+        assert got == plain_secrets(r.text), r.text[:200]
+
+
+def test_trigram_queries_are_mandatory():
+    assert secrets.trigram_query("[0-9a-f]{24,}") == []
+    assert secrets.trigram_query("AKIA[A-Z]+") == [{frozenset({"aki", "kia"})}]
+    assert secrets.trigram_query("a(?:bcd|efg)?h") == [] or all(secrets.trigram_query("a(?:bcd|efg)?h"))
+    assert frozenset({"tok", "oke", "ken"}) in secrets.trigram_query(secrets.BASE[0].pattern)[0]
+
+
+def test_more_kinds_and_masking(spark):
+    docs = make(spark, [(1, "ghp_" + "a" * 36 + " and more"), (2, "clean"), (3, None), (4, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM")])
+    got = {r.doc_id: r.text for r in secrets.mask(docs).collect()}
+    assert got == {1: "[secret] and more", 2: "clean", 3: None, 4: "[secret]"}
