@@ -70,7 +70,7 @@ def word_counts(df: DataFrame, kinds: list[str]) -> DataFrame:
     """kind, word, fold, pos, neg: in how many pairs of either label the word is among the kind's. df: fold, y and array columns."""
     sets = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.array_distinct(k).alias("words")) for k in kinds))).alias("e")
     rows = df.select("fold", "y", sets).select("fold", "y", "e.kind", F.explode("e.words").alias("word"))
-    return rows.groupBy("kind", "word", "fold").agg(F.count_if("y = 1").alias("pos"), F.count_if("y = 0").alias("neg"))
+    return rows.groupBy("kind", "word", "fold").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
 
 
 def log_ratio(pos: Column, neg: Column, all_pos: Column, all_neg: Column) -> Column:
@@ -79,7 +79,7 @@ def log_ratio(pos: Column, neg: Column, all_pos: Column, all_neg: Column) -> Col
 
 def llr_table(df: DataFrame, kinds: list[str], least: int = 3) -> DataFrame:
     """kind, word, llr from all pairs; words in fewer pairs than `least` are unknown."""
-    sizes = F.broadcast(df.agg(F.count_if("y = 1").alias("P"), F.count_if("y = 0").alias("N")))
+    sizes = F.broadcast(df.agg(F.count_if(F.col("y") == 1).alias("P"), F.count_if(F.col("y") == 0).alias("N")))
     n = word_counts(df, kinds).groupBy("kind", "word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= least)
     return n.crossJoin(sizes).select("kind", "word", log_ratio(F.col("pos"), F.col("neg"), F.col("P"), F.col("N")).alias("llr"))
 
@@ -87,7 +87,7 @@ def llr_table(df: DataFrame, kinds: list[str], least: int = 3) -> DataFrame:
 def llr_table_oof(df: DataFrame, kinds: list[str], least: int = 3) -> DataFrame:
     """kind, word, fold, llr where a fold's table is learned from all other folds: total less own, from one count."""
     n = word_counts(df, kinds)
-    folds = df.groupBy("fold").agg(F.count_if("y = 1").alias("fp"), F.count_if("y = 0").alias("fn"))
+    folds = df.groupBy("fold").agg(F.count_if(F.col("y") == 1).alias("fp"), F.count_if(F.col("y") == 0).alias("fn"))
     total = n.groupBy("kind", "word").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
     sizes = folds.crossJoin(F.broadcast(folds.agg(F.sum("fp").alias("P"), F.sum("fn").alias("N"))))
     every = total.crossJoin(F.broadcast(sizes)).join(n, ["kind", "word", "fold"], "left").na.fill(0, ["pos", "neg"])

@@ -1,11 +1,757 @@
-"""The linkage queries and their SQL, by name."""
+"""The linkage queries over the test tables, each with its SQL where SQL can express it.
+
+Roles: benchmark items are the reference side (s1) and documents the pool; embeddings with an id divisible by 20 are queries
+against all embeddings; parts, suppliers and customers stand in for records with names and partition keys."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import similarity, text
+from tessera.operators import augment, blocking, context, decide, dense, features, learn, models
+from tessera.session import reach
+from tessera.sources import io
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------------------------------------ scored pairs
+
+WORD = r"[^\p{L}\p{N}]+"
+
+
+def bag(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, token): the distinct tokens of each text."""
+    tokens = F.array_distinct(F.filter(F.split(F.lower("text"), WORD), lambda t: t != ""))
+    return df.select(F.col(key).alias(name), F.explode(tokens).alias("token"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s1, cand, p: the share of an item's informative tokens (in at most a twentieth of the documents) that a document has."""
+    docs = table(spark, sf_dir, "documents")
+    pool, items = bag(docs, "doc_id", "cand"), bag(table(spark, sf_dir, "benchmark"), "item_id", "s1")
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))
+    df = pool.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n).where(F.col("df") <= 0.05 * F.col("n")).select("token")
+    rare = items.join(df, "token")
+    size = rare.groupBy("s1").agg(F.count("*").alias("size"))
+    hits = rare.join(pool, "token").groupBy("s1", "cand").agg(F.count("*").alias("hits"))
+    return hits.join(size, "s1").select("s1", "cand", F.round(F.col("hits") / F.col("size"), 6).alias("p"))
+
+
+SCORED_SQL = r"""
+pool AS (SELECT DISTINCT doc_id AS cand, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents),
+pool1 AS (SELECT * FROM pool WHERE token <> ''),
+item AS (SELECT DISTINCT item_id AS s1, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS token FROM benchmark),
+freq AS (SELECT token FROM pool1 GROUP BY token HAVING count(*) <= 0.05 * (SELECT count(*) FROM documents)),
+rare AS (SELECT i.* FROM item i JOIN freq USING (token) WHERE token <> ''),
+size AS (SELECT s1, count(*) AS size FROM rare GROUP BY s1),
+hits AS (SELECT s1, cand, count(*) AS hits FROM rare JOIN pool1 USING (token) GROUP BY s1, cand),
+pairs AS (SELECT s1, cand, round(hits / size, 6) AS p FROM hits JOIN size USING (s1))"""
+
+
+def truth_of(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """s1, cand: the item's text is part of the document's. Only pairs that share most informative tokens are read."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1"), F.col("text").alias("needle"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand"), "text")
+    return pairs.where("p >= 0.5").join(items, "s1").join(docs, "cand").where(F.contains("text", "needle")).select("s1", "cand")
+
+
+TRUTH_SQL = SCORED_SQL + """,
+truth AS (SELECT b.item_id AS s1, d.doc_id AS cand FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+BEST_SQL = """,
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM pairs) WHERE r = 1)"""
+
+
+def ids_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1"))
+
+
+F05 = """CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0::DOUBLE WHEN n_true = 0 OR n_pred = 0 OR n_both = 0 THEN 0.0::DOUBLE
+  ELSE 1.25::DOUBLE * n_both / (0.25::DOUBLE * n_true + n_pred) END"""
+
+
+def entity_sql(pred: str) -> str:
+    return f"""entity AS (SELECT b.item_id AS s1,
+  (SELECT count(*) FROM {pred} x WHERE x.s1 = b.item_id) AS n_pred,
+  (SELECT count(*) FROM truth x WHERE x.s1 = b.item_id) AS n_true,
+  (SELECT count(*) FROM {pred} x JOIN truth t USING (s1, cand) WHERE x.s1 = b.item_id) AS n_both FROM benchmark b)"""
+
+
+# ------------------------------------------------------------------------------------------------ decisions
+
+
+@query(f"WITH {TRUTH_SQL}{BEST_SQL}, pred AS (SELECT s1, cand FROM best WHERE p >= 0.7), {entity_sql('pred')} SELECT round(avg({F05}), 6) AS f05, count(*) AS n_s1 FROM entity")
+def link_f05_macro(spark, sf_dir):
+    pairs = scored(spark, sf_dir)
+    out = decide.evaluate(decide.select(pairs, 0.7), truth_of(spark, sf_dir, pairs), ids_of(spark, sf_dir))
+    return out.select(F.round("f05", 6).alias("f05"), "n_s1")
+
+
+@query(f"WITH {TRUTH_SQL}{BEST_SQL}, pred AS (SELECT s1, cand FROM best WHERE p >= 0.7), {entity_sql('pred')} SELECT s1, n_pred, n_true, n_both, round({F05}, 6) AS f05 FROM entity")
+def entity_f05(spark, sf_dir):
+    pairs = scored(spark, sf_dir)
+    out = decide.entity_scores(decide.select(pairs, 0.7), truth_of(spark, sf_dir, pairs), ids_of(spark, sf_dir))
+    return out.select("s1", "n_pred", "n_true", "n_both", F.round("f05", 6).alias("f05"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT s1, cand, p FROM pairs")
+def token_containment_join(spark, sf_dir):
+    return scored(spark, sf_dir)
+
+
+@query(f"WITH {SCORED_SQL}{BEST_SQL} SELECT s1, cand, p FROM best")
+def one_to_one(spark, sf_dir):
+    return decide.one_to_one(scored(spark, sf_dir))
+
+
+@query(f"WITH {SCORED_SQL}{BEST_SQL} SELECT s1, cand FROM best WHERE p >= 0.5")
+def threshold_select(spark, sf_dir):
+    return decide.select(scored(spark, sf_dir), 0.5)
+
+
+@query(f"""WITH {SCORED_SQL}, d AS (SELECT s1, cand, p, row_number() OVER w AS k, sum(p) OVER (PARTITION BY s1 ORDER BY p DESC, cand ROWS UNBOUNDED PRECEDING) AS cs,
+  sum(p) OVER (PARTITION BY s1) AS et, CASE WHEN max(p) OVER (PARTITION BY s1) >= 1 THEN 0 ELSE exp(sum(CASE WHEN p < 1 THEN ln(1 - p) END) OVER (PARTITION BY s1)) END AS p0
+  FROM pairs WHERE p >= 0.05 WINDOW w AS (PARTITION BY s1 ORDER BY p DESC, cand)),
+e AS (SELECT *, round(1.25 * cs / (0.25 * et + k), 9) AS ef FROM d),
+b AS (SELECT *, max(ef) OVER (PARTITION BY s1) AS best FROM e),
+l AS (SELECT *, min(CASE WHEN ef = best THEN k END) OVER (PARTITION BY s1) AS last FROM b)
+SELECT s1, cand, p FROM l WHERE k <= last AND best > p0""")
+def expected_f05_select(spark, sf_dir):
+    return decide.expected_f05_select(scored(spark, sf_dir)).select("s1", "cand", "p")
+
+
+GRID = [round(0.30 + 0.05 * i, 2) for i in range(14)]
+
+
+@query(f"""WITH {TRUTH_SQL}{BEST_SQL}, grid AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in GRID)}]) AS threshold),
+c AS (SELECT threshold, s1, count(*) AS n_pred, count(t.cand) AS n_both FROM best LEFT JOIN truth t USING (s1, cand) JOIN grid ON p >= threshold GROUP BY 1, 2),
+nt AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY s1),
+e AS (SELECT g.threshold, b.item_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_both, 0) AS n_both, coalesce(n_true, 0) AS n_true
+  FROM grid g CROSS JOIN benchmark b LEFT JOIN c ON c.threshold = g.threshold AND c.s1 = b.item_id LEFT JOIN nt ON nt.s1 = b.item_id)
+SELECT threshold, round(avg({F05}), 6) AS f05 FROM e GROUP BY threshold""")
+def threshold_sweep(spark, sf_dir):
+    pairs = scored(spark, sf_dir)
+    out = decide.sweep(pairs, truth_of(spark, sf_dir, pairs), ids_of(spark, sf_dir), GRID)
+    return out.select("threshold", F.round("f05", 6).alias("f05"))
+
+
+@query(f"WITH {SCORED_SQL}{BEST_SQL} SELECT s1, cand, p FROM best ORDER BY p DESC, s1, cand LIMIT 25")
+def budget_topn(spark, sf_dir):
+    return decide.budget_top(scored(spark, sf_dir), 25)
+
+
+# ------------------------------------------------------------------------------------------------ context
+
+CTX_S1 = ["c_rank_s1", "c_pmax_s1", "c_gap_s1", "c_n05_s1", "c_n02_s1", "c_psum_s1", "c_ncand_s1"]
+CTX_CAND = ["c_nclaim", "c_pmax_cand", "c_rank_cand", "c_pother_cand", "c_margin_cand"]
+
+
+def rounded(df: DataFrame, keys: list[str], columns: list[str], digits: int = 6) -> DataFrame:
+    """Counts as long, measures as double rounded to so many digits."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = dict(df.dtypes)
+    return df.select(*keys, *((F.col(c).cast("long") if kinds[c] in whole else F.round(F.col(c).cast("double"), digits)).alias(c) for c in columns))
+
+
+@query(f"""WITH {SCORED_SQL} SELECT s1, cand, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS c_rank_s1, round(max(p) OVER w, 6) AS c_pmax_s1,
+  round(max(p) OVER w - p, 6) AS c_gap_s1, count(CASE WHEN p >= 0.5 THEN 1 END) OVER w AS c_n05_s1, count(CASE WHEN p >= 0.2 THEN 1 END) OVER w AS c_n02_s1,
+  round(sum(p) OVER w, 6) AS c_psum_s1, count(*) OVER w AS c_ncand_s1 FROM pairs WINDOW w AS (PARTITION BY s1)""")
+def ctx_s1_windows(spark, sf_dir):
+    return rounded(context.competition(scored(spark, sf_dir)), ["s1", "cand"], CTX_S1)
+
+
+@query(f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS rk FROM pairs),
+s AS (SELECT *, max(CASE WHEN rk = 2 THEN p END) OVER (PARTITION BY cand) AS p2 FROM r)
+SELECT s1, cand, count(*) OVER w AS c_nclaim, round(max(p) OVER w, 6) AS c_pmax_cand, rk AS c_rank_cand, round(sum(p) OVER w - p, 6) AS c_pother_cand,
+  round(CASE WHEN rk = 1 THEN p - coalesce(p2, 0) ELSE p - max(p) OVER w END, 6) AS c_margin_cand FROM s WINDOW w AS (PARTITION BY cand)""")
+def ctx_cand_windows(spark, sf_dir):
+    return rounded(context.competition(scored(spark, sf_dir)), ["s1", "cand"], CTX_CAND)
+
+
+def doc_attributes(spark, sf_dir):
+    """Documents as records: language as name, source as address, length class as house."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("lang").alias("name_core"), F.col("source").alias("addr_clean"), F.floor(F.col("n_chars") / 1000).cast("string").alias("house"))
+
+
+def same_score(a, b):
+    """100 for equal strings, else 50: a score that SQL can repeat."""
+    return F.when(a == b, F.lit(100.0)).otherwise(F.lit(50.0))
+
+
+SIB_SQL = SCORED_SQL + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS c_rank_s1 FROM pairs),
+att AS (SELECT doc_id, lang, source, CAST(CAST(floor(n_chars / 1000) AS BIGINT) AS VARCHAR) AS house FROM documents)"""
+
+
+@query(f"""WITH {SIB_SQL}, j AS (SELECT a.s1, a.cand, b.p AS pd, CASE WHEN x.lang = y.lang THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END AS ns,
+  CASE WHEN x.source = y.source THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END AS ad, x.house = y.house AS same
+  FROM rk a JOIN rk b ON a.s1 = b.s1 AND a.cand <> b.cand AND b.c_rank_s1 <= 3 JOIN att x ON x.doc_id = a.cand JOIN att y ON y.doc_id = b.cand),
+g AS (SELECT s1, cand, max(ns) AS c_sib_name_max, max(ad) AS c_sib_addr_max, round(avg(ns), 6) AS c_sib_name_mean, round(avg(ad), 6) AS c_sib_addr_mean,
+  count(CASE WHEN same THEN 1 END) AS c_sib_house_agree, round(max(pd * (ns + ad) / 200), 6) AS c_sib_weighted FROM j GROUP BY s1, cand)
+SELECT s1, cand, c_sib_name_max, c_sib_addr_max, c_sib_name_mean, c_sib_addr_mean, coalesce(c_sib_house_agree, 0) AS c_sib_house_agree, c_sib_weighted FROM pairs LEFT JOIN g USING (s1, cand)""")
+def sibling_agreement(spark, sf_dir):
+    ranked = context.competition(scored(spark, sf_dir))
+    out = context.siblings(ranked, doc_attributes(spark, sf_dir), score=same_score)
+    return rounded(out, ["s1", "cand"], ["c_sib_name_max", "c_sib_addr_max", "c_sib_name_mean", "c_sib_addr_mean", "c_sib_house_agree", "c_sib_weighted"])
+
+
+@query(f"""WITH {SIB_SQL}, base AS (SELECT * FROM rk WHERE p >= 0.1 AND c_rank_s1 <= 8),
+j AS (SELECT a.s1, a.cand, b.p AS pd, CASE WHEN x.lang = y.lang THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END AS ns,
+  CASE WHEN x.source = y.source THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END AS ad, x.house = y.house AS same
+  FROM base a JOIN base b ON a.s1 = b.s1 AND a.cand <> b.cand JOIN att x ON x.doc_id = a.cand JOIN att y ON y.doc_id = b.cand),
+l AS (SELECT *, (ns >= 85 AND ad >= 80) OR (ns >= 75 AND same AND ad >= 60) AS link FROM j),
+g AS (SELECT s1, cand, count(CASE WHEN link THEN 1 END) AS g_size, round(avg(CASE WHEN link THEN pd END), 6) AS g_pmean, round(max(CASE WHEN link THEN pd END), 6) AS g_pmax,
+  round(max(CASE WHEN NOT link THEN pd END), 6) AS g_rival_pmax, max(ns) AS g_name_max, max(ad) AS g_addr_max, round(coalesce(sum(CASE WHEN link THEN pd END), 0), 6) AS g_psum FROM l GROUP BY s1, cand)
+SELECT s1, cand, g_size, g_pmean, g_pmax, g_rival_pmax, g_name_max, g_addr_max, g_psum FROM pairs LEFT JOIN g USING (s1, cand)""")
+def cluster_links(spark, sf_dir):
+    ranked = context.competition(scored(spark, sf_dir))
+    out = context.clusters(ranked, doc_attributes(spark, sf_dir), score=same_score)
+    return rounded(out, ["s1", "cand"], ["g_size", "g_pmean", "g_pmax", "g_rival_pmax", "g_name_max", "g_addr_max", "g_psum"])
+
+
+@query(f"""WITH {SCORED_SQL}, r AS (SELECT item_id AS s1, 'x' AS country, CAST(length(text) % 7 AS VARCHAR) AS key FROM benchmark),
+q AS (SELECT doc_id AS cand, 'x' AS country, CAST(length(text) % 7 AS VARCHAR) AS key, n_chars < 500 AS no_addr FROM documents)
+SELECT s1, cand, (SELECT count(*) FROM r z WHERE z.key = r.key) AS r_s1_key_n, (SELECT count(*) FROM r z WHERE z.key = q.key) AS r_s1_of_cand_key_n,
+  (SELECT count(*) FROM q z WHERE z.key = q.key) AS r_pool_key_n, (SELECT count(*) FROM q z WHERE z.key = q.key AND z.no_addr) AS r_pool_key_noaddr_n,
+  CAST(r.key = q.key AS BIGINT) AS r_same_key, CAST(no_addr AS BIGINT) AS r_cand_no_addr FROM pairs JOIN r USING (s1) JOIN q USING (cand)""")
+def rarity_counts(spark, sf_dir):
+    key = (F.char_length("text") % 7).cast("string").alias("key")
+    s1 = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity_id"), F.lit("x").alias("country"), key)
+    pool = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.lit("x").alias("country"), key, (F.col("n_chars") < 500).alias("no_addr"))
+    names = ["r_s1_key_n", "r_s1_of_cand_key_n", "r_pool_key_n", "r_pool_key_noaddr_n", "r_same_key", "r_cand_no_addr"]
+    return rounded(context.rarity(scored(spark, sf_dir).select("s1", "cand"), s1, pool), ["s1", "cand"], names)
+
+
+@query(f"""WITH {SCORED_SQL}, c AS (SELECT s1, cand, p AS ce_a, CASE WHEN cand % 2 = 0 THEN round(p * p, 6) END AS ce_b FROM pairs),
+m AS (SELECT s1, cand, CASE WHEN ce_b IS NULL THEN ce_a ELSE (ce_a + ce_b) / 2 END AS cx FROM c)
+SELECT s1, cand, round(cx, 7) AS cx_mean, row_number() OVER (PARTITION BY s1 ORDER BY cx DESC, cand) AS cx_rank_s1, round(max(cx) OVER (PARTITION BY s1) - cx, 7) AS cx_gap_s1,
+  count(CASE WHEN cx > 0.5 THEN 1 END) OVER (PARTITION BY s1) AS cx_n05_s1, row_number() OVER (PARTITION BY cand ORDER BY cx DESC, s1) AS cx_rank_cand,
+  round(max(cx) OVER (PARTITION BY cand) - cx, 7) AS cx_gap_cand FROM m""")
+def score_context(spark, sf_dir):
+    pairs = scored(spark, sf_dir)
+    half = pairs.where("cand % 2 = 0").select("s1", "cand", F.round(F.col("p") * F.col("p"), 6).alias("ce"))
+    both = context.attach_scores(pairs, {"a": pairs.withColumnRenamed("p", "ce"), "b": half})
+    out = context.score_context(both, ["ce_a", "ce_b"])
+    return rounded(out, ["s1", "cand"], ["cx_mean", "cx_rank_s1", "cx_gap_s1", "cx_n05_s1", "cx_rank_cand", "cx_gap_cand"], 7)
+
+
+# ------------------------------------------------------------------------------------------------ blocking
+
+
+def names(spark, sf_dir):
+    """Suppliers (s1) and customers (pool): id, region, part, text."""
+    side = lambda t, k, n, r: table(spark, sf_dir, t).select(F.col(k).alias("id"), F.lit("x").alias("region"), F.col(r).cast("string").alias("part"), F.lower(n).alias("text"))
+    return side("supplier", "s_suppkey", "s_name", "s_nationkey"), side("customer", "c_custkey", "c_name", "c_nationkey")
+
+
+GRAM_SQL = """
+pool AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS part, lower(c_name) AS t FROM customer),
+s AS (SELECT s_suppkey AS id, CAST(s_nationkey AS VARCHAR) AS part, lower(s_name) AS t FROM supplier),
+pw AS (SELECT id, part, ' ' || w || ' ' AS w FROM (SELECT id, part, unnest(string_split(t, ' ')) AS w FROM pool) WHERE w <> ''),
+sw AS (SELECT id, part, ' ' || w || ' ' AS w FROM (SELECT id, part, unnest(string_split(t, ' ')) AS w FROM s) WHERE w <> ''),
+pg AS (SELECT id, part, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS term FROM pw),
+sg AS (SELECT id, part, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS term FROM sw),
+n AS (SELECT count(*) AS n FROM pool),
+terms AS (SELECT term, ln((1 + any_value(n)) / (1 + count(DISTINCT id))) + 1 AS idf FROM pg CROSS JOIN n GROUP BY term HAVING count(DISTINCT id) >= 2 AND count(DISTINCT id) <= 0.05 * any_value(n)),
+pt AS (SELECT id, part, term, (1 + ln(count(*))) * any_value(idf) AS w FROM pg JOIN terms USING (term) GROUP BY id, part, term),
+st AS (SELECT id, part, term, (1 + ln(count(*))) * any_value(idf) AS w FROM sg JOIN terms USING (term) GROUP BY id, part, term),
+pv AS (SELECT id, part, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM pt),
+sv AS (SELECT id, part, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM st),
+sims AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS sim FROM sv a JOIN pv b USING (part, term) GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) > 0.05),
+osims AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS sim FROM sv a JOIN pv b USING (term) GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) > 0.05)"""
+
+
+def name_weights(spark, sf_dir):
+    s1, pool = names(spark, sf_dir)
+    terms = blocking.idf(pool)
+    return blocking.weights(s1, terms), blocking.weights(pool, terms)
+
+
+def leg_sql(sims: str, over: str, k: int, name: str) -> str:
+    other = "cand" if over == "s1" else "s1"
+    return f"SELECT s1, cand, sim AS sim_{name}, r AS rk_{name} FROM (SELECT *, row_number() OVER (PARTITION BY {over} ORDER BY sim DESC, {other}) AS r FROM {sims}) WHERE r <= {k}"
+
+
+def longs(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).cast("long").alias(c) if k in ("smallint", "int", "tinyint") else F.col(c) for c, k in df.dtypes))
+
+
+@query(f"WITH {GRAM_SQL} {leg_sql('sims', 's1', 10, 'f_name')}")
+def tfidf_forward(spark, sf_dir):
+    return longs(blocking.leg(blocking.similarities(*name_weights(spark, sf_dir)), 10, "s1", "f_name"))
+
+
+@query(f"WITH {GRAM_SQL} {leg_sql('sims', 'cand', 3, 'r_name')}")
+def tfidf_reverse(spark, sf_dir):
+    return longs(blocking.leg(blocking.similarities(*name_weights(spark, sf_dir)), 3, "cand", "r_name"))
+
+
+@query(f"WITH {GRAM_SQL} {leg_sql('osims', 'cand', 5, 'o_name')}")
+def tfidf_orphan(spark, sf_dir):
+    return longs(blocking.leg(blocking.similarities(*name_weights(spark, sf_dir), within=("region",)), 5, "cand", "o_name"))
+
+
+def two_legs(spark, sf_dir):
+    sims = blocking.similarities(*name_weights(spark, sf_dir))
+    return blocking.leg(sims, 10, "s1", "f_name"), blocking.leg(sims, 3, "cand", "r_name")
+
+
+TWO_LEGS_SQL = f"{GRAM_SQL}, f AS ({leg_sql('sims', 's1', 10, 'f_name')}), r AS ({leg_sql('sims', 'cand', 3, 'r_name')})"
+
+
+@query(f"WITH {TWO_LEGS_SQL} SELECT s1, cand, sim_f_name, rk_f_name, sim_r_name, rk_r_name FROM f FULL JOIN r USING (s1, cand)")
+def leg_merge_max(spark, sf_dir):
+    return longs(blocking.merge_legs(list(two_legs(spark, sf_dir))))
+
+
+@query(f"WITH {TWO_LEGS_SQL} SELECT s1, cand, sim_f_name, rk_f_name, sim_r_name, rk_r_name FROM f FULL JOIN r USING (s1, cand)")
+def full_union_pairs(spark, sf_dir):
+    return longs(blocking.united(*two_legs(spark, sf_dir)))
+
+
+@query(f"WITH {TWO_LEGS_SQL} SELECT s1, cand FROM r WHERE s1 IN (SELECT s1 FROM f) AND (s1, cand) NOT IN (SELECT (s1, cand) FROM f)")
+def anti_new_pairs(spark, sf_dir):
+    f, r = two_legs(spark, sf_dir)
+    return blocking.new_pairs(r, f).select("s1", "cand")
+
+
+@query(f"WITH {TWO_LEGS_SQL} SELECT s1, cand FROM r WHERE (s1, cand) IN (SELECT (s1, cand) FROM f)")
+def semi_known_pairs(spark, sf_dir):
+    f, r = two_legs(spark, sf_dir)
+    return blocking.known_pairs(r, f).select("s1", "cand")
+
+
+@query(f"""WITH {TWO_LEGS_SQL}, truth AS (SELECT s_suppkey AS s1, c_custkey AS cand FROM supplier JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey),
+legs AS (SELECT 'f' AS leg, s1, cand FROM f UNION ALL SELECT 'r', s1, cand FROM r UNION ALL SELECT DISTINCT 'all', s1, cand FROM (SELECT s1, cand FROM f UNION ALL SELECT s1, cand FROM r)),
+c AS (SELECT leg, count(*) AS n_found FROM legs JOIN truth USING (s1, cand) GROUP BY leg)
+SELECT l.leg, (SELECT count(*) FROM truth) AS n_true, coalesce(n_found, 0) AS n_found, round(coalesce(n_found, 0) / nullif((SELECT count(*) FROM truth), 0), 6) AS recall
+FROM (SELECT unnest(['f', 'r', 'all']) AS leg) l LEFT JOIN c USING (leg)""")
+def blocking_recall_per_leg(spark, sf_dir):
+    f, r = two_legs(spark, sf_dir)
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    truth = s.join(c, (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).select(F.col("s_suppkey").alias("s1"), F.col("c_custkey").alias("cand"))
+    return decide.recall_by_leg({"f": f, "r": r}, truth).withColumn("recall", F.round("recall", 6))
+
+
+@query("""WITH k AS (SELECT doc_id, lang, lower(trim(text)) AS key FROM documents),
+first AS (SELECT lang, key, min(doc_id) AS s1 FROM k GROUP BY lang, key), rest AS (SELECT k.* FROM k ANTI JOIN first ON k.doc_id = first.s1),
+few AS (SELECT lang, key FROM rest WHERE length(key) >= 12 GROUP BY lang, key HAVING count(*) <= 30)
+SELECT s1, doc_id AS cand FROM first JOIN few USING (lang, key) JOIN rest USING (lang, key)""")
+def exact_key_blocking(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("region"), F.lower(F.trim("text")).alias("key"))
+    first = df.groupBy("region", "key").agg(F.min("id").alias("id"))
+    return blocking.exact_key(first, df.join(first.select("id"), "id", "left_anti"), "text", 12).select("s1", "cand")
+
+
+@query("""WITH k AS (SELECT p_partkey, p_type, array_to_string(list_sort(string_split(p_name, ' ')), ' ') || '|' || p_brand AS key FROM part),
+few AS (SELECT p_type, key FROM k WHERE p_partkey % 2 = 1 GROUP BY 1, 2 HAVING count(*) <= 30)
+SELECT a.p_partkey AS s1, b.p_partkey AS cand FROM k a JOIN few USING (p_type, key) JOIN k b USING (p_type, key) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1""")
+def name_partition_key(spark, sf_dir):
+    key = F.concat(text.sorted_key(F.col("p_name")), F.lit("|"), F.col("p_brand"))
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("region"), key.alias("key"))
+    return blocking.exact_key(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "namecity").select("s1", "cand")
+
+
+@query("""WITH a AS (SELECT n_name AS city, CAST(n_regionkey AS VARCHAR) AS state FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT c_mktsegment, CAST(n_regionkey AS VARCHAR) FROM customer JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT city, state, count(*) AS n FROM a GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY city) AS total FROM g)
+SELECT city, state FROM t WHERE n >= 0.8 * total AND n >= 3""")
+def city_to_state_table(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("string").alias("state"))
+    a = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("city"), "state")
+    b = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("city"), "state")
+    return blocking.city_states(a.unionByName(b))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, n_name AS city, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS state FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT c_custkey AS id, n_name AS city, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT city, state, count(*) AS n FROM (SELECT city, state FROM s UNION ALL SELECT city, state FROM c) WHERE state <> '' GROUP BY 1, 2),
+k AS (SELECT city, state FROM (SELECT *, sum(n) OVER (PARTITION BY city) AS t FROM g) WHERE n >= 0.8 * t AND n >= 3)
+SELECT 's1' AS side, id, state AS part FROM s UNION ALL SELECT 'pool', id, CASE WHEN c.state <> '' THEN c.state ELSE coalesce(k.state, '?') END FROM c LEFT JOIN k USING (city)""")
+def state_partition_keys(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    side = lambda t, k, n: table(spark, sf_dir, t).join(nation, F.col(n) == F.col("n_nationkey")).select(F.col(k).alias("id"), F.col("n_name").alias("city"), F.when(F.col(k) % 3 == 0, "").otherwise(F.col("n_regionkey").cast("string")).alias("state"))
+    a, b = blocking.partition_keys(side("supplier", "s_suppkey", "s_nationkey"), side("customer", "c_custkey", "c_nationkey"))
+    return a.select(F.lit("s1").alias("side"), "id", "part").unionByName(b.select(F.lit("pool").alias("side"), "id", "part"))
+
+
+# ------------------------------------------------------------------------------------------------ dense leg
+
+
+def vectors(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return df.where("id % 20 = 0"), df
+
+
+DENSE_SQL = """
+v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sims AS (SELECT a.id AS s1, b.id AS cand, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0)"""
+
+
+@query(f"WITH {DENSE_SQL} {leg_sql('sims', 's1', 20, 'dense')}")
+def dense_topk_fwd(spark, sf_dir):
+    out = dense.similar(*vectors(spark, sf_dir), 20, "query")
+    return out.select(F.col("query").alias("s1"), F.col("row").alias("cand"), F.col("sim").alias("sim_dense"), F.col("rank").cast("long").alias("rk_dense"))
+
+
+@query(f"WITH {DENSE_SQL} {leg_sql('sims', 'cand', 3, 'dense')}")
+def dense_topk_rev(spark, sf_dir):
+    out = dense.similar(*vectors(spark, sf_dir), 3, "row")
+    return out.select(F.col("query").alias("s1"), F.col("row").alias("cand"), F.col("sim").alias("sim_dense"), F.col("rank").cast("long").alias("rk_dense"))
+
+
+DENSE_BOTH_SQL = f"""{DENSE_SQL}, f AS ({leg_sql('sims', 's1', 20, 'x')}), r AS ({leg_sql('sims', 'cand', 3, 'x')}),
+u AS (SELECT s1, cand, max(sim_x) AS sim_dense FROM (SELECT * FROM f UNION ALL SELECT * FROM r) GROUP BY 1, 2),
+d AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim_dense DESC, cand) AS rk_dense FROM u)"""
+
+
+@query(f"WITH {DENSE_BOTH_SQL} SELECT s1, cand, sim_dense, rk_dense FROM d")
+def dense_search(spark, sf_dir):
+    return longs(dense.search(*vectors(spark, sf_dir)))
+
+
+@query(f"""WITH {DENSE_BOTH_SQL}, truth AS (SELECT a.vec_id AS s1, b.vec_id AS cand FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT CAST(k AS BIGINT) AS rank, (SELECT count(*) FROM truth) AS n_true, (SELECT count(*) FROM truth JOIN d USING (s1, cand) WHERE rk_dense <= k) AS n_found FROM (SELECT unnest([5, 10, 20]) AS k)""")
+def dense_recall(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    truth = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("s1"), "label").join(e.select(F.col("vec_id").alias("cand"), "label"), "label").where("s1 <> cand")
+    return longs(dense.recall_by_rank(dense.search(*vectors(spark, sf_dir)), truth, [5, 10, 20]))
+
+
+# ------------------------------------------------------------------------------------------------ texts and pair features
+
+
+@query()
+def norm_name(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("raw"))
+    return text.normalise_names(df, "raw").drop("raw")
+
+
+@query()
+def norm_address(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return text.normalise_addresses(df, "text").drop("text")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), '^.*\.([^.]+\.[^.]+)$', '\1'), '^(?:www\.)?([a-z0-9\-]+)\.(com|in|net|org|co|io|biz|fr|us|info)\b', 1) AS domain FROM pages""")
+def norm_url_domain(spark, sf_dir):
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    site = F.regexp_replace(host, r"^.*\.([^.]+\.[^.]+)$", "$1")
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.regexp_extract(site, text.T.DOMAIN, 1).alias("domain"))
+
+
+@query("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
+def strip_accents_fold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.folder()(F.col("text")).alias("folded"))
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || replace(p_brand, '#', '') || ' x' || p_size), ' ')) AS t, p_partkey AS k FROM part)
+SELECT DISTINCT t AS token, CASE WHEN regexp_matches(t, '[0-9]') AND length(regexp_replace(t, '[^a-z]', '', 'g')) >= 2 THEN translate(t, '0134578@$', 'oleastbas') ELSE t END AS letters FROM t""")
+def unleeted_tokens(spark, sf_dir):
+    raw = F.lower(F.concat("p_name", F.lit(" "), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" x"), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select(F.explode(F.split(raw, " ")).alias("token")).distinct().withColumn("letters", text.unleeted(F.col("token")))
+
+
+def part_pairs(spark, sf_dir):
+    """All pairs of distinct part names, a vocabulary of fixed size."""
+    n = table(spark, sf_dir, "part").select("p_name").distinct()
+    return n.select(F.col("p_name").alias("a")).crossJoin(F.broadcast(n.select(F.col("p_name").alias("b"))))
+
+
+PART_SQL = "WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT x.p_name AS a, y.p_name AS b, string_split(x.p_name, ' ') AS ta, string_split(y.p_name, ' ') AS tb FROM n x CROSS JOIN n y)"
+
+
+@query(f"{PART_SQL} SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS jaccard, round(len(list_intersect(ta, tb)) / len(list_distinct(ta)), 6) AS contained FROM q")
+def token_jaccard(spark, sf_dir):
+    x, y = text.tokens(F.col("a")), text.tokens(F.col("b"))
+    x, y = F.array_distinct(x), F.array_distinct(y)
+    return part_pairs(spark, sf_dir).select("a", "b", F.round(similarity.jaccard(x, y), 6).alias("jaccard"), F.round(similarity.containment(x, y), 6).alias("contained"))
+
+
+@query(f"{PART_SQL} SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM q")
+def lev_similarity(spark, sf_dir):
+    return part_pairs(spark, sf_dir).select("a", "b", F.round(similarity.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query(f"{PART_SQL} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM q")
+def jaro_winkler(spark, sf_dir):
+    return part_pairs(spark, sf_dir).select("a", "b", F.round(similarity.SCORERS["jaro_winkler"](F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query()
+def fuzz_ratio_family(spark, sf_dir):
+    names = [k for k in similarity.SCORERS if k != "jaro_winkler"]
+    return part_pairs(spark, sf_dir).select("a", "b", *(F.round(similarity.SCORERS[k](F.col("a"), F.col("b")), 6).alias(k) for k in names))
+
+
+def number_pairs(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("a"), "s_nationkey")
+    c = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 4, "0").alias("b"), F.col("c_nationkey"))
+    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("a", "b")
+
+
+NUMBER_SQL = "WITH q AS (SELECT CAST(s_suppkey AS VARCHAR) AS a, lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey)"
+AFFIX_SQL = "(starts_with(a, b) OR starts_with(b, a) OR ends_with(a, b) OR ends_with(b, a))"
+
+
+@query(f"{NUMBER_SQL} SELECT a, b, CAST(CASE WHEN a = b THEN 0 WHEN ltrim(a, '0') = ltrim(b, '0') THEN 1 WHEN {AFFIX_SQL} THEN 2 WHEN levenshtein(a, b) <= 1 THEN 3 ELSE 4 END AS BIGINT) AS relation FROM q")
+def num_relation(spark, sf_dir):
+    return number_pairs(spark, sf_dir).select("a", "b", similarity.number_relation(F.col("a"), F.col("b")).cast("long").alias("relation"))
+
+
+@query(f"{NUMBER_SQL} SELECT a, b, CAST(a = b AS BIGINT) AS h_eq, CAST(0 AS BIGINT) AS h_absent, CAST(a <> b AND {AFFIX_SQL} AS BIGINT) AS h_pref, CAST(abs(CAST(a AS BIGINT) - CAST(b AS BIGINT)) AS DOUBLE) AS h_diff, CAST(CASE WHEN a = b THEN 1 ELSE 2 END AS BIGINT) AS state FROM q")
+def house_relation(spark, sf_dir):
+    df = number_pairs(spark, sf_dir)
+    f = similarity.house_features(F.col("a"), F.col("b"))
+    return rounded(df.select("a", "b", *(c.alias(k) for k, c in f.items()), similarity.three_way(F.col("a"), F.col("b")).alias("state")), ["a", "b"], ["h_eq", "h_absent", "h_pref", "h_diff", "state"])
+
+
+@query(f"""{PART_SQL}, l AS (SELECT a, b, list_filter(ta, lambda t: t IN ('small', 'large', 'red')) AS x, list_filter(tb, lambda t: t IN ('small', 'large', 'blue')) AS y FROM q)
+SELECT a, b, CAST(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0 WHEN len(x) = 0 OR len(y) = 0 THEN 1 WHEN list_sort(x) = list_sort(y) THEN 2 WHEN list_has_any(x, y) THEN 3 ELSE 4 END AS BIGINT) AS state FROM l""")
+def legal_state(spark, sf_dir):
+    only = lambda c, words: F.filter(text.tokens(F.col(c)), lambda t: t.isin(words))
+    return part_pairs(spark, sf_dir).select("a", "b", similarity.legal_state(only("a", ["small", "large", "red"]), only("b", ["small", "large", "blue"])).cast("long").alias("state"))
+
+
+@query()
+def align_tokens(spark, sf_dir):
+    return part_pairs(spark, sf_dir).select("a", "b", similarity.alignment(text.tokens(F.col("a")), text.tokens(F.col("b"))).alias("x")).select("a", "b", "x.*")
+
+
+# ------------------------------------------------------------------------------------------------ learned tables
+
+
+def labelled_words(spark, sf_dir):
+    """doc_id, y, fold and the distinct words of labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), WORD), lambda t: t != "")).alias("miss"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"), (F.col("doc_id") % 2).cast("int").alias("fold"))
+    return docs.join(labels, "doc_id")
+
+
+LLR_SQL = r"""w AS (SELECT DISTINCT doc_id, quality AS y, doc_id % 2 AS fold, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents JOIN labels USING (doc_id)),
+k AS (SELECT fold, count(CASE WHEN quality = 1 THEN 1 END) AS fp, count(CASE WHEN quality = 0 THEN 1 END) AS fn FROM (SELECT quality, doc_id % 2 AS fold FROM labels JOIN documents USING (doc_id)) GROUP BY fold),
+c AS (SELECT word, fold, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg FROM w WHERE word <> '' GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {LLR_SQL}, t AS (SELECT word, sum(pos) AS pos, sum(neg) AS neg FROM c GROUP BY word HAVING sum(pos) + sum(neg) >= 3), z AS (SELECT sum(fp) AS P, sum(fn) AS N FROM k)
+SELECT 'miss' AS kind, word, round(ln((pos + 0.5) / (P + 1)) - ln((neg + 0.5) / (N + 1)), 6) AS llr FROM t CROSS JOIN z""")
+def edit_llr_table(spark, sf_dir):
+    return learn.llr_table(labelled_words(spark, sf_dir), ["miss"]).withColumn("llr", F.round("llr", 6))
+
+
+@query(f"""WITH {LLR_SQL}, t AS (SELECT word, sum(pos) AS tp, sum(neg) AS tn FROM c GROUP BY word), z AS (SELECT sum(fp) AS P, sum(fn) AS N FROM k),
+o AS (SELECT t.word, k.fold, tp - coalesce(pos, 0) AS op, tn - coalesce(neg, 0) AS neg_o, P - fp AS pp, N - fn AS nn FROM t CROSS JOIN k CROSS JOIN z LEFT JOIN c ON c.word = t.word AND c.fold = k.fold)
+SELECT 'miss' AS kind, word, CAST(fold AS BIGINT) AS fold, round(ln((op + 0.5) / (pp + 1)) - ln((neg_o + 0.5) / (nn + 1)), 6) AS llr FROM o WHERE op + neg_o >= 3""")
+def llr_oof(spark, sf_dir):
+    out = learn.llr_table_oof(labelled_words(spark, sf_dir), ["miss"])
+    return out.select("kind", "word", F.col("fold").cast("long").alias("fold"), F.round("llr", 6).alias("llr"))
+
+
+@query(f"""WITH {LLR_SQL}, t AS (SELECT word, sum(pos) AS pos, sum(neg) AS neg FROM c GROUP BY word HAVING sum(pos) + sum(neg) >= 3), z AS (SELECT sum(fp) AS P, sum(fn) AS N FROM k),
+l AS (SELECT word, ln((pos + 0.5) / (P + 1)) - ln((neg + 0.5) / (N + 1)) AS llr FROM t CROSS JOIN z),
+g AS (SELECT doc_id, round(coalesce(sum(llr), 0), 5) AS s, round(coalesce(min(llr), 0), 6) AS m, count(*) - count(llr) AS u FROM w LEFT JOIN l USING (word) WHERE word <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(s, 0) AS e_llr_miss_sum, coalesce(m, 0) AS e_llr_miss_min, coalesce(u, 0) AS e_unk_miss FROM documents JOIN labels USING (doc_id) LEFT JOIN g USING (doc_id)""")
+def llr_features(spark, sf_dir):
+    df = labelled_words(spark, sf_dir)
+    out = learn.llr_features(df, learn.llr_table(df, ["miss"]), ["miss"], ["doc_id"])
+    return out.select("doc_id", F.round("e_llr_miss_sum", 5).alias("e_llr_miss_sum"), F.round("e_llr_miss_min", 6).alias("e_llr_miss_min"), "e_unk_miss")
+
+
+def accented(t):
+    return t.rlike(r"[^\x00-\x7F]")
+
+
+@query(r"""WITH z AS (SELECT string_split_regex(lower(strip_accents(text)), '\s+') AS a, string_split_regex(text, '\s+') AS b FROM documents),
+y AS (SELECT unnest(list_zip(list_filter(a, lambda t: t <> ''), list_filter(b, lambda t: t <> ''))) AS q FROM z WHERE len(list_filter(a, lambda t: t <> '')) = len(list_filter(b, lambda t: t <> ''))),
+n AS (SELECT q[2] AS token, q[1] AS latin, count(*) AS n FROM y WHERE regexp_matches(q[2], '[^\x00-\x7F]') AND NOT regexp_matches(q[1], '[^\x00-\x7F]') GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, latin) AS r FROM n) SELECT token, latin, n FROM r WHERE r = 1 AND n >= 2""")
+def translit_dictionary(spark, sf_dir):
+    fold = text.folder()
+    pairs = table(spark, sf_dir, "documents").select(fold(F.col("text")).alias("name_a"), F.col("text").alias("name_b"))
+    return learn.aligned_tokens(pairs, accented)
+
+
+# ------------------------------------------------------------------------------------------------ lists and reports
+
+
+@query(f"""WITH {SCORED_SQL}{BEST_SQL}, l AS (SELECT s1, string_agg(CAST(cand AS VARCHAR), ',' ORDER BY CAST(cand AS VARCHAR)) AS l FROM best WHERE p >= 0.5 GROUP BY s1)
+SELECT item_id AS source1_entity_id, coalesce(l, '') AS matched_entity_ids FROM benchmark LEFT JOIN l ON s1 = item_id""")
+def submission_lists(spark, sf_dir):
+    return io.match_lists(ids_of(spark, sf_dir), decide.select(scored(spark, sf_dir), 0.5))
+
+
+@query(f"""WITH {SCORED_SQL}, l AS (SELECT s1, string_agg(CAST(cand AS VARCHAR), ',' ORDER BY CAST(cand AS VARCHAR)) AS l FROM pairs WHERE p >= 0.1 GROUP BY s1)
+SELECT item_id AS source1_entity_id, coalesce(l, '') AS candidate_entity_ids FROM benchmark LEFT JOIN l ON s1 = item_id""")
+def candidate_lists(spark, sf_dir):
+    return io.match_lists(ids_of(spark, sf_dir), scored(spark, sf_dir).where("p >= 0.1"), "candidate_entity_ids")
+
+
+def two_lists(spark, sf_dir):
+    pairs = scored(spark, sf_dir)
+    return tuple(io.match_lists(ids_of(spark, sf_dir), decide.select(pairs, t)) for t in (0.5, 0.9))
+
+
+@query(f"""WITH {SCORED_SQL}{BEST_SQL}, l AS (SELECT s1, string_agg(CAST(cand AS VARCHAR), ',' ORDER BY CAST(cand AS VARCHAR)) AS l FROM best WHERE p >= CASE WHEN s1 % 2 = 0 THEN 0.9 ELSE 0.5 END GROUP BY s1)
+SELECT item_id AS source1_entity_id, coalesce(l, '') AS matched_entity_ids FROM benchmark LEFT JOIN l ON s1 = item_id""")
+def hybrid_merge(spark, sf_dir):
+    first, second = two_lists(spark, sf_dir)
+    return io.hybrid(first, second, first.where("source1_entity_id % 2 = 0"))
+
+
+@query(f"""WITH {SCORED_SQL}{BEST_SQL}, l AS (SELECT item_id, CAST(item_id % 3 AS VARCHAR) AS country, (SELECT count(*) FROM best WHERE s1 = item_id AND p >= 0.5) AS n FROM benchmark)
+SELECT country, count(*) AS n_s1, round(avg(n), 3) AS mean_list, round(100 * avg(CASE WHEN n = 0 THEN 1 ELSE 0 END), 2) AS empty_percent FROM l GROUP BY country""")
+def country_check(spark, sf_dir):
+    countries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source1_entity_id"), (F.col("item_id") % 3).cast("string").alias("country"))
+    return io.country_report(two_lists(spark, sf_dir)[0], countries)
+
+
+def wide_truth(spark, sf_dir):
+    pairs = scored(spark, sf_dir)
+    return io.match_lists(ids_of(spark, sf_dir), truth_of(spark, sf_dir, pairs))
+
+
+@query(f"WITH {TRUTH_SQL} SELECT item_id AS s1, CAST(cand AS VARCHAR) AS cand FROM benchmark LEFT JOIN truth ON s1 = item_id")
+def truth_long(spark, sf_dir):
+    return io.long_truth(wide_truth(spark, sf_dir))
+
+
+@query(f"WITH {TRUTH_SQL} SELECT item_id AS s1, coalesce(string_agg(CAST(cand AS VARCHAR), ',' ORDER BY CAST(cand AS VARCHAR)), '') AS cands FROM benchmark LEFT JOIN truth ON s1 = item_id GROUP BY item_id")
+def truth_sets(spark, sf_dir):
+    return io.truth_sets(io.long_truth(wide_truth(spark, sf_dir))).select("s1", F.array_join("cands", ",").alias("cands"))
+
+
+@query(f"WITH {TRUTH_SQL} SELECT s1, cand, p, CAST(t.cand IS NOT NULL AS BIGINT) AS y FROM pairs LEFT JOIN truth t USING (s1, cand)".replace("t.cand IS NOT NULL", "EXISTS (SELECT 1 FROM truth t2 WHERE t2.s1 = pairs.s1 AND t2.cand = pairs.cand)"))
+def labelled_pairs(spark, sf_dir):
+    pairs = scored(spark, sf_dir)
+    return longs(features.labelled(pairs, truth_of(spark, sf_dir, pairs)))
+
+
+@query(f"""WITH {SCORED_SQL}, n AS (SELECT s1, cand, round(p * p, 6) AS b FROM pairs WHERE cand % 2 = 0)
+SELECT s1, cand, coalesce(b, p) AS p FROM pairs LEFT JOIN n USING (s1, cand)""")
+def replace_scores(spark, sf_dir):
+    old = scored(spark, sf_dir)
+    return decide.replace_scores(old, old.where("cand % 2 = 0").withColumn("p", F.round(F.col("p") * F.col("p"), 6)))
+
+
+@query(f"""WITH {SCORED_SQL}, n AS (SELECT p AS a, round(p * p, 6) AS b FROM pairs WHERE cand % 2 = 0) SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, round(avg(b - a), 6) AS shift FROM n""")
+def score_shift(spark, sf_dir):
+    old = scored(spark, sf_dir)
+    out = decide.score_shift(old, old.where("cand % 2 = 0").withColumn("p", F.round(F.col("p") * F.col("p"), 6)))
+    return out.select("n", F.round("correlation", 6).alias("correlation"), F.round("shift", 6).alias("shift"))
+
+
+@query("SELECT p_type AS country FROM part GROUP BY p_type ORDER BY 1")
+def countries(spark, sf_dir):
+    return augment.countries(table(spark, sf_dir, "part").select(F.col("p_type").alias("country")))
+
+
+@query("SELECT doc_id, CAST(2 + doc_id % 2 AS BIGINT) AS src FROM documents")
+def pool_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return longs(io.pool(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")))
+
+
+@query(f"WITH {SCORED_SQL} SELECT s1, cand, b.text || ' | ' AS text_a, coalesce(d.text, '') || ' | ' || coalesce(d.source, '') AS text_b FROM pairs JOIN benchmark b ON item_id = s1 JOIN documents d ON doc_id = cand WHERE p >= 0.5")
+def pair_texts(spark, sf_dir):
+    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity_id"), F.col("text").alias("business_name"), F.lit("").alias("business_address"))
+    doc = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("business_name"), F.col("source").alias("business_address"))
+    return io.pair_texts(scored(spark, sf_dir).where("p >= 0.5").select("s1", "cand"), item, doc)
+
+
+# ------------------------------------------------------------------------------------------------ models and augmentation
+
+
+def records(spark, sf_dir):
+    """Suppliers and customers as normalised records."""
+    nation = table(spark, sf_dir, "nation")
+    side = lambda t, k, n, c, src: table(spark, sf_dir, t).join(F.broadcast(nation), F.col(c) == F.col("n_nationkey")).select(F.col(k).alias("entity_id"), F.regexp_replace(n, "#", " ").alias("business_name"), F.concat(F.col(k).cast("string"), F.lit(" Main St, "), "n_name").alias("business_address"), F.lit("x").alias("country"), F.lit(src).cast("byte").alias("src"))
+    out = []
+    for df in (side("supplier", "s_suppkey", "s_name", "s_nationkey", 1), side("customer", "c_custkey", "c_name", "c_nationkey", 2)):
+        out.append(text.normalise_addresses(text.normalise_names(df, "business_name"), "business_address", "country").persist())
+    return out
+
+
+def stage1_pairs(spark, sf_dir):
+    s1, pool = records(spark, sf_dir)
+    found = blocking.candidates(s1, pool).persist()
+    same = s1.select(F.col("entity_id").alias("s1"), F.col("city").alias("c1")).join(pool.select(F.col("entity_id").alias("cand"), F.col("city").alias("c2")), (F.col("s1") == F.col("cand")) & (F.col("c1") == F.col("c2"))).select("s1", "cand")
+    return features.labelled(features.pair_features(found, s1, pool), same)
+
+
+@query()
+def candidate_legs(spark, sf_dir):
+    return blocking.candidates(*records(spark, sf_dir))
+
+
+@query()
+def pair_features(spark, sf_dir):
+    return stage1_pairs(spark, sf_dir)
+
+
+@query()
+def edit_features(spark, sf_dir):
+    s1, pool = records(spark, sf_dir)
+    pairs = features.attach(features.attach(blocking.candidates(s1, pool).select("s1", "cand"), s1, "s1", "_a"), pool, "cand", "_b")
+    return learn.edits(pairs).select("s1", "cand", *learn.EDITS, "e_n_exact", "e_n_typo", "e_n_miss", "e_n_extra", "e_a_miss", "e_a_extra", "e_num_a_unrel", "e_num_b_unrel", "e_num_a_best", "e_num_b_cnt", "e_house_rel")
+
+
+@query()
+def stage1_gbt(spark, sf_dir):
+    df = stage1_pairs(spark, sf_dir).withColumn("fold", models.fold_of(F.col("s1"))).persist()
+    columns = [c for c in df.columns if c not in ("s1", "cand", "y", "fold")]
+    return models.out_of_fold(df, columns, rounds=8, depth=4).where("p >= 0.01").select("s1", "cand", "p", "y")
+
+
+@query()
+def stage2_gbt(spark, sf_dir):
+    s1, pool = records(spark, sf_dir)
+    df = stage1_pairs(spark, sf_dir).withColumn("fold", models.fold_of(F.col("s1"))).persist()
+    columns = [c for c in df.columns if c not in ("s1", "cand", "y", "fold")]
+    ctx = context.build(models.out_of_fold(df, columns, rounds=5, depth=3), pool).persist()
+    more = [c for c in ctx.columns if c.startswith(("c_", "g_"))] + ["p"]
+    return decide.expected_f05_select(models.out_of_fold(ctx, columns + more, rounds=5, depth=3, name="p2"), "p2").select("s1", "cand", "p", "p2", "y")
+
+
+@query()
+def augment_pairs(spark, sf_dir):
+    pairs = pair_texts(spark, sf_dir).withColumn("y", F.lit(1))
+    return augment.add_noise(augment.rewrite(pairs, [("Lille", "Nord"), ("Bordeaux", "Gironde")])).select("s1", "cand", "text_a", "text_b")
+
+
+@query()
+def embed_texts(spark, sf_dir):
+    return dense.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", "vector")
+
+
+@query()
+def encoder_training_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    truth = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("s1"), "label").join(e.select(F.col("vec_id").alias("cand"), "label"), "label").where("s1 <> cand").select("s1", "cand")
+    return models.encoder_pairs(dense.search(*vectors(spark, sf_dir)), truth)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: (lambda spark, sf_dir, f=f: f(reach(spark), sf_dir)) for k, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
