@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality, run_index, secrets, simhash, token_counts
+from tessera.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality, run_index, secrets, simhash, sql, token_counts
 
 
 def queries() -> dict:
@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": sql.QUALITY, "op8_substring_dedup": sql.LINES, "op10_secret_scans": sql.SECRETS}
