@@ -5,6 +5,7 @@ is built-in functions over arrays of tokens. Absent values are empty strings."""
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable
@@ -69,8 +70,13 @@ def folder(learned: dict[str, str] | None = None) -> Callable[[Column], Column]:
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    """The key's value, or null."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+    """The key's value, or null. The table is one constant, which the optimizer folds, however often it is used."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key)
+
+
+def among(t: Column, words: list[str]) -> Column:
+    """Whether a token is one of some words without spaces."""
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), t)
 
 
 def tokens(c: Column) -> Column:
@@ -113,10 +119,9 @@ def normalise_names(df: DataFrame, raw: str, fold: Callable[[Column], Column] |
     step = step.withColumn("_n", F.when(place > 0, other).otherwise(F.col("_n")))
     step = step.withColumn("_n", F.regexp_replace(F.replace("_n", F.lit("&"), F.lit(" and ")), r"(?<=\b[a-z])\.(?=[a-z]\b)", ""))
     step = step.withColumn("_t", F.transform(tokens(F.regexp_replace(F.regexp_replace("_n", "[.']", ""), T.NOT_ALNUM, " ")), unleeted))
-    forms, fillers = list(T.LEGAL_FORMS), F.array(*map(F.lit, T.FILLER_WORDS))
-    legal = lambda t: t.isin(forms)
+    legal = lambda t: among(t, list(T.LEGAL_FORMS))
     step = step.withColumn("_c", F.transform("_t", lambda t: F.coalesce(lookup(T.LEGAL_FORMS, t), t)))
-    step = step.withColumn("_k", F.filter("_t", lambda t: ~legal(t) & ~F.array_contains(fillers, t)))
+    step = step.withColumn("_k", F.filter("_t", lambda t: ~legal(t) & ~among(t, T.FILLER_WORDS)))
     step = step.withColumn("_k", F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.col("_c")))
     out = {
         "name_clean": joined(F.col("_c")),
@@ -132,7 +137,7 @@ def state_code(part: Column, country: Column) -> Column:
     """Code of an address part that is a state of the (lower-case) country, else null; in an unknown country any long full name."""
     known = F.lit(None).cast("string")
     for name, states in T.STATES.items():
-        code = F.coalesce(lookup(states, part), F.when(part.isin(sorted(set(states.values()))) & (F.length(part) == 2), part))
+        code = F.coalesce(lookup(states, part), F.when(among(part, sorted(set(states.values()))) & (F.length(part) == 2), part))
         known = F.when(country == name, code).otherwise(known)
     every = T.FRENCH_REGIONS | T.INDIAN_STATES | T.US_STATES
     return F.when(country.isin(list(T.STATES)), known).when(F.length(part) > 3, lookup(every, part))
@@ -153,8 +158,7 @@ def normalise_addresses(df: DataFrame, raw: str, country: str | None = None, fol
     step = step.withColumn("_p", F.filter(parts, lambda p: p != "")).withColumn("_w", where)
     step = step.withColumn("_s", F.transform("_p", lambda p: state_code(p, F.col("_w"))))
     kept = F.filter(F.arrays_zip(F.col("_p").alias("p"), F.col("_s").alias("s")), lambda x: x["s"].isNull())
-    types, noise, units = (F.array(*map(F.lit, x)) for x in (T.STREET_TYPES, T.CITY_NOISE, T.UNIT_WORDS))
-    typed = lambda t: F.array_contains(types, t)
+    typed = lambda t: among(t, T.STREET_TYPES)
     step = step.withColumn("_k", F.transform(kept, lambda x: F.transform(tokens(x["p"]), address_token)))
     step = step.withColumn("_q", F.transform("_k", lambda k: F.struct(k.alias("k"), F.exists(k, digits).alias("n"), F.exists(k, typed).alias("t"))))
     numbered = F.transform("_q", lambda q, i: F.when(q["n"] | q["t"], i))
@@ -168,8 +172,8 @@ def normalise_addresses(df: DataFrame, raw: str, country: str | None = None, fol
         "addr_clean": joined(F.col("_f")),
         "addr_nums": joined(F.array_distinct(nums)),
         "house": F.coalesce(F.get(own, F.lit(0)), F.get(nums, F.lit(0)), empty),
-        "street": joined(F.filter("_r", lambda t: ~digits(t) & ~typed(t) & ~F.array_contains(units, t))),
-        "city": joined(F.array_distinct(F.filter(F.flatten(F.transform(rest, lambda q: q["k"])), lambda t: ~typed(t) & ~F.array_contains(noise, t)))),
+        "street": joined(F.filter("_r", lambda t: ~digits(t) & ~typed(t) & ~among(t, T.UNIT_WORDS))),
+        "city": joined(F.array_distinct(F.filter(F.flatten(F.transform(rest, lambda q: q["k"])), lambda t: ~typed(t) & ~among(t, T.CITY_NOISE)))),
         "state": F.coalesce(F.get(F.filter("_s", lambda s: s.isNotNull()), F.lit(0)), empty),
         "postcode": F.coalesce(F.get(F.filter(nums, lambda t: F.length(t) == 6), F.lit(0)), empty),
     }
