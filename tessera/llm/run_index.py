@@ -5,15 +5,16 @@ equals), so equal windows pick equal anchors, wherever they are. The windows of
 occur once are dropped; of the others,
 
 - a segment that occurs twice or more as a whole, told by its digest, is all repeated;
-- the other segments of an anchor are compared byte by byte with one copy of each distinct segment of that anchor. Blocks of
-  such groups are concatenated, with a separator of its own behind each, and indexed: the suffix order gives the
+- the other segments of an anchor are compared byte by byte with one copy of each distinct segment of that anchor. The windows
+  fall into a few classes by where the anchor lies in them; those of a class share a core, and a segment none of whose cores
+  another one has is left out. Blocks of the rest are concatenated, with a separator of its own behind each, and indexed: the suffix order gives the
   Burrows-Wheeler transform, of which only the runs are kept, with the text positions at the runs' ends as samples. Matches with
   the neighbours in suffix order are measured at the samples alone; everywhere else the length of the match is one less than at
   the position before. Streaming these matching statistics over the text marks the starts of repeated windows.
 - an anchor with more distinct segments than HOT_SEGMENTS isn't gathered into one task: the windows of its segments are hashed
   and counted instead, with partial counts before the shuffle.
 
-Equal texts are counted and then handled as one text. Strings are judged on the input; marks are united per text.
+Texts are told apart by their SHA-256 and marked once, however many documents have them. Strings are judged on the input; marks are united per text.
 
 Defined results: a null or empty text has no bytes, nothing removed, and the digest of nothing; rows that share an id are
 separate documents; equal texts of at least `length` bytes are removed in full; extra columns are ignored.
@@ -70,8 +71,9 @@ def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
     return (least & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
 
 
-def segments(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, np.ndarray]]:
-    """(anchors, digests, first and last window starts) of a text's segments, in parts."""
+def segments(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, list[int], np.ndarray]]:
+    """(anchors, digests, places) of a text's segments, in parts. A place packs the first window's start, how many windows
+    follow it, and how far behind the start the anchor lies."""
     for base in range(0, len(raw) - length + 1, PART):
         part = raw[base : base + PART + length - 1]
         h = gram_hashes(part)
@@ -79,7 +81,7 @@ def segments(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, lis
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:], [len(place)]]) - 1
         digests = [signed(xxhash.xxh3_64_intdigest(part[a : b + length])) for a, b in zip(first.tolist(), last.tolist())]
-        yield h[place[first]].view(np.int64), digests, first + base, last + base
+        yield h[place[first]].view(np.int64), digests, (first + base << 24) | (last - first << 12) | (place[first] - first)
 
 
 def signed(x: int) -> int:
@@ -156,60 +158,85 @@ def repeated_runs(strings: list[bytes], wanted: list[bool], length: int = LENGTH
             yield s, a - base, b - base + length
 
 
-TEXTS = "t binary, doc_id long, segments array<struct<a: long, d: long, lo: int, hi: int>>"
-SEGMENTS = pa.list_(pa.struct([("a", pa.int64()), ("d", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
 MARKS = "t binary, lo int, hi int"
+FOUND = "t binary, doc_id long, a array<long>, d array<long>, place array<long>"
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """t (half of the text's SHA-256), doc_id and text."""
+    """t (half of the text's SHA-256, never null), doc_id and text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return texts.select(F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16).alias("t"), "doc_id", "text")
+    key = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+    return texts.select(F.coalesce(key, F.lit(b"")).alias("t"), "doc_id", "text")
 
 
 def find_segments(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, parts = [0], [[], [], [], []]
+            counts, parts = [0], [[], [], []]
             for x in batch.column(2).cast(pa.large_binary()):
                 n = 0
-                for a, d, lo, hi in segments(x.as_py(), length):
-                    n += len(a)
-                    for held, new in zip(parts, (a, np.array(d, np.int64), lo, hi)):
-                        held.append(new)
+                for new in segments(x.as_py(), length):
+                    n += len(new[0])
+                    for held, values in zip(parts, new):
+                        held.append(np.asarray(values, np.int64))
                 counts.append(counts[-1] + n)
-            flat = [pa.array(np.concatenate(p) if p else np.empty(0, np.int64), f.type) for p, f in zip(parts, SEGMENTS.value_type)]
-            lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(SEGMENTS.value_type)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["t", "doc_id", "segments"])
+            ends = pa.array(counts, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(p) if p else np.empty(0, np.int64))) for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["t", "doc_id", "a", "d", "place"])
 
-    return texts.mapInArrow(run, TEXTS)
+    return texts.mapInArrow(run, FOUND)
+
+
+CLASSES = 4
+
+
+def sharing(group: list[tuple], length: int) -> list[tuple]:
+    """The members of an anchor's group that share the core of a class of windows. Members: t, raw, lo, span, ahead, wanted."""
+    width = length - GRAM + 1
+    step = -(-width // CLASSES)
+    cores: dict[tuple[int, int], list[int]] = {}
+    for i, (_, raw, _, span, ahead, _) in enumerate(group):
+        for c in range(CLASSES):
+            first = ahead - width + 1 + step * c
+            last = min(first + step - 1, ahead)
+            if last >= 0 and first <= span:
+                cores.setdefault((c, xxhash.xxh3_64_intdigest(raw[last : first + length])), []).append(i)
+    kept = sorted({i for found in cores.values() if len(found) > 1 for i in found})
+    return [group[i] for i in kept] if any(group[i][5] for i in kept) else []
 
 
 def compare(groups: DataFrame, length: int) -> DataFrame:
-    """Marks of the wanted segments. groups: a, t, lo, raw, wanted, one row for each distinct segment of an anchor."""
+    """Marks of the wanted segments. groups: a, t, lo, span, ahead, raw, wanted, a row for each distinct segment of an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        group: list[tuple] = []
         size = 0
 
         def settle() -> pa.RecordBatch:
-            found = list(repeated_runs([x[1] for x in held], [x[3] for x in held], length))
-            rows = [(held[s][0], held[s][2] + a, held[s][2] + b) for s, a, b in found]
-            return as_marks(rows)
+            found = list(repeated_runs([x[1] for x in held], [x[5] for x in held], length))
+            return as_marks([(held[s][0], held[s][2] + a, held[s][2] + b) for s, a, b in found])
 
         last = None
         for batch in batches:
-            for a, t, lo, raw, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != last and size >= BLOCK:
-                    yield settle()
-                    held, size = [], 0
+            for a, t, lo, span, ahead, raw, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                if a != last:
+                    new = sharing(group, length) if len(group) > 1 else []
+                    held += new
+                    size += sum(len(x[1]) + 1 for x in new)
+                    group = []
+                    if size >= BLOCK:
+                        yield settle()
+                        held, size = [], 0
                 last = a
-                held.append((t, raw, lo, wanted))
-                size += len(raw) + 1
+                if not group or (t, lo) != (group[-1][0], group[-1][2]):  # rows that share id and text come twice
+                    group.append((t, raw, lo, span, ahead, wanted))
+        held += sharing(group, length) if len(group) > 1 else []
         if held:
             yield settle()
 
-    return groups.select("a", "t", "lo", "raw", "wanted").repartition("a").sortWithinPartitions("a", "t", "lo").mapInArrow(run, MARKS)
+    dealt = groups.select("a", "t", "lo", "span", "ahead", "raw", "wanted").repartition("a").sortWithinPartitions("a", "t", "lo")
+    return dealt.mapInArrow(run, MARKS)
 
 
 def as_marks(rows: list[tuple]) -> pa.RecordBatch:
@@ -227,39 +254,44 @@ def count_windows(groups: DataFrame, length: int) -> DataFrame:
                 w = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([t] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int32()), pa.array([wanted] * n)], names=["w", "t", "lo", "wanted"])
 
-    windows = groups.select("t", "lo", "raw", "wanted").mapInArrow(run, "w binary, t binary, lo int, wanted boolean")
+    windows = groups.dropDuplicates(["t", "lo"]).select("t", "lo", "raw", "wanted").mapInArrow(run, "w binary, t binary, lo int, wanted boolean")
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
     return windows.where("wanted").join(twice, "w", "left_semi").select("t", "lo", (F.col("lo") + length).cast("int").alias("hi"))
 
 
 def cut_out(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """doc_id, text and spans: array<struct<lo, hi>> of the bytes to be removed, in order and apart; null if none."""
+    """doc_id, text and spans: array<struct<lo, hi>> of the bytes to be removed; null if none."""
+    lo, span, ahead = F.shiftright("place", 24).cast("int"), F.shiftright("place", 12).bitwiseAND(4095).cast("int"), F.col("place").bitwiseAND(4095).cast("int")
     texts = with_key(docs)
-    found = find_segments(texts, length).groupBy("t").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("segments").alias("segments"))
-    found = cut(found.where(F.size("segments") > 0))
-    every = found.select("t", "n", F.explode("segments").alias("s")).select("t", "n", "s.*")
-    often = every.groupBy("a").agg(F.sum("n").alias("times")).where("times > 1").select("a")
+    # rows get a number once, in the checkpoint; what is shuffled most carries it instead of the text's digest
+    found = cut(find_segments(texts, length).where(F.size("a") > 0).withColumn("row", F.monotonically_increasing_id()))
+    owner = found.select("row", "t", "doc_id")
+    every = found.select("row", F.explode(F.arrays_zip("a", "d", "place")).alias("s")).select("row", "s.*")
+    often = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
     every = cut(every.join(often, "a"))
-    distinct = every.groupBy("a", "d").agg(F.sum("n").alias("times"), F.min(F.struct("t", "lo", "hi")).alias("one"))
-    whole = distinct.where("times > 1").select("a", "d")
-    marks = every.where("n = 1").join(whole, ["a", "d"], "left_semi").select("t", "lo", (F.col("hi") + length).cast("int").alias("hi"))
-
-    mixed = distinct.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("single")).where("kinds > 1 and single > 0")
-    wanted = distinct.join(mixed.select("a", "kinds"), "a").select("a", "one.*", (F.col("times") == 1).alias("wanted"), (F.col("kinds") > hot_segments).alias("hot"))
-    wanted = wanted.join(found.select("t", F.col("least").alias("least")), "t")
-    with_text = wanted.join(texts, "t").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    raw = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
-    groups = with_text.select("a", "t", "lo", raw.alias("raw"), "wanted", "hot").dropDuplicates(["a", "t", "lo"])
+    counts = every.groupBy("a", "d").agg(F.count("*").alias("times"))
+    timed = every.join(counts, ["a", "d"]).select("a", "d", "row", "place", "times")
+    whole = timed.where("times > 1")
+    end = (lo + span + length).cast("int")
+    marks = whole.groupBy("row").agg(F.collect_list(F.struct(lo.alias("lo"), end.alias("hi"))).alias("spans")).join(owner, "row").select("t", F.explode("spans").alias("s")).select("t", "s.*")
+
+    mixed = counts.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("single")).where("kinds > 1 and single > 0")
+    one = timed.where("times = 1").select("a", "row", "place", F.lit(True).alias("wanted"))
+    one = one.unionAll(whole.dropDuplicates(["a", "d"]).select("a", "row", "place", F.lit(False).alias("wanted")))
+    one = one.join(mixed.select("a", (F.col("kinds") > hot_segments).alias("hot")), "a").groupBy("row").agg(F.collect_list(F.struct("a", "place", "wanted", "hot")).alias("ones"))
+    one = one.join(owner.withColumnRenamed("doc_id", "own_id"), "row").drop("row")
+    with_text = one.join(texts, "t").where(F.col("doc_id").eqNullSafe(F.col("own_id"))).select("t", "text", F.explode("ones").alias("one")).select("t", "text", "one.*")
+    raw = F.substring(F.col("text").cast("binary"), lo + 1, span + length)
+    groups = with_text.select("a", "t", lo.alias("lo"), span.alias("span"), ahead.alias("ahead"), raw.alias("raw"), "wanted", "hot")
     marks = marks.unionAll(compare(groups.where("not hot"), length)).unionAll(count_windows(groups.where("hot"), length))
 
     lists = marks.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    all_of_it = found.where("n > 1").select("t", F.array(F.struct(F.lit(0).alias("lo"), F.lit(-1).alias("hi"))).alias("spans"))
-    return texts.join(lists.unionAll(all_of_it), "t", "left").select("doc_id", "text", "spans")
+    return texts.join(lists, "t", "left").select("doc_id", "text", "spans")
 
 
-def united(spans: list[dict], n: int) -> list[tuple[int, int]]:
+def united(spans: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], n if s["hi"] < 0 else s["hi"]) for s in spans):
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -284,7 +316,7 @@ def removed(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGME
                     out.append((doc.as_py(), n.as_py(), 0, 0, digest.as_py()))
                     continue
                 raw, at, kept = x.as_py(), 0, hashlib.sha256()
-                runs = united(spans.as_py(), len(raw))
+                runs = united(spans.as_py())
                 for lo, hi in runs:
                     kept.update(raw[at:lo])
                     at = hi
