@@ -33,13 +33,13 @@ END_ID = 1
 PIECE = 256
 BLOCK_WINDOWS = 256
 #: Words whose ids a worker remembers.
-MEMO = 500_000
+MEMO = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 #: Final marks that the tokenizer splits from the letters before them.
-MARKS = frozenset(".,;:!?|)")
+MARKS = ".,;:!?|)"
 #: Where Python's splitting or lower-casing differs from the tokenizer's: U+001C to U+001F and the capital sigma.
 ODD = re.compile("[\x1c-\x1f\u03a3]")
 
@@ -65,6 +65,19 @@ def letter_encoder(vocabulary: dict[str, int]):
     return tiktoken.Encoding("letters", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
 
 
+class Codes(dict):
+    """A number for each word, given out as words come up; `new` lists those without ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordIds:
     """Ids of whole texts, remembered by word.
 
@@ -83,57 +96,65 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32)
-        self.starts = np.zeros(1 << 15, np.int64)  # one more than words: each word's end is the next one's start
-
-    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        n = len(self.code)
-        ends = self.starts[n] + np.cumsum(counts)
-        while n + len(words) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while ends[-1] > len(self.flat):
+        self.code = Codes()
+        self.used = 0
+        self.flat = np.empty(1 << 18, np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32)
+        self.first = np.zeros(1 << 16, np.int64)
+        self.count = np.zeros(1 << 16, np.int64)
+
+    def add(self, codes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.starts[n] : ends[-1]] = ids
-        self.starts[n + 1 : n + 1 + len(words)] = ends
-        self.code.update(zip(words, range(n, n + len(words))))
-
-    def learn(self, words: set[str]) -> None:
-        letters = {x for x in words if x.isalpha() and (x.isascii() or is_normalized("NFC", x))}
-        marked = [x for x in words - letters if x[-1] in MARKS and x[:-1].isalpha() and (x.isascii() or is_normalized("NFC", x))]
-        other = list(words.difference(letters, marked))
-        letters.update(x[:-1] for x in marked)
-        other += {x[-1] for x in marked}.difference(other, self.code)
-        plain = list(letters.difference(self.code))
-        for i in range(0, len(plain), 16384):
-            part = plain[i : i + 16384]
+        while len(self.code) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[codes] = self.used + np.cumsum(counts) - counts
+        self.count[codes] = counts
+        self.used += len(ids)
+
+    def learn(self) -> None:
+        """The ids of the words that have a code but no ids yet."""
+        new, code = self.code.new, self.code
+        letters, other, marked = [], [], []
+        for w in new:  # grows as the parts of words get codes of their own
+            if w.isalpha() and (w.isascii() or is_normalized("NFC", w)):
+                letters.append(w)
+                continue
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core.isalpha() and (core.isascii() or is_normalized("NFC", core)):
+                marked.append((code[w], code[core], code[w[len(core) :]]))
+            else:
+                other.append(w)
+        for i in range(0, len(letters), 16384):
+            part = letters[i : i + 16384]
             ids = np.array(self.letters.encode_ordinary("\0".join([*part, ""])), np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            self.add(part, ids, np.diff(ends, prepend=0))
+            self.add(np.fromiter(map(code.__getitem__, part), np.int64, len(part)), ids, np.diff(ends, prepend=0))
         for i in range(0, len(other), 4096):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(other[i : i + 4096], add_special_tokens=False)]
+            part = other[i : i + 4096]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.add(other[i : i + 4096], np.fromiter(chain.from_iterable(ids), np.int64, counts.sum()), counts)
+            self.add(np.fromiter(map(code.__getitem__, part), np.int64, len(part)), np.fromiter(chain.from_iterable(ids), np.int64, counts.sum()), counts)
         if marked:
-            ids, counts = self.known([y for x in marked for y in (x[:-1], x[-1])])
-            self.add(marked, ids, counts[0::2] + counts[1::2])
+            whole, core, mark = np.array(marked).T
+            ids, counts = self.known(np.stack([core, mark], axis=1).ravel())
+            self.add(whole, ids, counts[0::2] + counts[1::2])
+        new.clear()
 
-    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        first = self.starts[code]
-        count = self.starts[code + 1] - first
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, count = self.first[codes], self.count[codes]
         before = np.cumsum(count)
         total = int(before[-1]) if len(before) else 0
         return self.flat[np.repeat(first - before + count, count) + np.arange(total)], count
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and the number of ids of each word."""
-        if missing := set(words).difference(self.code):
-            if len(self.code) + len(missing) > MEMO:
-                self.clear()
-                missing = set(words)
-            self.learn(missing)
-        return self.known(words)
+        if len(self.code) > MEMO:
+            self.clear()
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.new:
+            self.learn()
+        return self.known(codes)
 
     def texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
