@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tessera.functions import similarity, text
 from tessera.operators import augment, blocking, context, decide, dense, features, learn, models
@@ -315,6 +316,7 @@ def two_legs(spark, sf_dir):
     return blocking.leg(sims, 10, "s1", "f_name"), blocking.leg(sims, 3, "cand", "r_name")
 
 
+SHARD = StructType([StructField("s1", LongType()), StructField("cand", LongType()), StructField("sim_f_name", DoubleType()), StructField("sim_dense", DoubleType()), StructField("rk_dense", LongType()), StructField("sim_k_addr", DoubleType())])
 TWO_LEGS_SQL = f"{GRAM_SQL}, f AS ({leg_sql('sims', 's1', 10, 'f_name')}), r AS ({leg_sql('sims', 'cand', 3, 'r_name')})"
 
 
@@ -340,6 +342,12 @@ def semi_known_pairs(spark, sf_dir):
     return blocking.known_pairs(r, f).select("s1", "cand")
 
 
+@query(f"WITH {TWO_LEGS_SQL} SELECT f.s1, f.cand, sim_f_name, sim_r_name AS sim_dense, rk_r_name AS rk_dense, NULL::DOUBLE AS sim_k_addr FROM f LEFT JOIN r USING (s1, cand)")
+def dense_join_shard(spark, sf_dir):
+    f, r = two_legs(spark, sf_dir)
+    return blocking.with_dense(f, r.withColumnsRenamed({"sim_r_name": "sim_dense", "rk_r_name": "rk_dense"}), SHARD)
+
+
 @query(f"""WITH {TWO_LEGS_SQL}, truth AS (SELECT s_suppkey AS s1, c_custkey AS cand FROM supplier JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey),
 legs AS (SELECT 'f' AS leg, s1, cand FROM f UNION ALL SELECT 'r', s1, cand FROM r UNION ALL SELECT DISTINCT 'all', s1, cand FROM (SELECT s1, cand FROM f UNION ALL SELECT s1, cand FROM r)),
 c AS (SELECT leg, count(*) AS n_found FROM legs JOIN truth USING (s1, cand) GROUP BY leg)
@@ -459,6 +467,39 @@ def norm_url_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.regexp_extract(site, text.T.DOMAIN, 1).alias("domain"))
 
 
+def sql_map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+FORMS, FILLERS = sql_map(text.T.LEGAL_FORMS), "[" + ", ".join(f"'{w}'" for w in text.T.FILLER_WORDS) + "]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_filter(string_split(lower('The ' || p_name || ' and ' || p_type || CASE p_size % 4 WHEN 0 THEN ' Inc.' WHEN 1 THEN ', LLC' WHEN 2 THEN ' Private Limited' ELSE '' END).replace('.', '').replace(',', ' '), ' '), lambda x: x <> '') AS t, {FORMS} AS m FROM part),
+k AS (SELECT p_partkey, list_transform(t, lambda x: coalesce(m[x], x)) AS clean, list_filter(t, lambda x: m[x] IS NULL AND NOT list_contains({FILLERS}, x)) AS core, list_filter(list_transform(t, lambda x: m[x]), lambda x: x IS NOT NULL) AS legal FROM t)
+SELECT p_partkey, array_to_string(clean, ' ') AS name_clean, array_to_string(core, ' ') AS name_core, array_to_string(list_sort(list_distinct(core)), ' ') AS name_sorted, array_to_string(core, '') AS name_concat, array_to_string(list_sort(list_distinct(legal)), ' ') AS legal, 0::BIGINT AS is_domain FROM k""")
+def norm_name_parts(spark, sf_dir):
+    ends = F.when(F.col("p_size") % 4 == 0, " Inc.").when(F.col("p_size") % 4 == 1, ", LLC").when(F.col("p_size") % 4 == 2, " Private Limited").otherwise("")
+    df = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(" and "), "p_type", ends).alias("raw"))
+    return longs(text.normalise_names(df, "raw").drop("raw"))
+
+
+US = sql_map(text.T.US_STATES)
+
+
+@query(f"""SELECT c_custkey, c_custkey || ' main st nation ' || c_nationkey AS addr_clean, CASE WHEN c_custkey = c_nationkey THEN CAST(c_custkey AS VARCHAR) ELSE c_custkey || ' ' || c_nationkey END AS addr_nums,
+  CAST(c_custkey AS VARCHAR) AS house, 'main' AS street, '' AS city, CASE c_custkey % 3 WHEN 0 THEN ({US})['texas'] WHEN 1 THEN 'il' ELSE '' END AS state, '' AS postcode FROM customer""")
+def norm_address_parts(spark, sf_dir):
+    state = F.when(F.col("c_custkey") % 3 == 0, ", TEXAS").when(F.col("c_custkey") % 3 == 1, ", IL").otherwise("")
+    raw = F.concat(F.lit("##0"), F.col("c_custkey").cast("string"), F.lit(" Main Street, Nation-0"), F.col("c_nationkey").cast("string"), state, F.lit(", null"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"), F.lit("US").alias("country"))
+    return text.normalise_addresses(df, "raw", "country").drop("raw", "country")
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^\\x{0}-\\x{24F}]') AS latin FROM documents")
+def latin_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_latin(F.col("text")).alias("latin"))
+
+
 @query("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def strip_accents_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.folder()(F.col("text")).alias("folded"))
