@@ -26,6 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame, *keys: str, values: int = 8) -> DataFrame:
+    """df with a small hash of the keys as a further join key, `apart`.
+
+    Next to an aggregate on the same keys a join takes the aggregate's partitioning over, and adaptive execution can't split a
+    hot key. With a key more, the join deals both sides out itself, and it can. Joins in a row need different `values`."""
+    return df.withColumn("apart", F.pmod(F.xxhash64(*keys), F.lit(values)))
+
+
 def text_column(name: str = "text") -> "F.Column":
     """The text with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))

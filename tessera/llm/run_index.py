@@ -2,10 +2,10 @@
 
 Which strings can repeat is found first. Every window of `length` bytes picks an anchor, its least hashed gram (the leftmost of
 equals), so equal windows pick equal anchors, wherever they are. The windows of one anchor in a row form a segment. Anchors that
-occur once are dropped; of the others,
+occur once are dropped; of the others' segments,
 
-- a segment that occurs twice or more as a whole, told by its digest, is all repeated;
-- the other segments of an anchor are compared byte by byte with one copy of each distinct segment of that anchor. The windows
+- one that occurs twice or more as a whole, told by its digest, is all repeated;
+- the rest, if the anchor has more than one, are compared byte by byte with one copy of each distinct segment of that anchor. The windows
   fall into a few classes by where the anchor lies in them; those of a class share a core, and a segment none of whose cores
   another one has is left out. Blocks of the rest are concatenated, with a separator of its own behind each, and indexed: the suffix order gives the
   Burrows-Wheeler transform, of which only the runs are kept, with the text positions at the runs' ends as samples. Matches with
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, documents, text_column
+from tessera.llm.common import apart, cut, documents, text_column
 
 LENGTH = 400
 GRAM = 32
@@ -262,31 +262,32 @@ def count_windows(groups: DataFrame, length: int) -> DataFrame:
 def cut_out(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, text and spans: array<struct<lo, hi>> of the bytes to be removed; null if none."""
     lo, span, ahead = F.shiftright("place", 24).cast("int"), F.shiftright("place", 12).bitwiseAND(4095).cast("int"), F.col("place").bitwiseAND(4095).cast("int")
-    texts = with_key(docs)
+    texts = apart(with_key(docs), "t")
     # rows get a number once, in the checkpoint; what is shuffled most carries it instead of the text's digest
-    found = cut(find_segments(texts, length).where(F.size("a") > 0).withColumn("row", F.monotonically_increasing_id()))
+    found = cut(find_segments(texts.drop("apart"), length).where(F.size("a") > 0).withColumn("row", F.monotonically_increasing_id()))
     owner = found.select("row", "t", "doc_id")
     every = found.select("row", F.explode(F.arrays_zip("a", "d", "place")).alias("s")).select("row", "s.*")
     often = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
     every = cut(every.join(often, "a"))
     counts = every.groupBy("a", "d").agg(F.count("*").alias("times"))
-    timed = every.join(counts, ["a", "d"]).select("a", "d", "row", "place", "times")
-    whole = timed.where("times > 1")
+    twice = counts.where("times > 1").select("a", "d", F.lit(True).alias("twice"))
+    timed = every.join(twice, ["a", "d"], "left").select("a", "d", "row", "place", "twice")
+    whole = timed.where("twice")
     end = (lo + span + length).cast("int")
     marks = whole.groupBy("row").agg(F.collect_list(F.struct(lo.alias("lo"), end.alias("hi"))).alias("spans")).join(owner, "row").select("t", F.explode("spans").alias("s")).select("t", "s.*")
 
     mixed = counts.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("single")).where("kinds > 1 and single > 0")
-    one = timed.where("times = 1").select("a", "row", "place", F.lit(True).alias("wanted"))
+    one = timed.where("twice is null").select("a", "row", "place", F.lit(True).alias("wanted"))
     one = one.unionAll(whole.dropDuplicates(["a", "d"]).select("a", "row", "place", F.lit(False).alias("wanted")))
-    one = one.join(mixed.select("a", (F.col("kinds") > hot_segments).alias("hot")), "a").groupBy("row").agg(F.collect_list(F.struct("a", "place", "wanted", "hot")).alias("ones"))
+    one = apart(one, "a").join(apart(mixed.select("a", (F.col("kinds") > hot_segments).alias("hot")), "a"), ["a", "apart"]).groupBy("row").agg(F.collect_list(F.struct("a", "place", "wanted", "hot")).alias("ones"))
     one = one.join(owner.withColumnRenamed("doc_id", "own_id"), "row").drop("row")
-    with_text = one.join(texts, "t").where(F.col("doc_id").eqNullSafe(F.col("own_id"))).select("t", "text", F.explode("ones").alias("one")).select("t", "text", "one.*")
+    with_text = apart(one, "t").join(texts, ["t", "apart"]).where(F.col("doc_id").eqNullSafe(F.col("own_id"))).select("t", "text", F.explode("ones").alias("one")).select("t", "text", "one.*")
     raw = F.substring(F.col("text").cast("binary"), lo + 1, span + length)
     groups = with_text.select("a", "t", lo.alias("lo"), span.alias("span"), ahead.alias("ahead"), raw.alias("raw"), "wanted", "hot")
     marks = marks.unionAll(compare(groups.where("not hot"), length)).unionAll(count_windows(groups.where("hot"), length))
 
     lists = marks.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return texts.join(lists, "t", "left").select("doc_id", "text", "spans")
+    return texts.join(apart(lists, "t"), ["t", "apart"], "left").select("doc_id", "text", "spans")
 
 
 def united(spans: list[dict]) -> list[tuple[int, int]]:
