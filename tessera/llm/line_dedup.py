@@ -1,11 +1,13 @@
-"""Exact substring dedup of lines or paragraphs.
+"""Exact substring dedup of lines or paragraphs, and of the sentences in them.
 
-Units are the lines of a text, or its paragraphs (parts between empty lines). A unit is normalised (lower case, single spaces,
-trimmed) and hashed to 128 bits. Digests are grouped over all documents with an aggregate that keeps only the earliest
-occurrence and a count; occurrences are then matched with the digests found twice or more, and all but the earliest are removed.
-Earliest is by doc_id, then by row, then by place in the text. Offsets are code points of the original text, end exclusive.
+Units are the lines of a text, or its paragraphs (parts between empty lines); a unit of several sentences counts with each of
+them as a unit of its own, so that a passage is found in the middle of a line. A unit is normalised (lower case, single spaces,
+trimmed, without final marks) and hashed to 128 bits. Digests are grouped over all documents with an aggregate that keeps only
+the earliest occurrence and a count; occurrences are then matched with the digests found twice or more, and all but the earliest
+are removed. Earliest is by doc_id, then by row, then by place in the text. Offsets are code points of the original text, end
+exclusive; a sentence ends before its final mark if another one follows.
 
-Units of fewer than `min_words` words are left alone.
+Units of fewer than `min_words` words, and sentences of fewer than `sentence_words`, are left alone.
 
 Defined results: a null or empty text has no units; rows without an id rank last; of rows that share an id the first by position
 in the input ranks first; extra columns are ignored; an empty table gives no rows.
@@ -23,23 +25,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, documents, text_column
+from tessera.llm.common import apart, cut, documents, text_column
 
 MIN_WORDS = 5
+SENTENCE_WORDS = 8
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
-UNITS = "doc_id long, row long, unit long, start long, end long, high long, low long"
+SENTENCE = re.compile("[.!?] ")
+MARKS = ".!?"
+FIELDS = ["doc_id", "row", "unit", "part", "start", "end", "high", "low"]
 
 
-def split_units(text: str, kind: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each unit."""
-    start = 0
-    for m in BREAKS[kind].finditer(text):
+def split(text: str, at: re.Pattern, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the parts of text[start:end]."""
+    for m in at.finditer(text, start, end):
         yield start, m.start()
         start = m.end()
-    yield start, len(text)
+    yield start, end
 
 
-def units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def split_units(text: str, kind: str) -> Iterator[tuple[int, int, int, int]]:
+    """(unit, part, start, end): whole units are part 0, the sentences of one that has several count from 1."""
+    for unit, (a, b) in enumerate(split(text, BREAKS[kind], 0, len(text))):
+        yield unit, 0, a, b
+        parts = list(split(text, SENTENCE, a, b))
+        if len(parts) > 1:
+            for i, (c, d) in enumerate(parts, 1):
+                yield unit, i, c, d
+
+
+def units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
     """A row for each unit of enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,37 +62,43 @@ def units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> Da
             out: list[tuple] = []
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = x.as_py()
-                for unit, (a, b) in enumerate(split_units(text, kind)):
+                for unit, part, a, b in split_units(text, kind):
                     words = text[a:b].lower().split()
-                    if len(words) >= min_words:
-                        digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        out.append((doc, row, unit, a, b, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+                    if len(words) >= (sentence_words if part else min_words):
+                        digest = xxhash.xxh3_128_digest(" ".join(words).rstrip(MARKS).encode("utf-8", "surrogatepass"))
+                        out.append((doc, row, unit, part, a, b, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
                 row += 1
-                if len(out) > 50_000:
+                if len(out) > 20_000:
                     yield as_batch(out)
                     out = []
             yield as_batch(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(run, UNITS)
+    schema = ", ".join(f"{f} long" for f in FIELDS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(run, schema)
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "row", "unit", "start", "end", "high", "low"])
-
-
-def repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each unit to be removed: doc_id, row, unit, start, end, and the doc_id and unit of the occurrence that stays."""
-    found = cut(units(docs, kind, min_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "unit")
-    first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    both = found.join(first, ["high", "low"]).where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
-    return both.select("doc_id", "row", "unit", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"))
-
-
-def deduplicate(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text without the repeated units, and removed: the (start, end) spans taken out of the original text."""
-    spans = repeats(docs, kind, min_words).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    columns = list(zip(*rows)) or [()] * len(FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=FIELDS)
+
+
+def repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+    """A row for each unit to be removed: doc_id, row, unit, part, start, end, and doc_id, unit and part of the one that stays."""
+    found = cut(units(docs, kind, min_words, sentence_words))
+    counts = found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = apart(found, "high", "low").join(apart(counts, "high", "low"), ["high", "low", "apart"])
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "unit", "part")
+    first = twice.groupBy("high", "low").agg(F.min(rank).alias("first"))
+    both = apart(twice, "high", "low", values=7).join(apart(first, "high", "low", values=7), ["high", "low", "apart"])
+    later = (F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")) | (F.col("part") != F.col("first.part"))
+    kept = [F.col(f"first.{c}").alias(f"kept_{c}") for c in ("doc_id", "unit", "part")]
+    return both.where(later).select("doc_id", "row", "unit", "part", "start", "end", *kept)
+
+
+def deduplicate(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+    """doc_id, text without the repeated units, and removed: the (start, end) spans taken out of the original text, which may
+    lie in each other."""
+    spans = repeats(docs, kind, min_words, sentence_words).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     out = T.StructType([T.StructField("row", T.LongType()), *texts.schema.fields])
 
@@ -94,8 +114,8 @@ def deduplicate(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS)
             for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 at, parts = 0, []
                 for s in removed or ():
-                    parts.append(text[at : s["start"]])
-                    at = min(len(text), s["end"] + 1)  # with the line break behind it
+                    parts.append(text[at : max(at, s["start"])])
+                    at = max(at, min(len(text), s["end"] + (text[s["end"] : s["end"] + 1] == "\n")))  # with the line break behind it
                 kept.append("".join([*parts, text[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], names=["doc_id", "text", "removed"])
 
@@ -104,5 +124,5 @@ def deduplicate(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All repeated lines but the first of each, with their original offsets."""
+    """All repeated lines and sentences but the first of each, with their original offsets."""
     return repeats(documents(spark, sf_dir)).drop("row")
