@@ -117,7 +117,6 @@ CHAIN_BITS, CHAIN_SHARE = 64, 0.34
 MARGIN = 0.7
 
 
-
 def wide_fingerprint(hashes: np.ndarray, width: int) -> bytes:
     """A ring of so many bits: each is 1 if it is set in over half of the distinct hashes, each spread over all bits."""
     hashes = np.unique(hashes)
