@@ -268,7 +268,7 @@ def cut_out(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGME
     owner = found.select("row", "t", "doc_id")
     every = found.select("row", F.explode(F.arrays_zip("a", "d", "place")).alias("s")).select("row", "s.*")
     often = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
-    every = cut(every.join(often, "a"))
+    every = cut(apart(every, "a").join(apart(often, "a"), ["a", "apart"]).drop("apart"))
     counts = every.groupBy("a", "d").agg(F.count("*").alias("times"))
     twice = counts.where("times > 1").select("a", "d", F.lit(True).alias("twice"))
     timed = every.join(twice, ["a", "d"], "left").select("a", "d", "row", "place", "twice")
