@@ -271,7 +271,7 @@ def cut_out(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGME
     every = cut(apart(every, "a").join(apart(often, "a"), ["a", "apart"]).drop("apart"))
     counts = every.groupBy("a", "d").agg(F.count("*").alias("times"))
     twice = counts.where("times > 1").select("a", "d", F.lit(True).alias("twice"))
-    timed = every.join(twice, ["a", "d"], "left").select("a", "d", "row", "place", "twice")
+    timed = apart(every, "a", "d").join(apart(twice, "a", "d"), ["a", "d", "apart"], "left").select("a", "d", "row", "place", "twice")
     whole = timed.where("twice")
     end = (lo + span + length).cast("int")
     marks = whole.groupBy("row").agg(F.collect_list(F.struct(lo.alias("lo"), end.alias("hi"))).alias("spans")).join(owner, "row").select("t", F.explode("spans").alias("s")).select("t", "s.*")
