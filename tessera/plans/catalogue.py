@@ -762,7 +762,6 @@ def stage1_gbt(spark, sf_dir):
     return models.out_of_fold(df, columns, rounds=8, depth=4).where("p >= 0.01").select("s1", "cand", "p", "y")
 
 
-@query()
 def stage2_gbt(spark, sf_dir):
     s1, pool = records(spark, sf_dir)
     df = stage1_pairs(spark, sf_dir).withColumn("fold", models.fold_of(F.col("s1"))).persist()
