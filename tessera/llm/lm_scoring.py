@@ -1,13 +1,14 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-Both are interpolated bigram models over one vocabulary: the words of all documents, hashed into a fixed number of cells, with
-pairs of words hashed into cells of their own, so the models' size is set by two parameters and not by the data. Counts cover
-every document. They are matched: same order, cells and smoothing, and the background's counts are scaled to the target's
-number of tokens. A document's score is its mean loss per token under the target model less that under the background model:
-the lower, the more it is like the target.
+Both are interpolated bigram models over one vocabulary, all words of all documents; words and pairs of words are counted as
+they are, under 64-bit digests, so the models grow with the corpus. They are matched: same order, vocabulary and smoothing, and
+the background's counts are scaled to the target's number of tokens. A document's score is its mean loss per token under the
+target model less that under the background model: the lower, the more it is like the target.
 
-Counting needs one partial count of fixed size for each task; the partial counts are cut into blocks, dealt out by block and
-salt, and summed as they stream by, never gathered.
+No model is gathered. Documents are put into bags of bounded size, a bag counts its own words, ends of texts and pairs, and sends
+the counts to slices of the digests' range. A slice adds up what all bags sent and answers each bag with the sums of the digests
+that the bag has; the bag's documents are scored with these. A common word or pair is one entry in each bag, so no slice is hot,
+and the number of slices grows with the number of entries.
 
 Words are split at white space, lower-cased.
 
@@ -18,6 +19,7 @@ documents that share an id are scored one by one; an id is in the target if any
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,155 +28,206 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, text_column, word_chunks
+from tessera.llm.common import cut, documents, text_column, word_chunks
 
-#: Cells of words and of pairs, as powers of two.
+#: The vocabulary counts as this power of two of words at least, so that a small corpus leaves room for unseen words.
 WORD_BITS = 17
-PAIR_BITS = 19
 #: Weight of the pair model, and what each word's count is raised by.
 PAIR_WEIGHT = 0.6
 RAISE = 0.5
-BLOCK = 1 << 13
-SALTS = 16
-MEMO = 500_000
+#: Words in a bag, entries in a slice, and the least number of slices.
+BAG_WORDS = 1 << 21
+SLICE_ENTRIES = 1 << 21
+SLICES = 64
 
-_cells: dict[bytes, int] = {}
+BAG = "bag long, entries long, rows array<long>, ids array<long>, lengths array<int>, tokens binary, words binary"
+BLOCK = "slice long, bag long, asks boolean, keys binary, counts binary"
+ANSWER = "bag long, slice long, totals array<long>, counts binary"
+PART = "row long, doc_id long, n long, target double, background double"
 
 
 def cells(words: list[bytes]) -> np.ndarray:
-    """The words' cells; cell 0 is the start of a text."""
-    if missing := set(words).difference(_cells):
-        if len(_cells) + len(missing) > MEMO:
-            _cells.clear()
-            missing = set(words)
-        _cells.update((w, xxhash.xxh3_64_intdigest(w) % ((1 << WORD_BITS) - 1) + 1) for w in missing)
-    return np.fromiter(map(_cells.__getitem__, words), np.uint64, len(words))
+    """The words' digests; 0 stands for the start of a text."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def pair_cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    h = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right * np.uint64(0xC2B2AE3D27D4EB4F))
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h >> np.uint64(64 - PAIR_BITS)
+    """The pairs' digests."""
+    h = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    for _ in range(2):
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
 
 
-def pairs(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(cells of the words before, cells of the words) of a text, in parts of bounded size."""
-    last = np.zeros(1, np.uint64)
-    for words in word_chunks(text.lower().encode("utf-8", "surrogatepass")):
-        if words:
-            now = cells(words)
-            yield np.concatenate([last, now[:-1]]), now
-            last = now[-1:]
+def pack(a: np.ndarray) -> bytes:
+    """Numbers, byte planes apart, compressed."""
+    planes = np.ascontiguousarray(np.frombuffer(a.tobytes(), np.uint8).reshape(-1, a.itemsize).T)
+    return a.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-SIZE = (2 << WORD_BITS) + (1 << PAIR_BITS)
+def unpack(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """Sums over the target's texts, then over all others: (block, values), with the cells of words, of contexts and of pairs.
+def bags(texts: DataFrame) -> DataFrame:
+    """Documents as the numbers of their words in a bag, with the words' digests. texts: doc_id, text.
 
-    texts: text, target (boolean)."""
+    A text's part starts with the number of the word before it, 0 for none. A text longer than a bag has parts in several."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SIZE, np.int64)
-        held: list[list[np.ndarray]] = [[], []]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = bag = TaskContext.get().partitionId() << 33
+        number: dict[bytes, int] = {}
+        parts: list[tuple] = []
         n = 0
 
-        def settle() -> None:
-            nonlocal held, n
-            for own, at in zip(held, (0, SIZE)):
-                if own:
-                    total[at : at + SIZE] += np.bincount(np.concatenate(own).astype(np.int64), minlength=SIZE)
-            held, n = [[], []], 0
+        def settle() -> pa.RecordBatch:
+            tokens = np.concatenate([p[2] for p in parts])
+            words = cells(list(number))
+            often = np.argsort(-np.bincount(tokens, minlength=len(words) + 1)[1:], kind="stable")  # low numbers for common words
+            new = np.zeros(len(words) + 1, np.int32)
+            new[often + 1] = np.arange(1, len(words) + 1)
+            tokens, words = new[tokens], np.concatenate([np.zeros(1, np.uint64), words[often]])
+            rows, ids = ([p[i] for p in parts] for i in range(2))
+            lengths = [len(p[2]) for p in parts]
+            values = [[bag], [len(entries(tokens, lengths, words)[0])], [rows], [ids], [lengths], [pack(tokens)], [words.tobytes()]]
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in BAG.split(", ")])
 
         for batch in batches:
-            for x, target in zip(batch.column(0), batch.column(1).to_pylist()):
-                for left, right in pairs(x.as_py()):
-                    held[not target] += [right, left + np.uint64(1 << WORD_BITS), pair_cells(left, right) + np.uint64(2 << WORD_BITS)]
-                    n += len(left)
-                    if n > 1 << 20:
-                        settle()
-        settle()
-        yield from as_blocks(total, TaskContext.get().partitionId() % SALTS)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
-                values = np.frombuffer(raw.as_py(), "<i8")
-                sums[block] = sums[block] + values if block in sums else values.copy()
-        for block, values in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0]), pa.array([values.astype("<i8").tobytes()], pa.binary())], names=["block", "salt", "v"])
-
-    schema = "block long, salt long, v binary"
-    return texts.mapInArrow(count, schema).repartition("block", "salt").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
-
-
-def as_blocks(total: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(total), BLOCK):
-        part = total[i : i + BLOCK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK]), pa.array([salt]), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["block", "salt", "v"])
-
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                last: bytes | None = None
+                for words in word_chunks(x.as_py().lower().encode("utf-8", "surrogatepass")):
+                    before = 0 if last is None else number.setdefault(last, len(number) + 1)
+                    own = np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int32, len(words))
+                    parts.append((row, doc, np.concatenate([np.array([before], np.int32), own])))
+                    last = words[-1] if words else last
+                    n += len(words) + 1
+                    if n >= BAG_WORDS:
+                        yield settle()
+                        bag, number, parts, n = bag + 1, {}, [], 0
+                row += 1
+        if parts:
+            yield settle()
+
+    return texts.select("doc_id", "text").mapInArrow(run, BAG)
+
+
+def entries(tokens: np.ndarray, lengths: list[int], words: np.ndarray) -> tuple:
+    """A bag's sorted distinct keys, and for each token behind a part's first the places of its word, the word before and the pair.
+
+    Words have odd keys, the start of a text too, pairs even ones."""
+    first = np.zeros(len(tokens), bool)
+    first[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = True
+    at = np.flatnonzero(~first)
+    left, right = tokens[at - 1].astype(np.int64), tokens[at].astype(np.int64)
+    codes, pair = np.unique(left * len(words) + right, return_inverse=True)
+    both = pair_cells(words[codes // len(words)], words[codes % len(words)]) & np.uint64(0xFFFFFFFFFFFFFFFE)
+    keys, place = np.unique(np.concatenate([words | np.uint64(1), both]), return_inverse=True)
+    return keys, at, place[right], place[left], place[len(words) + pair]
+
+
+def unbag(r: dict) -> tuple:
+    return entries(unpack(r["tokens"], "<i4"), r["lengths"], np.frombuffer(r["words"], "<u8"))
+
+
+def blocks(found: DataFrame, slices: int, counted: bool, asks: bool) -> DataFrame:
+    """The keys of each bag with how often each is found and how often it is the word before another, in the target (rows `good`)
+    and in all texts: one row for each slice. With counted=False the bag counts for nothing."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, at, word, before, pair = unbag(r)
+                counts = np.zeros((4, len(keys)), np.int64)
+                if counted:
+                    good = np.repeat(np.isin(r["rows"], r["good"] or []), r["lengths"])[at]
+                    for i, chosen in enumerate((good, slice(None))):
+                        seen, context = (np.bincount(p[chosen], minlength=len(keys)) for p in (word, before))
+                        counts[i] = seen + np.bincount(pair[chosen], minlength=len(keys))
+                        counts[2 + i] = context - seen  # nearly always 0: only starts and ends of texts differ
+                ends = bounds(keys, slices)
+                cuts = list(zip(ends[:-1], ends[1:]))
+                n = len(cuts)
+                steps = [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([r["bag"]] * n, pa.int64()), pa.array([asks] * n), pa.array(steps, pa.binary()), pa.array([pack(counts[:, a:b]) for a, b in cuts], pa.binary())], names=["slice", "bag", "asks", "keys", "counts"])
+
+    return found.mapInArrow(run, BLOCK)
+
+
+def bounds(keys: np.ndarray, slices: int) -> list[int]:
+    starts = np.array([(i << 64) // slices for i in range(1, slices)], np.uint64)
+    return [0, *np.searchsorted(keys, starts).tolist(), len(keys)]
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """The sums over all bags of one slice for each bag that asks, and the slice's tokens of the target, tokens and words."""
+    sent = [np.cumsum(unpack(x.as_py(), "<u8"), dtype=np.uint64) for x in table["keys"]]
+    keys, place = np.unique(np.concatenate(sent), return_inverse=True)
+    sums = np.zeros((4, len(keys)), np.int64)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sent])]).astype(np.int64)
+    for i, x in enumerate(table["counts"]):
+        sums[:, place[at[i] : at[i + 1]]] += unpack(x.as_py(), "<i8").reshape(4, -1)  # a bag has a key once
+    word = (keys & np.uint64(1)).astype(bool) & (sums[1] > 0)
+    totals = [int(sums[0, word].sum()), int(sums[1, word].sum()), int(word.sum())]
+    asked = [i for i, x in enumerate(table["asks"].to_pylist()) if x]
+    columns = [table["bag"].take(pa.array(asked, pa.int64())).combine_chunks(), table["slice"].take(pa.array(asked, pa.int64())).combine_chunks()]
+    columns += [pa.array([totals] * len(asked), pa.list_(pa.int64())), pa.array([pack(sums[:, place[at[i] : at[i + 1]]]) for i in asked], pa.binary())]
+    return pa.table(columns, names=["bag", "slice", "totals", "counts"])
+
+
+def losses(own: pa.Table, answers: pa.Table) -> pa.Table:
+    """Sums of the losses of the parts in a bag."""
+    r = own.to_pylist()[0]
+    _, at, word, before, pair = unbag(r)
+    told = sorted(answers.to_pylist(), key=lambda x: x["slice"])
+    tokens, every, vocabulary = (sum(x["totals"][i] for x in told) for i in range(3))
+    sums = np.concatenate([unpack(x["counts"], "<i8").reshape(4, -1) for x in told], axis=1).astype(np.float64)
+    part = np.repeat(np.arange(len(r["lengths"])), r["lengths"])[at]
+    found = []
+    for i, scale in ((0, 1.0), (1, tokens / max(1, every))):
+        p, both = (sums[i][x] * scale for x in (word, pair))
+        seen = (sums[i] + sums[2 + i])[before] * scale
+        p = (p + RAISE) / (tokens + RAISE * max(1 << WORD_BITS, vocabulary))
+        p = np.where(seen > 0, PAIR_WEIGHT * both / np.maximum(seen, 1e-9) + (1 - PAIR_WEIGHT) * p, p)
+        found.append(-np.bincount(part, np.log(p), len(r["lengths"])) if tokens else [None] * len(r["lengths"]))
+    values = [r["rows"], r["ids"], [n - 1 for n in r["lengths"]], *found]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.table([pa.array(v, t) for v, t in zip(values, types)], names=["row", "doc_id", "n", "target", "background"])
+
+
+@dataclass
 class Models:
-    """Both models, from their block sums."""
-
-    def __init__(self, rows: list) -> None:
-        sums = np.zeros(2 * SIZE, np.int64)
-        for r in rows:
-            sums[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(bytes(r.v), "<i8")
-        target, every = sums[:SIZE], sums[:SIZE] + sums[SIZE:]
-        self.tokens = int(target[: 1 << WORD_BITS].sum())
-        scale = self.tokens / max(1, int(every[: 1 << WORD_BITS].sum()))
-        self.target = self.parts(target.astype(np.float64))
-        self.background = self.parts(every * scale)
-
-    @staticmethod
-    def parts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = 1 << WORD_BITS
-        words = (c[:n] + RAISE) / (c[:n].sum() + RAISE * n)
-        return words.astype(np.float32), c[n : 2 * n].astype(np.float32), c[2 * n :].astype(np.float32)
-
-    @staticmethod
-    def loss(model: tuple, left: np.ndarray, right: np.ndarray, pair: np.ndarray) -> float:
-        words, context, both = model
-        p = words[right]
-        seen = context[left]
-        p = np.where(seen > 0, PAIR_WEIGHT * np.minimum(1, both[pair] / np.maximum(seen, 1e-9)) + (1 - PAIR_WEIGHT) * p, p)
-        return -float(np.log(p, dtype=np.float64).sum())
-
-    def score(self, text: str) -> tuple[int, float | None, float | None]:
-        n, target, background = 0, 0.0, 0.0
-        for left, right in pairs(text):
-            pair = pair_cells(left, right)
-            n += len(left)
-            target += self.loss(self.target, left, right, pair)
-            background += self.loss(self.background, left, right, pair)
-        return (n, target / n, background / n) if n and self.tokens else (n, None, None)
+    """Both models, as the bags of the documents that they count, and (bag, good): the rows in them that the target has."""
+
+    docs: DataFrame
+    bags: DataFrame
+    good: DataFrame
 
 
 def fit(docs: DataFrame, target_ids: DataFrame) -> Models:
     """docs: doc_id, text. target_ids: doc_id of the target's documents."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    target = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    own = cut(bags(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))))
+    target = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = own.select("bag", F.explode(F.arrays_zip("rows", "ids")).alias("r")).select("bag", "r.rows", F.col("r.ids").alias("doc_id"))
     # the labels grow with the corpus: the same join at every size, instead of a broadcast of small ones
-    marked = texts.join(target.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    return Models(counted(marked).collect())
+    good = rows.join(target.hint("merge"), "doc_id").groupBy("bag").agg(F.collect_set("rows").alias("good"))
+    return Models(docs, own, good)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(zip(*(shared.value.score(x.as_py()) for x in batch.column(1)))) or [(), (), ()]
-            new = [pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    out = out.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    same = docs is models.docs
+    own = models.bags if same else cut(bags(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))))
+    size = (models.bags if same else models.bags.unionByName(own)).agg(F.sum("entries")).first()[0] or 0
+    slices = max(SLICES, -(-size // SLICE_ENTRIES))
+    sent = blocks(models.bags.join(models.good, "bag", "left"), slices, True, same)
+    sent = sent if same else sent.unionByName(blocks(own, slices, False, True))
+    told = sent.groupBy("slice").applyInArrow(answer, ANSWER)
+    parts = own.groupBy("bag").cogroup(told.groupBy("bag")).applyInArrow(losses, PART)
+    out = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    out = out.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

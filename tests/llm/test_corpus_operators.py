@@ -259,6 +259,43 @@ def test_scores_equal_plain_cross_entropies(spark, sf, texts):
         assert out[i].n_tokens == len(ids) and out[i].score == pytest.approx(t - b, abs=1e-4)
 
 
+def test_scores_equal_unhashed_brute_force(spark, monkeypatch):
+    """More words and pairs than any fixed table held, other documents scored too, and a text longer than a bag."""
+    monkeypatch.setattr(lm_scoring, "BAG_WORDS", 5000)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(150_000)]
+    rows = [(i, " ".join(rng.sample(words, 3000) + ["end", "of", "text"])) for i in range(250)] + [(900, " ".join(rng.choices(words[:2000], k=12_000)))]
+    texts, docs = dict(rows), make(spark, rows)
+    good = set(range(0, 250, 5))
+
+    def counts(chosen):
+        one, context, two = (collections.Counter() for _ in range(3))
+        for i in chosen:
+            w = ["", *texts[i].split()]
+            one.update(w[1:])
+            context.update(w[:-1])
+            two.update(zip(w, w[1:]))
+        return one, context, two
+
+    (tw, tc, tb), (bw, bc, bb) = counts(good), counts(texts)
+    n, every = sum(tw.values()), sum(bw.values())
+    assert len(bw) > 1 << 17 and len(bb) > 1 << 19
+
+    def loss(one, context, two, f, a, b):
+        p = (one[b] * f + lm_scoring.RAISE) / (n + lm_scoring.RAISE * max(1 << lm_scoring.WORD_BITS, len(bw)))
+        return -np.log(lm_scoring.PAIR_WEIGHT * two[a, b] / context[a] + (1 - lm_scoring.PAIR_WEIGHT) * p if context[a] else p)
+
+    models = lm_scoring.fit(docs, docs.where("doc_id % 5 = 0 and doc_id < 250"))
+    out = {r.doc_id: r for r in lm_scoring.score(docs, models).collect()}
+    assert set(out) == set(texts)
+    for i in (0, 1, 249, 900):
+        w = ["", *texts[i].split()]
+        want = [np.mean([loss(*m, a, b) for a, b in zip(w, w[1:])]) for m in ((tw, tc, tb, 1), (bw, bc, bb, n / every))]
+        assert (out[i].n_tokens, out[i].target_loss, out[i].background_loss) == (len(w) - 1, pytest.approx(want[0], abs=1e-9), pytest.approx(want[1], abs=1e-9))
+    other = {r.doc_id: r.score for r in lm_scoring.score(make(spark, rows[:3]), models).collect()}
+    assert other == {i: pytest.approx(out[i].score, abs=1e-9) for i in range(3)}
+
+
 def test_scores_of_nothing(spark):
     docs = make(spark, [(1, None), (2, ""), (3, "a b a b"), (3, "a b")])
     got = lm_scoring.score(docs, lm_scoring.fit(docs, docs.where("doc_id = 3"))).collect()
