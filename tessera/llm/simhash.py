@@ -9,7 +9,8 @@ Fingerprints are compared once each, however many documents share one. Links bec
 
 A distance that stands for a similarity of 0.8 is too wide for 64 bits. `deduplicate` therefore uses two wide
 rings: one of the text's words, whose segments of 32 bits start the chains, and one of its five-word shingles, whose full Hamming
-distance decides. Two texts meet where a whole segment is equal, are pruned if the chain from there exceeds its budget, and are compared
+distance rules out pairs far below the similarity. What is left is decided by the Jaccard similarity of the sets of shingles
+themselves. Two texts meet where a whole segment is equal, are pruned if the chain from there exceeds its budget, and are compared
 with the LEADERS first texts of that segment's value, so that a group of any size makes links in proportion to its size.
 
 Defined results: a text without words has fingerprint zero and links like any other; documents that share an id have the same
@@ -113,8 +114,8 @@ SIMILARITY = 0.8
 LEADERS = 3
 #: Bits behind the first segment in which a chain is tested, and the share of them that may differ.
 CHAIN_BITS, CHAIN_SHARE = 64, 0.34
-#: Standard deviations of the distance by which its limit exceeds the mean at the least similarity.
-MARGIN = 0.7
+#: Standard deviations of the distance by which its limit exceeds the mean at the least similarity; the limit only rules out.
+MARGIN = 6
 
 
 def wide_fingerprint(hashes: np.ndarray, width: int) -> bytes:
@@ -134,7 +135,7 @@ def wide_fingerprint(hashes: np.ndarray, width: int) -> bytes:
 
 
 def greatest_distance(similarity: float) -> int:
-    """Differing bits up to which two rings stand for sets of at least this Jaccard similarity."""
+    """Differing bits beyond which two rings can't stand for sets of at least this Jaccard similarity, but for odds under 1e-8."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(SHINGLE_BITS * share + MARGIN * np.sqrt(SHINGLE_BITS * share * (1 - share)))
 
@@ -196,6 +197,32 @@ def within(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity; two texts without words are alike.
+
+    texts: id, text, any number of rows for an id; only those in pairs are shingled."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(x.as_py(), words, 42)])).tobytes() for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                left, right = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                near.append(both >= similarity * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    pairs = cut(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = texts.join(needed, "id", "left_semi").mapInArrow(shingle, "id long, set binary").dropDuplicates(["id"])
+    found = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    return found.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, all columns as they are: of each group of near copies the one with the least doc_id.
 
@@ -205,7 +232,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY)
     texts = docs.select(key.alias("t"), text_column().alias("text"))
     first = docs.select(key.alias("t"), rank.alias("rank")).groupBy("t").agg(F.min("rank").alias("rank"))
     own = wide_fingerprints(texts, words).groupBy("t").agg(F.first("starts").alias("starts"), F.first("ring").alias("ring"))
-    own = cut(own.join(first, "t").withColumn("id", F.conv(F.hex(F.substring("t", 1, 8)), 16, -10).cast("long")))
+    number = F.conv(F.hex(F.substring("t", 1, 8)), 16, -10).cast("long")
+    own = cut(own.join(first, "t").withColumn("id", number))
 
     n = WORD_BITS // 32
     at = F.col("i")
@@ -215,7 +243,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY)
     pairs = meetings(keys)
     rings = own.select("id", "ring")
     pairs = pairs.join(rings.toDF("a", "left"), "a").join(rings.toDF("b", "right"), "b")
-    roots = components(within(pairs, greatest_distance(similarity))).select(F.col("node").alias("id"), "root")
+    linked = alike(within(pairs, greatest_distance(similarity)), texts.select(number.alias("id"), "text"), words, similarity)
+    roots = components(linked).select(F.col("node").alias("id"), "root")
     groups = own.select("t", "id", "rank").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     stays = groups.groupBy("root").agg(F.min(F.struct("rank", "t")).alias("one")).select(F.col("one.t").alias("__t"), F.col("one.rank.doc_id").alias("__id"))
     marked = docs.withColumn("__key", key)

@@ -134,6 +134,30 @@ def test_wide_dedup_keeps_one_of_each_group(spark):
     assert kept == sorted([100 * g for g in range(12)] + [5000 + i for i in range(20)])
 
 
+def test_wide_dedup_decides_by_similarity(spark):
+    """Pairs just above 0.8 go and those just below stay; the distance of rings errs on both sides there."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    rows = []
+    for g in range(60):
+        own = [word() for _ in range(504)]
+        for c, last in ((0, 504), (1, 449 if g % 2 else 447)):  # with the tail replaced: 445 or 443 of 500 shingles are shared
+            rows.append((10 * g + c, " ".join(own[:last] + [word() for _ in range(504 - last)])))
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)))) for i, t in rows}
+    similar = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 600, 10)}
+    assert all((0.8 <= s < 0.81) if i // 10 % 2 else (0.79 < s < 0.8) for i, s in similar.items())
+    reach(spark)
+    texts = spark.createDataFrame(rows, "id long, text string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in similar], "a long, b long")
+    assert {r.a for r in simhash.alike(pairs, texts, 5, 0.8).collect()} == {i for i, s in similar.items() if s >= 0.8}
+    rings = {bytes(r.t): bytes(r.ring) for r in simhash.wide_fingerprints(spark.createDataFrame([(str(i).encode(), t) for i, t in rows], "t binary, text string"), 5).collect()}
+    ring = {i: np.frombuffer(rings[str(i).encode()], np.uint8) for i, _ in rows}
+    far = [int(np.bitwise_count(ring[i] ^ ring[i + 1]).sum()) for i in similar]
+    assert max(far) <= simhash.greatest_distance(0.8)
+    kept = {r.doc_id for r in simhash.deduplicate(make(spark, rows)).collect()}
+    assert all(i + 1 in kept for i, s in similar.items() if s < 0.8)
+
+
 # ---------------------------------------------------------------- 3
 
 
