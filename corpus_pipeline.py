@@ -16,7 +16,7 @@ from tessera.llm.common import documents, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, and boilerplate lines from those that stay; n_chars follows the text."""
     return quality.keep(docs)
 
 

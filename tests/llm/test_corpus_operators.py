@@ -359,6 +359,26 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert sorted(r.doc_id for r in quality.keep(docs).collect()) == [*range(100, 120), *range(200, 220), 300]
 
 
+def test_limited_lines_go_from_the_texts_that_stay(spark):
+    reach(spark)
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = []
+    for i in range(20):
+        a, b = own(40), own(30)
+        rows.append((i, f"{a}\n  Read  MORE here\n{b}\nread more here", "h", 7, f"{a}\n{b}\n"))
+    rows += [(50, rows[0][1], "other", 7, rows[0][1])]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality.clean(docs).collect()}
+    kept = {r.doc_id: r for r in quality.keep(docs).collect()}
+    words = {r.doc_id: r.n_removed_words for r in quality.judge(docs).collect()}
+    assert set(got) == set(kept) == {r[0] for r in rows}
+    for i, text, _, n, left in rows:
+        assert got[i].text == kept[i].text == left and kept[i].n_chars == (n if text == left else len(left))
+        assert [text[s.start : s.end].lower().split() for s in got[i].removed] == [["read", "more", "here"]] * (2 if i < 50 else 0)
+        assert words[i] == sum(len(text[s.start : s.end].split()) for s in got[i].removed)
+
+
 # ---------------------------------------------------------------- 8
 
 
