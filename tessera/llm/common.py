@@ -13,10 +13,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (as in tests) a folder of its own is set."""
+    """The session's spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a folder of its own; on a cluster
+    it's an error, for no folder but a shared one outlives an executor."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera")
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(place or "/tmp/checkpoints/tessera")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
