@@ -33,7 +33,7 @@ END_ID = 1
 PIECE = 256
 BLOCK_WINDOWS = 256
 #: Words whose ids a worker remembers.
-MEMO = 1_000_000
+MEMO = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
