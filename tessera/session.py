@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tessera", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -13,6 +13,7 @@ def build_session(app: str = "tessera", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -32,3 +33,21 @@ def reach(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a folder of its own; on a cluster
+    it's an error, for no folder but a shared one outlives an executor."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(place or "/tmp/checkpoints/tessera")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared checkpoint folder: what several branches read, or a later round needs."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
