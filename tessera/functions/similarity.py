@@ -15,24 +15,32 @@ from pyspark.sql import types as T
 from tessera.functions.text import tokens
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
+def places(a: str) -> dict[str, int]:
+    """For each letter a number with the bits of its places."""
     masks: dict[str, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def common(masks: dict[str, int], size: int, b: str) -> int:
+    """Length of the longest common subsequence of b and the string of that size that the masks stand for."""
+    full = (1 << size) - 1
     row = full
     for x in b:
-        met = row & masks.get(x, 0)
-        row = ((row + met) | (row - met)) & full
-    return len(a) - row.bit_count()
+        if met := row & masks.get(x, 0):
+            row = ((row + met) | (row - met)) & full
+    return size - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return common(places(a), len(a), b) if a and b else 0
 
 
 def indel(a: str, b: str) -> float:
     """1 for equal strings, also empty ones; else twice the common subsequence over both lengths."""
-    return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
+    return 1.0 if a == b else 2 * lcs(a, b) / (len(a) + len(b))
 
 
 def ratio(a: str, b: str) -> float:
@@ -54,13 +62,16 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def best_window(short: str, long: str) -> float:
-    m, letters = len(short), set(short)
+    m, masks = len(short), places(short)
+    known = [0]  # letters of the short string in each prefix of the long one: no window has more in common
+    for x in long:
+        known.append(known[-1] + (x in masks))
     best = 0.0
     for end in range(1, len(long) + m):
-        part = long[max(0, end - m) : end]
-        edge = part[-1] if end <= len(long) else part[0]
-        if edge in letters or end == len(long):
-            best = max(best, indel(short, part))
+        start, stop = max(0, end - m), min(end, len(long))
+        edge = long[stop - 1] if end <= len(long) else long[start]
+        if (edge in masks or end == len(long)) and 2 * (known[stop] - known[start]) > best * (m + stop - start):
+            best = max(best, 2 * common(masks, m, long[start:stop]) / (m + stop - start))
     return best
 
 

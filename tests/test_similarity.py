@@ -79,3 +79,58 @@ def test_null_safe_sets(spark):
     got = df.select(S.jaccard(a, b), S.containment(a, b)).collect()
     assert got[0][0] is None and got[0][1] is None
     assert got[1][0] == pytest.approx(1 / 3) and got[1][1] == 0.5
+
+
+def plain_ratio(a, b):
+    """Twice the longest common subsequence over both lengths, by the table."""
+    return 100.0 if not a and not b else 200 * lcs_table(a, b) / (len(a) + len(b))
+
+
+def plain_partial(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    sides = [(a, b), (b, a)] if len(a) == len(b) else [(a, b)]
+    return max(plain_ratio(x, y[max(0, e - len(x)) : min(e, len(y))]) for x, y in sides for e in range(1, len(y) + len(x)))
+
+
+def plain_sets(a, b):
+    x, y = set(a.split()), set(b.split())
+    join = lambda t: " ".join(sorted(t))
+    return join(x & y), join(x - y), join(y - x)
+
+
+def plain_token_set(a, b):
+    both, left, right = plain_sets(a, b)
+    if not a.split() or not b.split():
+        return 0.0
+    if both and (not left or not right):
+        return 100.0
+    first, second = (f"{both} {x}".strip() for x in (left, right))
+    return max([plain_ratio(first, second)] + ([plain_ratio(both, first), plain_ratio(both, second)] if both else []))
+
+
+def plain_weighted(a, b):
+    if not a or not b:
+        return 0.0
+    order = lambda t: " ".join(sorted(t.split()))
+    far = max(len(a), len(b)) / min(len(a), len(b))
+    if far < 1.5:
+        return max(plain_ratio(a, b), 0.95 * plain_ratio(order(a), order(b)), 0.95 * plain_token_set(a, b))
+    scale = 0.6 if far > 8 else 0.9
+    both, left, right = plain_sets(a, b)
+    parts = 0.0 if not a.split() or not b.split() else 100.0 if both else max(plain_partial(order(a), order(b)), plain_partial(left, right))
+    return max(plain_ratio(a, b), scale * plain_partial(a, b), 0.95 * scale * parts)
+
+
+def test_score_family_equals_plain_forms():
+    """Each score against a form written again from its definition, on names, parts of names and typos of them."""
+    rng = random.Random(3)
+    words = ["acme", "acne", "bolt", "bolts", "corner", "shop", "st", "12", "7", "delta"]
+    names = ["", "a", *(" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(60)), " ".join(words * 3)]
+    plain = {"ratio": plain_ratio, "partial_ratio": plain_partial, "token_sort_ratio": lambda a, b: plain_ratio(*(" ".join(sorted(t.split())) for t in (a, b))), "token_set_ratio": plain_token_set, "weighted_ratio": plain_weighted}
+    for _ in range(900):
+        a, b = rng.choice(names), rng.choice(names)
+        for name, f in plain.items():
+            assert getattr(S, name)(a, b) == pytest.approx(f(a, b)), (name, a, b)
