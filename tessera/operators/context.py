@@ -5,11 +5,14 @@ Every window of a side is planned in one pass, so the features cost one shuffle
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import SCORERS
+from tessera.operators.features import attach
+from tessera.operators.learn import EDIT_COUNTS, EDITS, edits, llr_features
 
 Score = Callable[[Column, Column], Column]
 
@@ -132,7 +135,37 @@ def score_context(pairs: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({"cx_rank_cand": F.row_number().over(cand.orderBy(F.desc_nulls_last("cx_mean"), "s1")).cast("short"), "cx_gap_cand": F.max(x).over(cand) - x})
 
 
-def build(pairs: DataFrame, attributes: DataFrame, p_min: float = 0.01) -> DataFrame:
-    """Competition, siblings and clusters of the pairs from p_min up."""
-    ranked = competition(pairs.where(F.col("p") >= p_min))
-    return clusters(siblings(ranked, attributes), attributes)
+@dataclass(frozen=True)
+class Evidence:
+    """What the context of pairs is built from. s1, pool: entity_id, country and the normalised columns; pool may have src.
+
+    tables: kind, word, llr as learned from training pairs (with a fold: out of fold). scores: (s1, cand, ce) by tag."""
+
+    s1: DataFrame
+    pool: DataFrame
+    tables: DataFrame | None = None
+    with_rarity: bool = True
+    scores: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def build(pairs: DataFrame, evidence: Evidence, p_min: float = 0.01) -> DataFrame:
+    """The pairs from p_min up with all of their context: competition, siblings, clusters, edits and what these tell by the tables,
+    rarity of names, and attached scores with their own competition. Other columns of the pairs, such as y and fold, stay."""
+    out = competition(pairs.where(F.col("p") >= p_min))
+    out = clusters(siblings(out, evidence.pool), evidence.pool)
+    fields = attach(attach(out, evidence.s1, "s1", "_a"), evidence.pool, "cand", "_b")
+    out = edits(fields).select(*out.columns, *EDITS, *EDIT_COUNTS)
+    if evidence.tables is not None:
+        out = llr_features(out, evidence.tables, EDITS, ["s1", "cand"])
+    if evidence.with_rarity:
+        key = lambda df: df.withColumn("key", F.col("name_sorted"))
+        pool = key(evidence.pool).withColumn("no_addr", F.coalesce(F.col("addr_clean"), F.lit("")) == "")
+        out = rarity(out, key(evidence.s1).select("entity_id", "country", "key"), pool.select("entity_id", "country", "key", "no_addr"))
+    if evidence.scores:
+        out = score_context(attach_scores(out, evidence.scores), [f"ce_{tag}" for tag in evidence.scores])
+    return out
+
+
+def names_of(built: DataFrame) -> list[str]:
+    """The context's columns that a model reads."""
+    return [c for c in built.columns if c.startswith(("c_", "g_", "e_", "r_", "ce_", "cx_"))]

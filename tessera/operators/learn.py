@@ -42,6 +42,7 @@ def dictionary(names: DataFrame, addresses: DataFrame) -> DataFrame:
 
 
 EDITS = ["miss", "extra", "amiss", "aextra"]
+EDIT_COUNTS = ["e_n_exact", "e_n_typo", "e_n_miss", "e_n_extra", "e_a_miss", "e_a_extra", "e_num_a_unrel", "e_num_b_unrel", "e_num_a_best", "e_num_b_cnt", "e_house_rel"]
 
 
 def edits(pairs: DataFrame) -> DataFrame:
@@ -67,7 +68,9 @@ def edits(pairs: DataFrame) -> DataFrame:
 
 
 def word_counts(df: DataFrame, kinds: list[str]) -> DataFrame:
-    """kind, word, fold, pos, neg: in how many pairs of either label the word is among the kind's. df: fold, y and array columns."""
+    """kind, word, fold, pos, neg: in how many pairs of either label the word is among the kind's. df: y, array columns and perhaps
+    fold, without which all pairs are one fold."""
+    df = df if "fold" in df.columns else df.withColumn("fold", F.lit(0))
     sets = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.array_distinct(k).alias("words")) for k in kinds))).alias("e")
     rows = df.select("fold", "y", sets).select("fold", "y", "e.kind", F.explode("e.words").alias("word"))
     return rows.groupBy("kind", "word", "fold").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
