@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tessera.functions import similarity, text
-from tessera.operators import augment, blocking, context, decide, dense, features, learn, models
-from tessera.session import reach
+from tessera.operators import augment, blocking, context, decide, dense, features, learn, models, stages
+from tessera.session import reach, settled
 from tessera.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,22 +40,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WORD = r"[^\p{L}\p{N}]+"
 
 
-def bag(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(name, token): the distinct tokens of each text."""
-    tokens = F.array_distinct(F.filter(F.split(F.lower("text"), WORD), lambda t: t != ""))
-    return df.select(F.col(key).alias(name), F.explode(tokens).alias("token"))
+def words_of(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, tokens): the distinct tokens of each text."""
+    return df.select(F.col(key).alias(name), F.array_distinct(F.filter(F.split(F.lower("text"), WORD), lambda t: t != "")).alias("tokens"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """s1, cand, p: the share of an item's informative tokens (in at most a twentieth of the documents) that a document has."""
+def shared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cand, token, n (all documents): what documents share with any item. Other tokens link nothing and aren't shuffled."""
     docs = table(spark, sf_dir, "documents")
-    pool, items = bag(docs, "doc_id", "cand"), bag(table(spark, sf_dir, "benchmark"), "item_id", "s1")
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))
-    df = pool.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n).where(F.col("df") <= 0.05 * F.col("n")).select("token")
+    wanted = words_of(table(spark, sf_dir, "benchmark"), "item_id", "s1").select(F.explode("tokens").alias("token")).distinct()
+    found = words_of(docs, "doc_id", "cand").select("cand", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
+    return settled(found.withColumn("n", F.lit(docs.count())))
+
+
+def scored(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
+    """s1, cand, p: the share of an item's informative tokens (in at most a twentieth of the documents) that a document has.
+
+    Written once; the branches of a query read it."""
+    pool = shared_tokens(spark, sf_dir) if tokens is None else tokens
+    items = words_of(table(spark, sf_dir, "benchmark"), "item_id", "s1").select("s1", F.explode("tokens").alias("token"))
+    df = pool.groupBy("token").agg(F.count("*").alias("df"), F.first("n").alias("n")).where(F.col("df") <= 0.05 * F.col("n")).select("token")
     rare = items.join(df, "token")
     size = rare.groupBy("s1").agg(F.count("*").alias("size"))
     hits = rare.join(pool, "token").groupBy("s1", "cand").agg(F.count("*").alias("hits"))
-    return hits.join(size, "s1").select("s1", "cand", F.round(F.col("hits") / F.col("size"), 6).alias("p"))
+    return settled(hits.join(size, "s1").select("s1", "cand", F.round(F.col("hits") / F.col("size"), 6).alias("p")))
 
 
 SCORED_SQL = r"""
@@ -69,11 +77,27 @@ hits AS (SELECT s1, cand, count(*) AS hits FROM rare JOIN pool1 USING (token) GR
 pairs AS (SELECT s1, cand, round(hits / size, 6) AS p FROM hits JOIN size USING (s1))"""
 
 
-def truth_of(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
-    """s1, cand: the item's text is part of the document's. Only pairs that share most informative tokens are read."""
+def truth_of(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
+    """s1, cand: the item's text is part of the document's.
+
+    Where it is, all of its tokens but the first and the last, which may be cut, are tokens of the document. So the documents of the
+    rarest such token are read. An item without one is looked for in all documents; there are few, and they are a stated set."""
+    pool = shared_tokens(spark, sf_dir) if tokens is None else tokens
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1"), F.col("text").alias("needle"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand"), "text")
-    return pairs.where("p >= 0.5").join(items, "s1").join(docs, "cand").where(F.contains("text", "needle")).select("s1", "cand")
+    every = F.filter(F.split(F.lower("needle"), WORD), lambda t: t != "")
+    inner = items.select("s1", F.array_distinct(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0)))).alias("inner"))
+    often = pool.groupBy("token").agg(F.count("*").alias("df"))
+    named = inner.select("s1", F.explode("inner").alias("token")).join(often, "token")
+    anchor = named.groupBy("s1").agg(F.min(F.struct("df", "token")).alias("a")).select("s1", F.col("a.token").alias("token"))
+    maybe = anchor.join(pool.select("cand", "token"), "token").select("s1", "cand")
+    found = maybe.join(items, "s1").join(docs, "cand").where(F.contains("text", "needle"))
+    short = items.join(inner.where(F.size("inner") == 0).select("s1"), "s1", "left_semi").agg(F.collect_list(F.struct("s1", "needle")).alias("items"))
+    few = [(r.s1, r.needle) for r in short.first()["items"]]
+    out = found.select("s1", "cand")
+    for s1, needle in few:
+        out = out.unionByName(docs.where(F.contains("text", F.lit(needle))).select(F.lit(s1).alias("s1"), "cand"))
+    return settled(out)
 
 
 TRUTH_SQL = SCORED_SQL + """,
@@ -103,14 +127,14 @@ def entity_sql(pred: str) -> str:
 @query(f"WITH {TRUTH_SQL}{BEST_SQL}, pred AS (SELECT s1, cand FROM best WHERE p >= 0.7), {entity_sql('pred')} SELECT round(avg({F05}), 6) AS f05, count(*) AS n_s1 FROM entity")
 def link_f05_macro(spark, sf_dir):
     pairs = scored(spark, sf_dir)
-    out = decide.evaluate(decide.select(pairs, 0.7), truth_of(spark, sf_dir, pairs), ids_of(spark, sf_dir))
+    out = decide.evaluate(decide.select(pairs, 0.7), truth_of(spark, sf_dir), ids_of(spark, sf_dir))
     return out.select(F.round("f05", 6).alias("f05"), "n_s1")
 
 
 @query(f"WITH {TRUTH_SQL}{BEST_SQL}, pred AS (SELECT s1, cand FROM best WHERE p >= 0.7), {entity_sql('pred')} SELECT s1, n_pred, n_true, n_both, round({F05}, 6) AS f05 FROM entity")
 def entity_f05(spark, sf_dir):
     pairs = scored(spark, sf_dir)
-    out = decide.entity_scores(decide.select(pairs, 0.7), truth_of(spark, sf_dir, pairs), ids_of(spark, sf_dir))
+    out = decide.entity_scores(decide.select(pairs, 0.7), truth_of(spark, sf_dir), ids_of(spark, sf_dir))
     return out.select("s1", "n_pred", "n_true", "n_both", F.round("f05", 6).alias("f05"))
 
 
@@ -151,7 +175,7 @@ e AS (SELECT g.threshold, b.item_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_b
 SELECT threshold, round(avg({F05}), 6) AS f05 FROM e GROUP BY threshold""")
 def threshold_sweep(spark, sf_dir):
     pairs = scored(spark, sf_dir)
-    out = decide.sweep(pairs, truth_of(spark, sf_dir, pairs), ids_of(spark, sf_dir), GRID)
+    out = decide.sweep(pairs, truth_of(spark, sf_dir), ids_of(spark, sf_dir), GRID)
     return out.select("threshold", F.round("f05", 6).alias("f05"))
 
 
@@ -259,32 +283,29 @@ def score_context(spark, sf_dir):
 
 
 def names(spark, sf_dir):
-    """Suppliers (s1) and customers (pool): id, region, part, text."""
-    side = lambda t, k, n, r: table(spark, sf_dir, t).select(F.col(k).alias("id"), F.lit("x").alias("region"), F.col(r).cast("string").alias("part"), F.lower(n).alias("text"))
-    return side("supplier", "s_suppkey", "s_name", "s_nationkey"), side("customer", "c_custkey", "c_name", "c_nationkey")
-
-
-GRAM_SQL = """
-pool AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS part, lower(c_name) AS t FROM customer),
-s AS (SELECT s_suppkey AS id, CAST(s_nationkey AS VARCHAR) AS part, lower(s_name) AS t FROM supplier),
-pw AS (SELECT id, part, ' ' || w || ' ' AS w FROM (SELECT id, part, unnest(string_split(t, ' ')) AS w FROM pool) WHERE w <> ''),
-sw AS (SELECT id, part, ' ' || w || ' ' AS w FROM (SELECT id, part, unnest(string_split(t, ' ')) AS w FROM s) WHERE w <> ''),
-pg AS (SELECT id, part, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS term FROM pw),
-sg AS (SELECT id, part, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS term FROM sw),
-n AS (SELECT count(*) AS n FROM pool),
-terms AS (SELECT term, ln((1 + any_value(n)) / (1 + count(DISTINCT id))) + 1 AS idf FROM pg CROSS JOIN n GROUP BY term HAVING count(DISTINCT id) >= 2 AND count(DISTINCT id) <= 0.05 * any_value(n)),
-pt AS (SELECT id, part, term, (1 + ln(count(*))) * any_value(idf) AS w FROM pg JOIN terms USING (term) GROUP BY id, part, term),
-st AS (SELECT id, part, term, (1 + ln(count(*))) * any_value(idf) AS w FROM sg JOIN terms USING (term) GROUP BY id, part, term),
-pv AS (SELECT id, part, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM pt),
-sv AS (SELECT id, part, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM st),
-sims AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS sim FROM sv a JOIN pv b USING (part, term) GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) > 0.05),
-osims AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS sim FROM sv a JOIN pv b USING (term) GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) > 0.05)"""
+    """Documents: those with an id divisible by 20 (s1) against all (pool); id, region, part (language), whole text."""
+    docs = table(spark, sf_dir, "documents")
+    side = docs.select(F.col("doc_id").alias("id"), F.lit("x").alias("region"), F.coalesce("lang", F.lit("")).alias("part"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return side.where("id % 20 = 0"), side
+
+
+GRAM_SQL = r"""
+pool AS (SELECT doc_id AS id, 'x' AS region, coalesce(lang, '') AS part, lower(coalesce(text, '')) AS t FROM documents),
+pw AS (SELECT id, region, part, ' ' || w || ' ' AS w FROM (SELECT id, region, part, unnest(string_split_regex(t, '\s+')) AS w FROM pool) WHERE w <> ''),
+pg AS (SELECT id, region, part, unnest(list_transform(range(1, greatest(length(w) - 1, 2)), lambda i: substring(w, i, 3))) AS term FROM pw),
+n AS (SELECT region, count(*) AS n FROM pool GROUP BY 1),
+terms AS (SELECT region, term, ln((1 + any_value(n)) / (1 + count(DISTINCT id))) + 1 AS idf FROM pg JOIN n USING (region) GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2 AND count(DISTINCT id) <= 0.05 * any_value(n)),
+pt AS (SELECT id, region, part, term, (1 + ln(count(*))) * any_value(idf) AS w FROM pg JOIN terms USING (region, term) GROUP BY 1, 2, 3, 4),
+pv AS (SELECT id, region, part, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM pt),
+sv AS (SELECT * FROM pv WHERE id % 20 = 0),
+sims AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS sim FROM sv a JOIN pv b USING (region, part, term) GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) > 0.05),
+osims AS (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 6) AS sim FROM sv a JOIN pv b USING (region, term) WHERE b.part = 'fr' GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) > 0.05)"""
 
 
 def name_weights(spark, sf_dir):
-    s1, pool = names(spark, sf_dir)
-    terms = blocking.idf(pool)
-    return blocking.weights(s1, terms), blocking.weights(pool, terms)
+    _, pool = names(spark, sf_dir)
+    every = settled(blocking.weights(pool, blocking.idf(pool)))
+    return every.where("id % 20 = 0"), every
 
 
 def leg_sql(sims: str, over: str, k: int, name: str) -> str:
@@ -308,11 +329,12 @@ def tfidf_reverse(spark, sf_dir):
 
 @query(f"WITH {GRAM_SQL} {leg_sql('osims', 'cand', 5, 'o_name')}")
 def tfidf_orphan(spark, sf_dir):
-    return longs(blocking.leg(blocking.similarities(*name_weights(spark, sf_dir), within=("region",)), 5, "cand", "o_name"))
+    s1, pool = name_weights(spark, sf_dir)
+    return longs(blocking.leg(blocking.similarities(s1, pool.where("part = 'fr'"), within=("region",)), 5, "cand", "o_name"))
 
 
 def two_legs(spark, sf_dir):
-    sims = blocking.similarities(*name_weights(spark, sf_dir))
+    sims = settled(blocking.similarities(*name_weights(spark, sf_dir)))
     return blocking.leg(sims, 10, "s1", "f_name"), blocking.leg(sims, 3, "cand", "r_name")
 
 
@@ -348,15 +370,15 @@ def dense_join_shard(spark, sf_dir):
     return blocking.with_dense(f, r.withColumnsRenamed({"sim_r_name": "sim_dense", "rk_r_name": "rk_dense"}), SHARD)
 
 
-@query(f"""WITH {TWO_LEGS_SQL}, truth AS (SELECT s_suppkey AS s1, c_custkey AS cand FROM supplier JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey),
+@query(f"""WITH {TWO_LEGS_SQL}, truth AS (SELECT a.doc_id AS s1, b.doc_id AS cand FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 20 = 0),
 legs AS (SELECT 'f' AS leg, s1, cand FROM f UNION ALL SELECT 'r', s1, cand FROM r UNION ALL SELECT DISTINCT 'all', s1, cand FROM (SELECT s1, cand FROM f UNION ALL SELECT s1, cand FROM r)),
 c AS (SELECT leg, count(*) AS n_found FROM legs JOIN truth USING (s1, cand) GROUP BY leg)
 SELECT l.leg, (SELECT count(*) FROM truth) AS n_true, coalesce(n_found, 0) AS n_found, round(coalesce(n_found, 0) / nullif((SELECT count(*) FROM truth), 0), 6) AS recall
 FROM (SELECT unnest(['f', 'r', 'all']) AS leg) l LEFT JOIN c USING (leg)""")
 def blocking_recall_per_leg(spark, sf_dir):
     f, r = two_legs(spark, sf_dir)
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    truth = s.join(c, (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).select(F.col("s_suppkey").alias("s1"), F.col("c_custkey").alias("cand"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    truth = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("s1"), "text").join(d.select(F.col("doc_id").alias("cand"), "text"), "text").select("s1", "cand")
     return decide.recall_by_leg({"f": f, "r": r}, truth).withColumn("recall", F.round("recall", 6))
 
 
@@ -406,24 +428,27 @@ def state_partition_keys(spark, sf_dir):
 
 
 def vectors(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return df.where("id % 20 = 0"), df
+    """Embeddings with ids as strings, in two countries; those with an id divisible by 20 are searched in all of their country."""
+    country = F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("country")
+    df = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("V-"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"), country, "vec_id", "label")
+    return df.where("vec_id % 20 = 0"), df
 
 
 DENSE_SQL = """
-v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-sims AS (SELECT a.id AS s1, b.id AS cand, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0)"""
+v AS (SELECT 'V-' || vec_id AS id, vec_id, vec_id % 3 = 0 AS country, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sims AS (SELECT a.id AS s1, b.id AS cand, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.id <> b.id AND a.country = b.country WHERE a.vec_id % 20 = 0)"""
+SAME = {"country": "country", "same": True}
 
 
 @query(f"WITH {DENSE_SQL} {leg_sql('sims', 's1', 20, 'dense')}")
 def dense_topk_fwd(spark, sf_dir):
-    out = dense.similar(*vectors(spark, sf_dir), 20, "query")
+    out = dense.similar(*vectors(spark, sf_dir), 20, "query", **SAME)
     return out.select(F.col("query").alias("s1"), F.col("row").alias("cand"), F.col("sim").alias("sim_dense"), F.col("rank").cast("long").alias("rk_dense"))
 
 
 @query(f"WITH {DENSE_SQL} {leg_sql('sims', 'cand', 3, 'dense')}")
 def dense_topk_rev(spark, sf_dir):
-    out = dense.similar(*vectors(spark, sf_dir), 3, "row")
+    out = dense.similar(*vectors(spark, sf_dir), 3, "row", **SAME)
     return out.select(F.col("query").alias("s1"), F.col("row").alias("cand"), F.col("sim").alias("sim_dense"), F.col("rank").cast("long").alias("rk_dense"))
 
 
@@ -434,15 +459,23 @@ d AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim_dense DESC, cand
 
 @query(f"WITH {DENSE_BOTH_SQL} SELECT s1, cand, sim_dense, rk_dense FROM d")
 def dense_search(spark, sf_dir):
-    return longs(dense.search(*vectors(spark, sf_dir)))
+    return longs(dense.search(*vectors(spark, sf_dir), **SAME))
+
+
+def same_label(spark, sf_dir):
+    """s1, cand: embeddings of one label and country."""
+    queries, rows = vectors(spark, sf_dir)
+    return queries.select(F.col("id").alias("s1"), "country", "label").join(rows.select(F.col("id").alias("cand"), "country", "label"), ["country", "label"]).where("s1 <> cand").select("s1", "cand")
 
 
-@query(f"""WITH {DENSE_BOTH_SQL}, truth AS (SELECT a.vec_id AS s1, b.vec_id AS cand FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT CAST(k AS BIGINT) AS rank, (SELECT count(*) FROM truth) AS n_true, (SELECT count(*) FROM truth JOIN d USING (s1, cand) WHERE rk_dense <= k) AS n_found FROM (SELECT unnest([5, 10, 20]) AS k)""")
+@query(f"""WITH {DENSE_BOTH_SQL}, truth AS (SELECT 'V-' || a.vec_id AS s1, 'V-' || b.vec_id AS cand FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND (a.vec_id % 3 = 0) = (b.vec_id % 3 = 0) WHERE a.vec_id % 20 = 0),
+base AS (SELECT s1, cand FROM truth WHERE CAST(substr(cand, 3) AS BIGINT) % 4 = 0)
+SELECT CAST(k AS BIGINT) AS rank, (SELECT count(*) FROM truth) AS n_true, (SELECT count(*) FROM truth JOIN d USING (s1, cand) WHERE rk_dense <= k) AS n_found, (SELECT count(*) FROM base) AS n_base,
+  (SELECT count(*) FROM truth t WHERE EXISTS (SELECT 1 FROM base b WHERE b.s1 = t.s1 AND b.cand = t.cand) OR EXISTS (SELECT 1 FROM d WHERE d.s1 = t.s1 AND d.cand = t.cand AND rk_dense <= k)) AS n_union FROM (SELECT unnest([5, 10, 20]) AS k)""")
 def dense_recall(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    truth = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("s1"), "label").join(e.select(F.col("vec_id").alias("cand"), "label"), "label").where("s1 <> cand")
-    return longs(dense.recall_by_rank(dense.search(*vectors(spark, sf_dir)), truth, [5, 10, 20]))
+    truth = same_label(spark, sf_dir)
+    base = truth.where(F.substring("cand", 3, 20).cast("long") % 4 == 0)
+    return longs(dense.recall_by_rank(dense.search(*vectors(spark, sf_dir), **SAME), truth, [5, 10, 20], base))
 
 
 # ------------------------------------------------------------------------------------------------ texts and pair features
@@ -450,8 +483,9 @@ def dense_recall(spark, sf_dir):
 
 @query()
 def norm_name(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("raw"))
-    return text.normalise_names(df, "raw").drop("raw")
+    html = F.coalesce("html", F.lit(""))
+    words = F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
+    return text.normalise_names(table(spark, sf_dir, "pages").select("page_id", words.alias("raw")), "raw").drop("raw")
 
 
 @query()
@@ -513,12 +547,12 @@ def unleeted_tokens(spark, sf_dir):
 
 
 def part_pairs(spark, sf_dir):
-    """All pairs of distinct part names, a vocabulary of fixed size."""
-    n = table(spark, sf_dir, "part").select("p_name").distinct()
-    return n.select(F.col("p_name").alias("a")).crossJoin(F.broadcast(n.select(F.col("p_name").alias("b"))))
+    """Pairs of distinct part names that share a word."""
+    n = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.explode(text.tokens(F.col("p_name"))).alias("word"))
+    return n.select(F.col("p_name").alias("a"), "word").join(n.select(F.col("p_name").alias("b"), "word"), "word").select("a", "b").distinct()
 
 
-PART_SQL = "WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT x.p_name AS a, y.p_name AS b, string_split(x.p_name, ' ') AS ta, string_split(y.p_name, ' ') AS tb FROM n x CROSS JOIN n y)"
+PART_SQL = "WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT x.p_name AS a, y.p_name AS b, string_split(x.p_name, ' ') AS ta, string_split(y.p_name, ' ') AS tb FROM n x JOIN n y ON list_has_any(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))"
 
 
 @query(f"{PART_SQL} SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS jaccard, round(len(list_intersect(ta, tb)) / len(list_distinct(ta)), 6) AS contained FROM q")
@@ -544,13 +578,18 @@ def fuzz_ratio_family(spark, sf_dir):
     return part_pairs(spark, sf_dir).select("a", "b", *(F.round(similarity.SCORERS[k](F.col("a"), F.col("b")), 6).alias(k) for k in names))
 
 
+def order_pairs(spark, sf_dir):
+    """s1, cand: suppliers and customers that have traded."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s1"))
+    return lines.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cand")), "o_orderkey").select("s1", "cand").distinct()
+
+
 def number_pairs(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("a"), "s_nationkey")
-    c = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 4, "0").alias("b"), F.col("c_nationkey"))
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("a", "b")
+    return order_pairs(spark, sf_dir).select(F.col("s1").cast("string").alias("a"), F.lpad(F.col("cand").cast("string"), 4, "0").alias("b")).distinct()
 
 
-NUMBER_SQL = "WITH q AS (SELECT CAST(s_suppkey AS VARCHAR) AS a, lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey)"
+TRADED_SQL = "traded AS (SELECT DISTINCT l_suppkey AS s1, o_custkey AS cand FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+NUMBER_SQL = f"WITH {TRADED_SQL}, q AS (SELECT DISTINCT CAST(s1 AS VARCHAR) AS a, CASE WHEN cand > 9999 THEN left(CAST(cand AS VARCHAR), 4) ELSE lpad(CAST(cand AS VARCHAR), 4, '0') END AS b FROM traded)"
 AFFIX_SQL = "(starts_with(a, b) OR starts_with(b, a) OR ends_with(a, b) OR ends_with(b, a))"
 
 
@@ -626,8 +665,8 @@ y AS (SELECT unnest(list_zip(list_filter(a, lambda t: t <> ''), list_filter(b, l
 n AS (SELECT q[2] AS token, q[1] AS latin, count(*) AS n FROM y WHERE regexp_matches(q[2], '[^\x00-\x7F]') AND NOT regexp_matches(q[1], '[^\x00-\x7F]') GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, latin) AS r FROM n) SELECT token, latin, n FROM r WHERE r = 1 AND n >= 2""")
 def translit_dictionary(spark, sf_dir):
-    fold = text.folder()
-    pairs = table(spark, sf_dir, "documents").select(fold(F.col("text")).alias("name_a"), F.col("text").alias("name_b"))
+    fold = text.folder().asNondeterministic()  # so that it runs once on a text, however often its result is read
+    pairs = table(spark, sf_dir, "documents").where(accented(F.col("text"))).select(F.col("text").alias("name_b")).select(fold(F.col("name_b")).alias("name_a"), "name_b")
     return learn.aligned_tokens(pairs, accented)
 
 
@@ -667,7 +706,7 @@ def country_check(spark, sf_dir):
 
 def wide_truth(spark, sf_dir):
     pairs = scored(spark, sf_dir)
-    return io.match_lists(ids_of(spark, sf_dir), truth_of(spark, sf_dir, pairs))
+    return io.match_lists(ids_of(spark, sf_dir), truth_of(spark, sf_dir))
 
 
 @query(f"WITH {TRUTH_SQL} SELECT item_id AS s1, CAST(cand AS VARCHAR) AS cand FROM benchmark LEFT JOIN truth ON s1 = item_id")
@@ -683,7 +722,7 @@ def truth_sets(spark, sf_dir):
 @query(f"WITH {TRUTH_SQL} SELECT s1, cand, p, CAST(t.cand IS NOT NULL AS BIGINT) AS y FROM pairs LEFT JOIN truth t USING (s1, cand)".replace("t.cand IS NOT NULL", "EXISTS (SELECT 1 FROM truth t2 WHERE t2.s1 = pairs.s1 AND t2.cand = pairs.cand)"))
 def labelled_pairs(spark, sf_dir):
     pairs = scored(spark, sf_dir)
-    return longs(features.labelled(pairs, truth_of(spark, sf_dir, pairs)))
+    return longs(features.labelled(pairs, truth_of(spark, sf_dir)))
 
 
 @query(f"""WITH {SCORED_SQL}, n AS (SELECT s1, cand, round(p * p, 6) AS b FROM pairs WHERE cand % 2 = 0)
@@ -721,21 +760,30 @@ def pair_texts(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------ models and augmentation
 
 
+STATE_OF_REGION = ["TX", "IL", "CA", "NY", "FL"]
+
+
 def records(spark, sf_dir):
-    """Suppliers and customers as normalised records."""
+    """Suppliers (s1) and customers (pool) as normalised records, in the state that stands for their region."""
     nation = table(spark, sf_dir, "nation")
-    side = lambda t, k, n, c, src: table(spark, sf_dir, t).join(F.broadcast(nation), F.col(c) == F.col("n_nationkey")).select(F.col(k).alias("entity_id"), F.regexp_replace(n, "#", " ").alias("business_name"), F.concat(F.col(k).cast("string"), F.lit(" Main St, "), "n_name").alias("business_address"), F.lit("x").alias("country"), F.lit(src).cast("byte").alias("src"))
+    states = F.array(*(F.lit(x) for x in STATE_OF_REGION))
     out = []
-    for df in (side("supplier", "s_suppkey", "s_name", "s_nationkey", 1), side("customer", "c_custkey", "c_name", "c_nationkey", 2)):
-        out.append(text.normalise_addresses(text.normalise_names(df, "business_name"), "business_address", "country").persist())
+    for t, k, n, c, src in (("supplier", "s_suppkey", "s_name", "s_nationkey", 1), ("customer", "c_custkey", "c_name", "c_nationkey", 2)):
+        df = table(spark, sf_dir, t).join(nation, F.col(c) == F.col("n_nationkey"))
+        address = F.concat(F.col(k).cast("string"), F.lit(" Main St, "), "n_name", F.lit(", "), F.get(states, F.col("n_regionkey").cast("int")))
+        df = df.select(F.col(k).alias("entity_id"), F.regexp_replace(n, "#", " ").alias("business_name"), address.alias("business_address"), F.lit("US").alias("country"), F.lit(src).cast("byte").alias("src"))
+        out.append(settled(text.normalise_addresses(text.normalise_names(df, "business_name"), "business_address", "country")))
     return out
 
 
-def stage1_pairs(spark, sf_dir):
-    s1, pool = records(spark, sf_dir)
-    found = blocking.candidates(s1, pool).persist()
-    same = s1.select(F.col("entity_id").alias("s1"), F.col("city").alias("c1")).join(pool.select(F.col("entity_id").alias("cand"), F.col("city").alias("c2")), (F.col("s1") == F.col("cand")) & (F.col("c1") == F.col("c2"))).select("s1", "cand")
-    return features.labelled(features.pair_features(found, s1, pool), same)
+def same_number(s1, pool):
+    """s1, cand: the true pairs, a supplier and the customer of the same number and state."""
+    a, b = s1.select(F.col("entity_id").alias("s1"), "state"), pool.select(F.col("entity_id").alias("cand"), F.col("state").alias("_state"))
+    return a.join(b, (F.col("s1") == F.col("cand")) & (F.col("state") == F.col("_state"))).select("s1", "cand")
+
+
+def stage1_pairs(spark, sf_dir, s1, pool):
+    return settled(features.labelled(features.pair_features(blocking.candidates(s1, pool), s1, pool), same_number(s1, pool)))
 
 
 @query()
@@ -745,36 +793,107 @@ def candidate_legs(spark, sf_dir):
 
 @query()
 def pair_features(spark, sf_dir):
-    return stage1_pairs(spark, sf_dir)
+    return stage1_pairs(spark, sf_dir, *records(spark, sf_dir))
+
+
+RECORD_SQL = f"""{TRADED_SQL},
+place AS (SELECT n_nationkey, n_nationkey AS num, (['tx', 'il', 'ca', 'ny', 'fl'])[n_regionkey + 1] AS state FROM nation),
+s AS (SELECT s_suppkey AS k, lower(replace(s_name, '#', ' ')) AS name, num, state FROM supplier JOIN place ON s_nationkey = n_nationkey),
+c AS (SELECT c_custkey AS k, lower(replace(c_name, '#', ' ')) AS name, num, state FROM customer JOIN place ON c_nationkey = n_nationkey),
+q AS (SELECT s1, cand, a.name AS na, b.name AS nb, string_split(a.name, ' ') AS nta, string_split(b.name, ' ') AS ntb, a.k || ' main st nation ' || a.num AS aa, b.k || ' main st nation ' || b.num AS ab,
+  list_distinct([CAST(a.k AS VARCHAR), CAST(a.num AS VARCHAR)]) AS ua, list_distinct([CAST(b.k AS VARCHAR), CAST(b.num AS VARCHAR)]) AS ub, a.state AS sa, b.state AS sb, replace(a.name, ' ', '') AS ca, replace(b.name, ' ', '') AS cb
+  FROM traded JOIN s a ON a.k = s1 JOIN c b ON b.k = cand)"""
+SET_FEATURES = ["n_concat_jw", "n_concat_lev", "n_jacc", "n_cont_ab", "n_cont_ba", "n_len_a", "n_len_b", "n_ntok_diff", "n_first_eq", "n_sorted_eq", "legal_state", "a_jacc", "a_cont_ba", "a_len_b", "num_jacc", "num_cont_ba", "h_eq", "h_absent", "h_pref", "h_diff", "h_in_nums", "st_jw", "st_empty", "state_state", "pin_state", "is_domain_b", "src", "n_s1_same_name"]
+
+
+def shares(name: str, x: str, y: str, kinds: str) -> str:
+    both, every = f"len(list_intersect({x}, {y}))", f"len(list_distinct(list_concat({x}, {y})))"
+    parts = {"jacc": f"{both} / {every}", "cont_ab": f"{both} / len(list_distinct({x}))", "cont_ba": f"{both} / len(list_distinct({y}))"}
+    return ", ".join(f"round({parts[k]}, 6) AS {name}_{k}" for k in kinds.split())
+
+
+@query(f"""WITH {RECORD_SQL}
+SELECT s1, cand, round(jaro_winkler_similarity(ca, cb), 6) AS n_concat_jw, round(1 - levenshtein(ca, cb) / greatest(length(ca), length(cb)), 6) AS n_concat_lev, {shares('n', 'nta', 'ntb', 'jacc cont_ab cont_ba')},
+  length(na) AS n_len_a, length(nb) AS n_len_b, 0::BIGINT AS n_ntok_diff, 0::BIGINT AS n_first_eq, 0::BIGINT AS n_sorted_eq, 0::BIGINT AS legal_state,
+  {shares('a', "string_split(aa, ' ')", "string_split(ab, ' ')", 'jacc cont_ba')}, length(ab) AS a_len_b, {shares('num', 'ua', 'ub', 'jacc cont_ba')},
+  CAST(s1 = cand AS BIGINT) AS h_eq, 0::BIGINT AS h_absent, CAST(s1 <> cand AND (starts_with(CAST(s1 AS VARCHAR), CAST(cand AS VARCHAR)) OR starts_with(CAST(cand AS VARCHAR), CAST(s1 AS VARCHAR)) OR ends_with(CAST(s1 AS VARCHAR), CAST(cand AS VARCHAR)) OR ends_with(CAST(cand AS VARCHAR), CAST(s1 AS VARCHAR))) AS BIGINT) AS h_pref,
+  CAST(abs(s1 - cand) AS DOUBLE) AS h_diff, CAST(list_contains(ub, CAST(s1 AS VARCHAR)) AS BIGINT) AS h_in_nums, 1.0::DOUBLE AS st_jw, 0::BIGINT AS st_empty, CAST(CASE WHEN sa = sb THEN 1 ELSE 2 END AS BIGINT) AS state_state, 0::BIGINT AS pin_state, 0::BIGINT AS is_domain_b, 2::BIGINT AS src, 1::BIGINT AS n_s1_same_name FROM q""")
+def pair_set_features(spark, sf_dir):
+    s1, pool = records(spark, sf_dir)
+    return rounded(features.pair_features(order_pairs(spark, sf_dir), s1, pool), ["s1", "cand"], SET_FEATURES)
+
+
+@query(f"""WITH {RECORD_SQL}, e AS (SELECT *, list_filter(nta, lambda x: NOT list_contains(ntb, x)) AS m, list_filter(ntb, lambda x: NOT list_contains(nta, x)) AS x FROM q)
+SELECT s1, cand, len(nta) - len(m) AS e_same, len(m) AS e_less, len(x) AS e_more, CAST(CASE WHEN s1 = cand THEN 0 WHEN starts_with(CAST(s1 AS VARCHAR), CAST(cand AS VARCHAR)) OR starts_with(CAST(cand AS VARCHAR), CAST(s1 AS VARCHAR)) OR ends_with(CAST(s1 AS VARCHAR), CAST(cand AS VARCHAR)) OR ends_with(CAST(cand AS VARCHAR), CAST(s1 AS VARCHAR)) THEN 2
+  WHEN levenshtein(CAST(s1 AS VARCHAR), CAST(cand AS VARCHAR)) <= 1 THEN 3 ELSE 4 END AS BIGINT) AS e_house_rel, len(ub) AS e_num_b_cnt FROM e""")
+def edit_counts(spark, sf_dir):
+    """The token edits' totals: a token of one side is matched (equal or a typo), or missing; equal ones and typos share a count's rest."""
+    s1, pool = records(spark, sf_dir)
+    pairs = features.attach(features.attach(order_pairs(spark, sf_dir), s1, "s1", "_a"), pool, "cand", "_b")
+    out = learn.edits(pairs).withColumns({"e_same": F.col("e_n_exact"), "e_less": F.col("e_n_miss") + F.col("e_n_typo"), "e_more": F.col("e_n_extra") + F.col("e_n_typo")})
+    return rounded(out, ["s1", "cand"], ["e_same", "e_less", "e_more", "e_house_rel", "e_num_b_cnt"])
 
 
 @query()
 def edit_features(spark, sf_dir):
     s1, pool = records(spark, sf_dir)
     pairs = features.attach(features.attach(blocking.candidates(s1, pool).select("s1", "cand"), s1, "s1", "_a"), pool, "cand", "_b")
-    return learn.edits(pairs).select("s1", "cand", *learn.EDITS, "e_n_exact", "e_n_typo", "e_n_miss", "e_n_extra", "e_a_miss", "e_a_extra", "e_num_a_unrel", "e_num_b_unrel", "e_num_a_best", "e_num_b_cnt", "e_house_rel")
+    return learn.edits(pairs).select("s1", "cand", *learn.EDITS, *learn.EDIT_COUNTS)
+
+
+TREES = {"rounds": 10, "depth": 4}
 
 
 @query()
 def stage1_gbt(spark, sf_dir):
-    df = stage1_pairs(spark, sf_dir).withColumn("fold", models.fold_of(F.col("s1"))).persist()
-    columns = [c for c in df.columns if c not in ("s1", "cand", "y", "fold")]
-    return models.out_of_fold(df, columns, rounds=8, depth=4).where("p >= 0.01").select("s1", "cand", "p", "y")
+    s1, pool = records(spark, sf_dir)
+    df = settled(models.with_fold(stage1_pairs(spark, sf_dir, s1, pool), s1))
+    return models.out_of_fold(df, stages.feature_columns(df), **TREES).where("p >= 0.01").select("s1", "cand", "p", "y")
+
+
+def linked_records(spark, sf_dir):
+    s1, pool = records(spark, sf_dir)
+    part = F.pmod(F.xxhash64("entity_id"), F.lit(4))
+    return stages.link(s1, pool, same_number(s1, pool), s1.where(part != 0), s1.where(part == 0), first=TREES, second=TREES)
 
 
+@query()
 def stage2_gbt(spark, sf_dir):
+    """Scores of both stages for all suppliers: fitted on three quarters of them, the rule chosen on the rest."""
+    return linked_records(spark, sf_dir)[1]
+
+
+@query()
+def linked_pairs(spark, sf_dir):
+    """The matches that the whole chain decides on, from raw records on."""
+    return linked_records(spark, sf_dir)[2]
+
+
+@query()
+def context_table(spark, sf_dir):
+    """All context of scored pairs: records as evidence, word tables learned from their own labels, and an attached score."""
     s1, pool = records(spark, sf_dir)
-    df = stage1_pairs(spark, sf_dir).withColumn("fold", models.fold_of(F.col("s1"))).persist()
-    columns = [c for c in df.columns if c not in ("s1", "cand", "y", "fold")]
-    ctx = context.build(models.out_of_fold(df, columns, rounds=5, depth=3), pool).persist()
-    more = [c for c in ctx.columns if c.startswith(("c_", "g_"))] + ["p"]
-    return decide.expected_f05_select(models.out_of_fold(ctx, columns + more, rounds=5, depth=3, name="p2"), "p2").select("s1", "cand", "p", "p2", "y")
+    pairs = stage1_pairs(spark, sf_dir, s1, pool).select("s1", "cand", "y", F.round(F.col("n_jacc") / 2 + F.col("a_jacc") / 2, 6).alias("p"))
+    told = context.build(pairs, context.Evidence(s1, pool, with_rarity=False))
+    tables = learn.llr_table(told, learn.EDITS)
+    return context.build(pairs, context.Evidence(s1, pool, tables, scores={"a": pairs.withColumnRenamed("p", "ce")})).drop(*learn.EDITS)
+
+
+#: A few forms of another country for the rewriting query; a real table is the caller's.
+ABROAD = augment.Locale(
+    words={"the": "Le", "of": "de", "with": "avec", "market": "Marché", "bank": "Banque", "garden": "Jardin"},
+    streets={"street": ("Rue", "R."), "road": ("Route", "Rte")},
+    regions={"Nord": ("Hauts-de-France",), "Gironde": ("Nouvelle-Aquitaine",)},
+    states={"IL": ("Illinois",), "TX": ("Texas",)},
+    legal_forms=("SARL", "SAS"),
+    family_suffixes=("& Fils", "Frères"),
+)
 
 
 @query()
 def augment_pairs(spark, sf_dir):
     pairs = pair_texts(spark, sf_dir).withColumn("y", F.lit(1))
-    return augment.add_noise(augment.rewrite(pairs, [("Lille", "Nord"), ("Bordeaux", "Gironde")])).select("s1", "cand", "text_a", "text_b")
+    return augment.add_noise(augment.rewrite(pairs, ABROAD, [("Lille", "Nord"), ("Bordeaux", "Gironde")]), ABROAD).select("s1", "cand", "text_a", "text_b")
 
 
 @query()
@@ -782,11 +901,10 @@ def embed_texts(spark, sf_dir):
     return dense.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", "vector")
 
 
-@query()
+@query(f"""WITH {DENSE_BOTH_SQL}, truth AS (SELECT 'V-' || a.vec_id AS s1, 'V-' || b.vec_id AS cand FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND (a.vec_id % 3 = 0) = (b.vec_id % 3 = 0) WHERE a.vec_id % 20 = 0),
+both_ways AS (SELECT s1, cand FROM d WHERE rk_dense <= 8 UNION SELECT s1, cand FROM truth) SELECT s1, cand, CAST(EXISTS (SELECT 1 FROM truth t WHERE t.s1 = b.s1 AND t.cand = b.cand) AS BIGINT) AS y FROM both_ways b""")
 def encoder_training_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    truth = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("s1"), "label").join(e.select(F.col("vec_id").alias("cand"), "label"), "label").where("s1 <> cand").select("s1", "cand")
-    return models.encoder_pairs(dense.search(*vectors(spark, sf_dir)), truth)
+    return longs(models.encoder_pairs(dense.search(*vectors(spark, sf_dir), **SAME), same_label(spark, sf_dir)).drop("held_out"))
 
 
 def queries() -> dict[str, Query]:

@@ -65,20 +65,44 @@ def test_partition_keys(spark):
     assert sorted(r.part for r in a.collect()) == ["ap", "mh", "mh"] and sorted(r.part for r in b.collect()) == ["?", "ap", "mh", "mh"]
 
 
-def test_dense_search_equals_plain(spark, monkeypatch):
+@pytest.mark.parametrize("values", [9, 100, 1 << 20])
+def test_dense_search_equals_plain(spark, values):
+    """String ids, two countries, an id that both tables have, and small blocks."""
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(4)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    queries = df.where("id % 20 = 0")
-    monkeypatch.setattr(dense, "BLOCK_VALUES", 9)
-    for q in (0, 20, 40):
-        sims = np.round(u @ u[q], 6)
-        want = [i for i in np.lexsort((np.arange(60), -sims)) if i != q][:5]
-        got = [r.row for r in dense.similar(queries, df, 5).where(F.col("query") == q).orderBy("rank").collect()]
-        assert got == want
-    back = dense.similar(queries, df, 1, "row").collect()
-    assert all(r.query == max((q for q in (0, 20, 40) if q != r.row), key=lambda q: round(u[q] @ u[r.row], 6)) for r in back)
+    rows = [(f"R{i}", "US" if i % 2 else None, x.tolist()) for i, x in enumerate(v)]
+    pool = spark.createDataFrame([*rows, ("none", "US", None)], "id string, country string, vector array<double>").repartition(4)
+    s1 = spark.createDataFrame(rows[::7], pool.schema)
+    ids = list(range(0, 60, 7))
+    sims = np.round(u @ u.T, 6)
+    order = lambda own, others, k: sorted(others, key=lambda j: (-sims[own][j], f"R{j}"))[:k]
+    ahead = {(f"R{i}", f"R{j}") for i in ids for j in order(i, [j for j in range(60) if j % 2 == i % 2], 5)}
+    back = {(f"R{i}", f"R{j}") for j in range(60) for i in order(j, [i for i in ids if i % 2 == j % 2], 2)}
+    got = dense.search(s1, pool, 5, 2, country="country", values=values).collect()
+    assert {(r.s1, r.cand) for r in got} == ahead | back and all((f"R{i}", f"R{i}") in ahead for i in ids)
+    for i in ids:
+        ranked = sorted((r for r in got if r.s1 == f"R{i}"), key=lambda r: r.rk_dense)
+        assert [r.sim_dense for r in ranked] == sorted((r.sim_dense for r in ranked), reverse=True)
+    alone = dense.similar(s1, pool, 5, country="country", same=True, values=values).collect()
+    assert {(r.query, r.row) for r in alone} == {(f"R{i}", f"R{j}") for i in ids for j in order(i, [j for j in range(60) if j % 2 == i % 2 and j != i], 5)}
+
+
+def test_dense_recall_with_other_legs(spark):
+    truth = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "s1 long, cand long")
+    found = spark.createDataFrame([(1, 10, 1), (2, 12, 9)], "s1 long, cand long, rk_dense short")
+    base = spark.createDataFrame([(1, 11), (1, 10), (5, 5)], "s1 long, cand long")
+    got = {r["rank"]: (r.n_true, r.n_found, r.n_base, r.n_union) for r in dense.recall_by_rank(found, truth, [5, 10], base).collect()}
+    assert got == {5: (3, 1, 2, 2), 10: (3, 2, 2, 3)}
+
+
+def test_records_of_states(spark, tmp_path):
+    df = spark.createDataFrame([(1, "va"), (2, "tx"), (3, ""), (4, None)], "id long, state string")
+    assert sorted(r.id for r in dense.records(df, ["va"]).collect()) == [1, 3, 4]
+    assert sorted(r.id for r in dense.records(df, ["va"], invert=True).collect()) == [2, 3, 4]
+    vectors = spark.createDataFrame([("a", [0.5, 0.25])], "id string, vector array<double>")
+    dense.save(vectors, str(tmp_path / "v"))
+    assert [(r.id, r.vector) for r in dense.load(spark, str(tmp_path / "v")).collect()] == [("a", [0.5, 0.25])]
 
 
 def test_embedding_is_unit_and_in_place(spark):
@@ -152,11 +176,78 @@ def test_pair_scorer_hook(spark):
     assert got == {1: 1.0, 2: 0.0}
 
 
-def test_rewrites_are_repeatable_and_alike_on_both_sides(spark):
-    pairs = spark.createDataFrame([(1, 2, "Acme Bakery LLC | 12 Main Street, Peoria, IL", "Acme Bakery | 12 Main Street, Peoria, IL", 1)], "s1 long, cand long, text_a string, text_b string, y int")
-    a = augment.add_noise(augment.rewrite(pairs, [("Lille", "Nord")])).first()
-    b = augment.add_noise(augment.rewrite(pairs, [("Lille", "Nord")])).first()
-    assert a == b and "Boulangerie SARL" in a.text_a and "Lille" in a.text_a and "Street" not in a.text_a
+LOCALE = augment.Locale(
+    words={"bakery": "Boulangerie", "llc": "SARL"},
+    streets={"street": ("Rue", "R.")},
+    regions={"Nord": ("Hauts-de-France",)},
+    states={"IL": ("Illinois",)},
+    legal_forms=("SARL", "SAS"),
+    family_suffixes=("& Fils",),
+)
+PAIR = "s1 long, cand long, text_a string, text_b string, y int"
+
+
+def test_rewrites_change_both_sides_alike(spark):
+    rows = [(i, 2, "ACME Bakery L.L.C | 12 Old Main Street, Peoria, IL", "Acme BAKERY llc. | 12 old main STREET, PEORIA, Illinois, x", 1) for i in range(30)] + [(99, 1, None, "no bar here", 0)]
+    df = spark.createDataFrame(rows, PAIR)
+    got = augment.rewrite(df, LOCALE, [("Lille", "Nord"), ("L$1", "Nord")]).orderBy("s1").collect()
+    assert got == augment.rewrite(df.repartition(3), LOCALE, [("Lille", "Nord"), ("L$1", "Nord")]).orderBy("s1").collect()
+    forms = set()
+    for r in got[:30]:
+        city = "Lille" if "Lille" in r.text_a else "L$1"
+        region = "Nord" if "Nord" in r.text_a else "Hauts-de-France"
+        form = "Rue" if "Rue" in r.text_a else "R."
+        assert r.text_a == f"ACME Boulangerie L.L.C | 12 {form} Old Main, {city}, {region}"
+        assert r.text_b == f"Acme BOULANGERIE SARL | 12 {form} old main, {city}, {region}, x"
+        forms.add((city, region, form))
+    assert len(forms) >= 5 and (got[30].text_a, got[30].text_b) == ("", "no bar here")
+
+
+def test_each_kind_of_noise(spark):
+    row = (1, 2, "", "Café Dupont SARL | 12 Rue Émile, Lille, Nord", 1)
+    want = {
+        "marked_number": {f"Café Dupont SARL | {n} Rue Émile, Lille, Nord" for n in ("no. 12", "#12", "0012")},
+        "longer_number": {f"Café Dupont SARL | 12 {n} Rue Émile, Lille, Nord" for n in ("bis", "ter")},
+        "other_region": {"Café Dupont SARL | 12 Rue Émile, Lille, Hauts-de-France"},
+        "other_street_form": {"Café Dupont SARL | 12 R. Émile, Lille, Nord"},
+        "turned": {"Café Dupont SARL | Lille, Nord, 12 Rue Émile", "Café Dupont SARL | Nord, 12 Rue Émile, Lille"},
+        "plain_address": {"Café Dupont SARL | 12 Rue Emile, Lille, Nord"},
+        "capital_address": {"Café Dupont SARL | 12 RUE ÉMILE, LILLE, NORD"},
+        "family_suffix": {"Café Dupont SARL & Fils | 12 Rue Émile, Lille, Nord"},
+        "other_legal_form": {f"Café Dupont {x} | 12 Rue Émile, Lille, Nord" for x in ("SARL", "SAS")},
+        "plain_name": {"Cafe Dupont SARL | 12 Rue Émile, Lille, Nord"},
+        "capital_name": {"CAFÉ DUPONT SARL | 12 Rue Émile, Lille, Nord"},
+    }
+    assert set(want) == set(augment.STEPS)
+    df = spark.createDataFrame([row, (3, 4, "", "No bar 12", 1), (5, 6, "", None, 0)], PAIR)
+    for name, texts in want.items():
+        got = {r.s1: r.text_b for r in augment.add_noise(df, LOCALE, {x: float(x == name) for x in want}).collect()}
+        assert got[1] in texts and got[3] == "No bar 12" and got[5] == "", name
+    false = spark.createDataFrame([(*row[:4], 0)], PAIR)
+    assert augment.add_noise(false, LOCALE, {x: float(x == "family_suffix") for x in want}).first().text_b == row[3]
+
+
+def test_noise_comes_as_often_as_asked(spark):
+    df = spark.range(4000).select(F.col("id").alias("s1"), F.lit(0).alias("cand"), F.lit("").alias("text_a"), F.lit("ab | cd").alias("text_b"), F.lit(0).alias("y"))
+    got = augment.add_noise(df, augment.Locale(), {x: 0.3 if x.startswith("capital") else 0.0 for x in augment.STEPS}).groupBy("text_b").count().collect()
+    n = {r.text_b: r["count"] / 4000 for r in got}
+    assert n["AB | CD"] == pytest.approx(0.09, abs=0.02) and n["ab | CD"] == pytest.approx(0.21, abs=0.03)
+
+
+def test_whole_states_for_each_part(spark):
+    sizes = spark.createDataFrame([("US", f"s{i}", 10 + i) for i in range(50)] + [("India", "mh", 500), ("India", "ka", 80), ("India", "kl", 60)], "country string, state string, n long")
+    got = augment.split_states(sizes, 1000, 400, 90)
+    total = sum(r.n for r in sizes.collect())
+    n = {(r.country, r.state): r.n for r in sizes.collect()}
+    for country, own in got.items():
+        share = sum(v for (c, _), v in n.items() if c == country) / total
+        assert not set(own["train"]) & set(own["validation"])
+        for part, want, cap in (("validation", 400 * share, 400 * share * (0.6 if country == "US" else 1.5)), ("train", 1000 * share, 90)):
+            sizes_of = [n[country, s] for s in own[part]]
+            assert all(x <= cap for x in sizes_of) and sum(sizes_of[:-1]) < want
+    pairs = spark.createDataFrame([("a", 1), ("b", 2)], "s1 string, cand long")
+    records = spark.createDataFrame([("a", "France"), ("b", "US")], "entity_id string, country string")
+    assert [r.s1 for r in augment.of_country(pairs, records, "France").collect()] == ["a"]
 
 
 def test_samples_and_splits(spark):
