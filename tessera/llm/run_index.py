@@ -1,20 +1,26 @@
 """Removal of long repeated strings by a run-length index.
 
-Which strings can repeat is found first. Every window of `length` bytes picks an anchor, its least hashed gram (the leftmost of
-equals), so equal windows pick equal anchors, wherever they are. The windows of one anchor in a row form a segment. Anchors that
-occur once are dropped; of the others' segments,
-
-- one that occurs twice or more as a whole, told by its digest, is all repeated;
-- the rest, if the anchor has more than one, are compared byte by byte with one copy of each distinct segment of that anchor. The windows
-  fall into a few classes by where the anchor lies in them; those of a class share a core, and a segment none of whose cores
-  another one has is left out. Blocks of the rest are concatenated, with a separator of its own behind each, and indexed: the suffix order gives the
-  Burrows-Wheeler transform, of which only the runs are kept, with the text positions at the runs' ends as samples. Matches with
-  the neighbours in suffix order are measured at the samples alone; everywhere else the length of the match is one less than at
-  the position before. Streaming these matching statistics over the text marks the starts of repeated windows.
-- an anchor with more distinct segments than HOT_SEGMENTS isn't gathered into one task: the windows of its segments are hashed
-  and counted instead, with partial counts before the shuffle.
-
-Texts are told apart by their SHA-256 and marked once, however many documents have them. Strings are judged on the input; marks are united per text.
+Which strings can repeat is found first. Every window of `least` bytes picks an anchor, its least hashed gram (the leftmost of
+equals), so equal windows pick equal anchors, wherever they are. The windows of one anchor in a row form a segment; it holds
+`length` bytes from its last window's start, so that the longer strings that start in it lie in it too. Anchors that occur once
+are dropped. Of the others' segments, told apart by a digest within the anchor,
+
+- two copies of each that occurs twice or more go to the index: the first row that has any and another one, in whole stretches of
+  neighbouring segments. What the index confirms holds for all copies;
+- where an anchor has single segments as well, one copy of each of its segments goes to the index, but for those none of whose
+  classes of windows (by where the anchor lies in them) share a core with another.
+
+Blocks of such strings, those of a row that overlap made one, are concatenated and indexed: the suffix order gives the
+Burrows-Wheeler transform, of which only the runs are kept, with the text positions at the runs' ends as samples. Matches with
+the neighbours in suffix order are measured at the samples alone; everywhere else the length of the match is one less than at
+the position before. Streaming these matching statistics over the text marks the starts of repeated strings, of `length` bytes
+(these are removed) and of `least` bytes. A passage is a stretch that repeated strings of `least` bytes cover and that holds
+`passage_words` words or more; passages are reported and, where they are shorter than `length` bytes, not removed.
+
+An anchor with more distinct segments than HOT_SEGMENTS isn't gathered into one task: the windows of its segments are hashed
+and counted instead, with partial counts before the shuffle.
+
+Texts are told apart by their SHA-256. Strings are judged on the input; marks are united per text.
 
 Defined results: a null or empty text has no bytes, nothing removed, and the digest of nothing; rows that share an id are
 separate documents; equal texts of at least `length` bytes are removed in full; extra columns are ignored.
@@ -34,14 +40,17 @@ from pyspark.sql import functions as F
 from tessera.llm.common import apart, cut, documents, text_column
 
 LENGTH = 400
-GRAM = 32
+#: Bytes and words of a passage that is reported.
+LEAST = 256
+PASSAGE_WORDS = 50
+GRAM = 64
 #: Window starts handled at once in pass one, bytes of an indexed block, and the bound on a gathered group.
 PART = 1 << 21
 BLOCK = 1 << 20
 HOT_SEGMENTS = 4096
 
 POSITION_BITS = np.uint64(23)
-MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) ** 5 | 1) & (1 << 64) - 1) for j in range(GRAM // 8)]
 
 
 def gram_hashes(raw: bytes) -> np.ndarray:
@@ -71,17 +80,18 @@ def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
     return (least & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
 
 
-def segments(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, list[int], np.ndarray]]:
+def segments(raw: bytes, length: int = LENGTH, least: int = LEAST) -> Iterator[tuple[np.ndarray, list[int], np.ndarray]]:
     """(anchors, digests, places) of a text's segments, in parts. A place packs the first window's start, how many windows
     follow it, and how far behind the start the anchor lies."""
-    for base in range(0, len(raw) - length + 1, PART):
-        part = raw[base : base + PART + length - 1]
+    for base in range(0, len(raw) - least + 1, PART):
+        part = raw[base : base + PART + least - 1]
         h = gram_hashes(part)
-        place = window_anchors(h, length - GRAM + 1)
+        place = window_anchors(h, least - GRAM + 1)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:], [len(place)]]) - 1
-        digests = [signed(xxhash.xxh3_64_intdigest(part[a : b + length])) for a, b in zip(first.tolist(), last.tolist())]
-        yield h[place[first]].view(np.int64), digests, (first + base << 24) | (last - first << 12) | (place[first] - first)
+        span = last - first
+        digests = [signed(xxhash.xxh3_64_intdigest(raw[a + base : b + base + length], b - a)) for a, b in zip(first.tolist(), last.tolist())]
+        yield h[place[first]].view(np.int64), digests, (first + base << 24) | (span << 12) | (place[first] - first)
 
 
 def signed(x: int) -> int:
@@ -92,37 +102,43 @@ class RunIndex:
     """Run-length Burrows-Wheeler transform of some strings, with samples at the runs' ends."""
 
     def __init__(self, strings: list[bytes]) -> None:
-        k = len(strings)
         sizes = np.array([len(x) + 1 for x in strings])
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        symbols = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + k
-        symbols[self.ends - 1] = np.arange(k)  # separators, all different, below all bytes
+        self.size = int(self.ends[-1])
+        symbols = np.zeros(self.size + 6, np.uint64)  # 0 ends a string; bytes count from 1
+        symbols[: self.size - 1] = np.frombuffer(b"\0".join(strings), np.uint8)
+        symbols[: self.size] += np.uint64(1)
+        symbols[self.ends - 1] = 0
         self.levels: list[tuple[int, np.ndarray]] = []
         suffixes = self.sort(symbols)
         before = symbols[suffixes - 1]
-        new_run = np.flatnonzero(before[1:] != before[:-1])
-        self.size = len(symbols)
+        before[suffixes == 0] = 0
+        new_run = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0))  # the ends of two strings are no run
         self.runs = len(new_run) + 1
         # at a run's first suffix the match with the suffix above, at its last the match with the one below
         self.above = self.sampled(suffixes[np.concatenate([[0], new_run + 1])], np.concatenate([[-1], suffixes[new_run]]))
         self.below = self.sampled(suffixes[np.concatenate([new_run, [len(suffixes) - 1]])], np.concatenate([suffixes[new_run + 1], [-1]]))
 
     def sort(self, symbols: np.ndarray) -> np.ndarray:
-        """All suffixes in order, by prefix doubling; keeps the ranks of each length for common prefixes."""
-        n, step = len(symbols), 1
-        _, rank = np.unique(symbols, return_inverse=True)
+        """All suffixes in order, by prefix doubling from seven symbols on; keeps the ranks of each length for common prefixes."""
+        n, step = self.size, 7
+        key = symbols[:n].astype(np.int64)
+        for j in range(1, step):
+            key <<= 9
+            key |= symbols[j : n + j].astype(np.int64)
+        self.levels += [(k, key >> 9 * (step - k)) for k in (1, 2, 4)]
         while True:
-            self.levels.append((step, rank))
-            key = rank.astype(np.int64) * (n + 1)
-            key[:-step] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key = key[order]
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-            step *= 2
             if rank[order[-1]] == n - 1 or step >= n:
                 return order
+            self.levels.append((step, rank))
+            key = rank.astype(np.int64) * (n + 1)
+            key[:-step] += rank[step:] + 1
+            step *= 2
 
     def sampled(self, at: np.ndarray, neighbour: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of the suffixes at `at` and their neighbours, streamed to every position."""
@@ -141,25 +157,23 @@ class RunIndex:
         return value[nearest] - (np.arange(self.size) - nearest)
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position the length of its longest match with another position; none runs over a separator."""
-        return np.maximum(self.above, self.below)
+        """For each position the length of its longest match with another position; none runs over a string's end. A match that
+        would is one of strings that end together, so it's as long as what is left of the string."""
+        left = np.repeat(self.ends - 1, self.ends - self.starts) - np.arange(self.size)
+        return np.minimum(np.maximum(self.above, self.below), left)
 
 
-def repeated_runs(strings: list[bytes], wanted: list[bool], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """(string, start, end) of what windows of the wanted strings cover that also start anywhere else in the strings."""
-    index = RunIndex(strings)
-    marked = index.matching_statistics() >= length
+def runs_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the runs of true values."""
     edges = np.diff(np.concatenate([[0], marked.view(np.int8), [0]]))
-    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
-    owner = np.searchsorted(index.ends, first, "right")
-    for s, a, b in zip(owner.tolist(), first.tolist(), last.tolist()):
-        if wanted[s]:
-            base = int(index.starts[s])
-            yield s, a - base, b - base + length
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-MARKS = "t binary, lo int, hi int"
 FOUND = "t binary, doc_id long, a array<long>, d array<long>, place array<long>"
+KIND = pa.struct([("a", pa.int64()), ("d", pa.int64()), ("lo", pa.int32()), ("span", pa.int32())])
+PIECE = "twin boolean, key long, row long, t binary, lo int, raw binary, span int, ahead int, kinds array<struct<a: long, d: long, lo: int, span: int>>"
+#: level is the length of the repeated strings; 0 stands for a kind of segment (a, d) that the index confirms.
+MARKED = "level int, t binary, lo int, hi int, a long, d long"
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -169,13 +183,13 @@ def with_key(docs: DataFrame) -> DataFrame:
     return texts.select(F.coalesce(key, F.lit(b"")).alias("t"), "doc_id", "text")
 
 
-def find_segments(texts: DataFrame, length: int) -> DataFrame:
+def find_segments(texts: DataFrame, length: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, parts = [0], [[], [], []]
             for x in batch.column(2).cast(pa.large_binary()):
                 n = 0
-                for new in segments(x.as_py(), length):
+                for new in segments(x.as_py(), length, least):
                     n += len(new[0])
                     for held, values in zip(parts, new):
                         held.append(np.asarray(values, np.int64))
@@ -187,125 +201,214 @@ def find_segments(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, FOUND)
 
 
+def unpacked(place: int) -> tuple[int, int, int]:
+    """First window's start, number of further windows, and where the anchor lies."""
+    return place >> 24, place >> 12 & 4095, place & 4095
+
+
+def pieces(asked: DataFrame, length: int) -> DataFrame:
+    """The strings that the index compares. asked: row, t, text, asks: array<struct<key, twin, a, d, place>>.
+
+    For each key of twins the stretches of the row that its segments cover, with these segments if the key is the row itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, t, text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist()):
+                raw = text.as_py()
+                stretch: dict[int, tuple] = {}
+                for x in sorted(asks, key=lambda x: (x["key"], x["place"])):
+                    lo, span, ahead = unpacked(x["place"])
+                    hi = min(len(raw), lo + span + length)
+                    if not x["twin"]:
+                        out.append((False, x["key"], row, t, lo, raw[lo:hi], span, ahead, []))
+                        continue
+                    held = stretch.get(x["key"])
+                    if held is None or lo > held[1]:
+                        if held:
+                            out.append((True, x["key"], row, t, held[0], raw[held[0] : held[1]], 0, 0, held[2]))
+                        held = (lo, hi, [])
+                    if x["key"] == row:
+                        held[2].append({"a": x["a"], "d": x["d"], "lo": lo, "span": span})
+                    stretch[x["key"]] = (held[0], max(hi, held[1]), held[2])
+                out += [(True, key, row, t, lo, raw[lo:hi], 0, 0, kinds) for key, (lo, hi, kinds) in stretch.items()]
+            columns = list(zip(*out)) or [()] * 9
+            types = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.list_(KIND)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=[c.split()[0] for c in PIECE.split(", ")[:9]])
+
+    return asked.select("row", "t", "text", "asks").mapInArrow(run, PIECE)
+
+
 CLASSES = 4
 
 
-def sharing(group: list[tuple], length: int) -> list[tuple]:
-    """The members of an anchor's group that share the core of a class of windows. Members: t, raw, lo, span, ahead, wanted."""
-    width = length - GRAM + 1
+def sharing(group: list[dict], least: int) -> list[dict]:
+    """The members of an anchor's group that share the core of a class of windows."""
+    width = least - GRAM + 1
     step = -(-width // CLASSES)
-    cores: dict[tuple[int, int], list[int]] = {}
-    for i, (_, raw, _, span, ahead, _) in enumerate(group):
+    cores: dict[tuple[int, int], set[int]] = {}
+    for i, x in enumerate(group):
         for c in range(CLASSES):
-            first = ahead - width + 1 + step * c
-            last = min(first + step - 1, ahead)
-            if last >= 0 and first <= span:
-                cores.setdefault((c, xxhash.xxh3_64_intdigest(raw[last : first + length])), []).append(i)
-    kept = sorted({i for found in cores.values() if len(found) > 1 for i in found})
-    return [group[i] for i in kept] if any(group[i][5] for i in kept) else []
-
-
-def compare(groups: DataFrame, length: int) -> DataFrame:
-    """Marks of the wanted segments. groups: a, t, lo, span, ahead, raw, wanted, a row for each distinct segment of an anchor."""
+            first = x["ahead"] - width + 1 + step * c
+            last = min(first + step - 1, x["ahead"])
+            if last >= 0 and first <= x["span"]:
+                cores.setdefault((c, xxhash.xxh3_64_intdigest(x["raw"][last : first + least])), set()).add(i)
+    kept = {i for found in cores.values() if len(found) > 1 for i in found}
+    return [group[i] for i in sorted(kept)]
+
+
+def marks_of(held: list[dict], length: int, least: int) -> pa.RecordBatch:
+    """What the index over these strings marks, and the kinds that it confirms. Strings of a row that overlap are made one."""
+    strings: list[list] = []  # row, t, lo, raw, kinds
+    for x in sorted(held, key=lambda x: (x["row"], x["lo"])):
+        at = x["lo"] - strings[-1][2] if strings and strings[-1][0] == x["row"] else None
+        if at is not None and at <= len(strings[-1][3]):
+            strings[-1][3] += x["raw"][len(strings[-1][3]) - at :]
+            strings[-1][4] += x["kinds"]
+        else:
+            strings.append([x["row"], x["t"], x["lo"], bytearray(x["raw"]), list(x["kinds"])])
+    index = RunIndex([bytes(x[3]) for x in strings])
+    found = index.matching_statistics()
+    out: list[tuple] = []
+    missed = []
+    for level in (length, least):
+        marked = found >= level
+        missed.append(np.concatenate([[0], np.cumsum(~marked)]))
+        first, end = runs_of(marked)
+        for s, a, b in zip(np.searchsorted(index.ends, first, "right").tolist(), first.tolist(), end.tolist()):
+            base = strings[s][2] - int(index.starts[s])
+            out.append((level, strings[s][1], base + a, base + b - 1 + level, None, None))
+    for s, (_, _, lo, raw, kinds) in enumerate(strings):
+        base = int(index.starts[s]) - lo
+        for k in kinds:
+            a, b = k["lo"] + base, k["lo"] + k["span"] + 1 + base
+            long = max(a, min(b, int(index.ends[s]) - length))  # starts from which that many bytes are left in the text's stretch
+            if missed[1][b] == missed[1][a] and missed[0][long] == missed[0][a]:
+                out.append((0, None, None, None, k["a"], k["d"]))
+    columns = list(zip(*out)) or [()] * 6
+    types = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=[c.split()[0] for c in MARKED.split(", ")])
+
+
+def compare(strings: DataFrame, length: int, least: int) -> DataFrame:
+    """The index's marks, in blocks of whole groups (twin, key) of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group: list[tuple] = []
+        held: list[dict] = []
+        group: list[dict] = []
         size = 0
 
-        def settle() -> pa.RecordBatch:
-            found = list(repeated_runs([x[1] for x in held], [x[5] for x in held], length))
-            return as_marks([(held[s][0], held[s][2] + a, held[s][2] + b) for s, a, b in found])
+        def close() -> int:
+            new = group if not group or group[0]["twin"] else sharing(group, least)
+            held.extend(new)
+            return sum(len(x["raw"]) + 1 for x in new)
 
         last = None
         for batch in batches:
-            for a, t, lo, span, ahead, raw, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != last:
-                    new = sharing(group, length) if len(group) > 1 else []
-                    held += new
-                    size += sum(len(x[1]) + 1 for x in new)
+            names, kinds = batch.schema.names[:8], batch.column(8)
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[:8]))):
+                if row[:2] != last:
+                    size += close()
                     group = []
                     if size >= BLOCK:
-                        yield settle()
+                        yield marks_of(held, length, least)
                         held, size = [], 0
-                last = a
-                if not group or (t, lo) != (group[-1][0], group[-1][2]):  # rows that share id and text come twice
-                    group.append((t, raw, lo, span, ahead, wanted))
-        held += sharing(group, length) if len(group) > 1 else []
+                last = row[:2]
+                if not group or row[2] != group[-1]["row"] or row[4] != group[-1]["lo"]:  # rows that share id and text come twice
+                    group.append(dict(zip(names, row)) | {"kinds": kinds[i].as_py() if row[0] else ()})
+        close()
         if held:
-            yield settle()
+            yield marks_of(held, length, least)
 
-    dealt = groups.select("a", "t", "lo", "span", "ahead", "raw", "wanted").repartition("a").sortWithinPartitions("a", "t", "lo")
-    return dealt.mapInArrow(run, MARKS)
+    dealt = strings.repartition("twin", "key").sortWithinPartitions("twin", "key", "row", "lo")
+    return dealt.mapInArrow(run, MARKED)
 
 
-def as_marks(rows: list[tuple]) -> pa.RecordBatch:
-    t, lo, hi = list(zip(*rows)) or ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["t", "lo", "hi"])
-
-
-def count_windows(groups: DataFrame, length: int) -> DataFrame:
-    """The same marks by counting the hashes of all windows."""
+def count_windows(groups: DataFrame, length: int, least: int) -> DataFrame:
+    """level, t, lo, hi of what repeats in hot groups, by counting the hashes of all windows of both lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, lo, raw, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(raw) - length + 1
-                w = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([t] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int32()), pa.array([wanted] * n)], names=["w", "t", "lo", "wanted"])
-
-    windows = groups.dropDuplicates(["t", "lo"]).select("t", "lo", "raw", "wanted").mapInArrow(run, "w binary, t binary, lo int, wanted boolean")
+            for x in batch.to_pylist():
+                raw = x["raw"]
+                for level in (length, least):
+                    n = min(x["span"] + 1, len(raw) - level + 1)
+                    if n > 0:
+                        w = [xxhash.xxh3_128_digest(raw[i : i + level]) for i in range(n)]
+                        yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([level] * n, pa.int32()), pa.array([x["t"]] * n, pa.binary()), pa.array(range(x["lo"], x["lo"] + n), pa.int32())], names=["w", "level", "t", "lo"])
+
+    windows = groups.dropDuplicates(["row", "lo"]).mapInArrow(run, "w binary, level int, t binary, lo int")
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return windows.where("wanted").join(twice, "w", "left_semi").select("t", "lo", (F.col("lo") + length).cast("int").alias("hi"))
+    return apart(windows, "w").join(apart(twice, "w"), ["w", "apart"], "left_semi").select("level", "t", "lo", (F.col("lo") + F.col("level")).cast("int").alias("hi"))
 
 
-def cut_out(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """doc_id, text and spans: array<struct<lo, hi>> of the bytes to be removed; null if none."""
-    lo, span, ahead = F.shiftright("place", 24).cast("int"), F.shiftright("place", 12).bitwiseAND(4095).cast("int"), F.col("place").bitwiseAND(4095).cast("int")
+def cut_out(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS, least: int = LEAST) -> DataFrame:
+    """doc_id, text and spans: what repeated strings of both lengths cover, null if nothing. A span packs its start, its end and
+    whether it is of the longer strings, in 31, 31 and 1 bits; one at a text's end may reach beyond it."""
     texts = apart(with_key(docs), "t")
     # rows get a number once, in the checkpoint; what is shuffled most carries it instead of the text's digest
-    found = cut(find_segments(texts.drop("apart"), length).where(F.size("a") > 0).withColumn("row", F.monotonically_increasing_id()))
-    owner = found.select("row", "t", "doc_id")
+    found = cut(find_segments(texts.drop("apart"), length, least).where(F.size("a") > 0).withColumn("row", F.monotonically_increasing_id()))
+    owner = found.select("row", "t", F.col("doc_id").alias("own_id"))
     every = found.select("row", F.explode(F.arrays_zip("a", "d", "place")).alias("s")).select("row", "s.*")
-    often = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
+    often = found.select(F.explode("a").alias("a")).groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
     every = cut(apart(every, "a").join(apart(often, "a"), ["a", "apart"]).drop("apart"))
-    counts = every.groupBy("a", "d").agg(F.count("*").alias("times"))
-    twice = counts.where("times > 1").select("a", "d", F.lit(True).alias("twice"))
-    timed = apart(every, "a", "d").join(apart(twice, "a", "d"), ["a", "d", "apart"], "left").select("a", "d", "row", "place", "twice")
-    whole = timed.where("twice")
-    end = (lo + span + length).cast("int")
-    marks = whole.groupBy("row").agg(F.collect_list(F.struct(lo.alias("lo"), end.alias("hi"))).alias("spans")).join(owner, "row").select("t", F.explode("spans").alias("s")).select("t", "s.*")
-
+    at = F.struct("row", "place")
+    counts = cut(every.groupBy("a", "d").agg(F.count("*").alias("times"), F.min(at).alias("one"), F.max(at).alias("other")))
     mixed = counts.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("single")).where("kinds > 1 and single > 0")
-    one = timed.where("twice is null").select("a", "row", "place", F.lit(True).alias("wanted"))
-    one = one.unionAll(whole.dropDuplicates(["a", "d"]).select("a", "row", "place", F.lit(False).alias("wanted")))
-    one = apart(one, "a").join(apart(mixed.select("a", (F.col("kinds") > hot_segments).alias("hot")), "a"), ["a", "apart"]).groupBy("row").agg(F.collect_list(F.struct("a", "place", "wanted", "hot")).alias("ones"))
-    one = one.join(owner.withColumnRenamed("doc_id", "own_id"), "row").drop("row")
-    with_text = apart(one, "t").join(texts, ["t", "apart"]).where(F.col("doc_id").eqNullSafe(F.col("own_id"))).select("t", "text", F.explode("ones").alias("one")).select("t", "text", "one.*")
-    raw = F.substring(F.col("text").cast("binary"), lo + 1, span + length)
-    groups = with_text.select("a", "t", lo.alias("lo"), span.alias("span"), ahead.alias("ahead"), raw.alias("raw"), "wanted", "hot")
-    marks = marks.unionAll(compare(groups.where("not hot"), length)).unionAll(count_windows(groups.where("hot"), length))
-
-    lists = marks.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    mixed = mixed.select("a", (F.col("kinds") > hot_segments).alias("hot"))
+
+    ask = lambda key, twin: F.struct(F.col(key).alias("key"), F.lit(twin).alias("twin"), "a", "d", "place").alias("ask")
+    twice = counts.where("times > 1").withColumn("first", F.col("one.row"))
+    twins = twice.select("a", "d", "first", F.explode(F.array("one", "other")).alias("at")).select("a", "d", "first", "at.*").select("row", ask("first", True), F.lit(False).alias("hot"))
+    singles = apart(counts, "a").join(apart(mixed, "a"), ["a", "apart"]).select("a", "d", "hot", "one.*").select("row", ask("a", False), "hot")
+
+    def strings(asks: DataFrame) -> DataFrame:
+        lists = asks.groupBy("row").agg(F.collect_list("ask").alias("asks")).join(owner, "row")
+        asked = apart(lists, "t").join(texts, ["t", "apart"]).where(F.col("doc_id").eqNullSafe(F.col("own_id")))
+        return pieces(asked, length)
+
+    every_ask = cut(twins.unionByName(singles))
+    marked = cut(compare(strings(every_ask.where("not hot")), length, least))
+    marks = marked.where("level > 0").select("level", "t", "lo", "hi")
+    marks = marks.unionByName(count_windows(strings(every_ask.where("hot")), length, least))
+    # what holds for two copies holds for the others
+    lo, span = F.shiftright("place", 24).cast("int"), F.shiftright("place", 12).bitwiseAND(4095).cast("int")
+    many = counts.where("times > 2").select("a", "d").join(marked.where("level = 0").select("a", "d").distinct(), ["a", "d"])
+    copies = apart(every, "a", "d").join(apart(many, "a", "d"), ["a", "d", "apart"]).groupBy("row").agg(F.collect_list("place").alias("places")).join(owner, "row")
+    copies = copies.select("t", F.explode("places").alias("place")).select("t", lo.alias("lo"), span.alias("span"))
+    levels = [F.struct(F.lit(x).alias("level"), "t", "lo", (F.col("lo") + F.col("span") + x).cast("int").alias("hi")) for x in (length, least)]
+    marks = marks.unionByName(copies.select(F.explode(F.array(*levels)).alias("m")).select("m.*"))
+
+    packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("hi").cast("long"), 1)).bitwiseOR((F.col("level") == length).cast("long"))
+    lists = marks.groupBy("t").agg(F.collect_set(packed).alias("spans"))
     return texts.join(apart(lists, "t"), ["t", "apart"], "left").select("doc_id", "text", "spans")
 
 
-def united(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
+def united(spans: np.ndarray, size: int, length: int, least: int) -> Iterator[list[tuple[int, int]]]:
+    """The unions of the longer strings' spans and of the shorter ones'. A span counts if a string of its length starts at it."""
+    lo, hi, longer = spans >> 32, np.minimum(spans >> 1 & 0x7FFFFFFF, size), (spans & 1).astype(bool)
+    for n, chosen in ((length, longer), (least, ~longer if least != length else longer)):
+        own = chosen & (lo + n <= size)
+        order = np.argsort(lo[own])
+        a, b = lo[own][order], np.maximum.accumulate(hi[own][order])
+        first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.empty(0, np.int64)
+        yield list(zip(a[first].tolist(), b[np.concatenate([first[1:] - 1, [len(a) - 1]])].tolist() if len(a) else []))
+
+
+def whole_words(raw: bytes, lo: int, hi: int) -> int:
+    """Words of the text that lie in [lo, hi)."""
+    n = len(raw[lo:hi].split())
+    cut_off = lambda i: 0 < i < len(raw) and not raw[i - 1 : i].isspace() and not raw[i : i + 1].isspace()
+    return max(0, n - cut_off(lo) - cut_off(hi))
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
+NAMES = [c.split()[0] for c in REMOVED.split(", ")]
 
 
-def removed(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    marked = cut_out(docs, length, hot_segments)
+def removed(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS, least: int = LEAST, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row, and its repeated passages and the words in them."""
+    marked = cut_out(docs, length, hot_segments, least)
     whole = F.sha2(F.col("text").cast("binary"), 256)
     rows = marked.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("spans").isNull(), whole).alias("digest"), F.when(F.col("spans").isNotNull(), F.col("text").cast("binary")).alias("raw"), "spans")
 
@@ -314,21 +417,24 @@ def removed(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGME
             out = []
             for doc, n, digest, x, spans in zip(*(c for c in batch.columns[:5])):
                 if not spans.is_valid:
-                    out.append((doc.as_py(), n.as_py(), 0, 0, digest.as_py()))
+                    out.append((doc.as_py(), n.as_py(), 0, 0, digest.as_py(), 0, 0))
                     continue
                 raw, at, kept = x.as_py(), 0, hashlib.sha256()
-                runs = united(spans.as_py())
+                runs, stretches = united(spans.values.to_numpy(zero_copy_only=False), len(raw), length, least)
                 for lo, hi in runs:
                     kept.update(raw[at:lo])
                     at = hi
                 kept.update(raw[at:])
-                out.append((doc.as_py(), len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                words = [whole_words(raw, lo, hi) for lo, hi in stretches]
+                words = [n for n in words if n >= passage_words]
+                out.append((doc.as_py(), len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), len(words), sum(words)))
+            columns = list(zip(*out)) or [()] * len(NAMES)
+            types = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=NAMES)
 
     return rows.mapInArrow(run, REMOVED)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each document loses to repeated 400-byte strings."""
+    """What each document loses to repeated 400-byte strings, and the repeated passages in it."""
     return removed(documents(spark, sf_dir))
