@@ -1,9 +1,11 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
 Both are interpolated bigram models over one vocabulary, all words of all documents; words and pairs of words are counted as
-they are, under 64-bit digests, so the models grow with the corpus. They are matched: same order, vocabulary and smoothing, and
-the background's counts are scaled to the target's number of tokens. A document's score is its mean loss per token under the
-target model less that under the background model: the lower, the more it is like the target.
+they are, under 64-bit digests, so the models grow with the corpus. They are matched: same order, vocabulary and smoothing, the
+background's counts are scaled to the target's number of tokens, and no model has seen the text that it scores: a text's own
+counts are taken off the sums that it is in. (Otherwise the background, which is all documents, would know each text by heart, and
+the score would tell the target's texts from others instead of what is like them.) A document's score is its mean loss per token
+under the target model less that under the background model: the lower, the more it is like the target.
 
 No model is gathered. Documents are put into bags of bounded size, a bag counts its own words, ends of texts and pairs, and sends
 the counts to slices of the digests' range. A slice adds up what all bags sent and answers each bag with the sums of the digests
@@ -13,7 +15,8 @@ and the number of slices grows with the number of entries.
 Words are split at white space, lower-cased.
 
 Defined results: a null text or one without words has no tokens and a null score; if the target is empty, all scores are null;
-documents that share an id are scored one by one; an id is in the target if any of its labels says so.
+documents that share an id are scored one by one; an id is in the target if any of its labels says so; a text that is the whole
+target has the score 0; of a text that is longer than a bag each part counts as a text of its own in what is taken off.
 """
 
 from __future__ import annotations
@@ -176,20 +179,38 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.table(columns, names=["bag", "slice", "totals", "counts"])
 
 
+def in_part(part: np.ndarray, place: np.ndarray, tokens: int = 1 << 17) -> np.ndarray:
+    """For each token how often its place occurs in the same part; some parts at a time, for the search sorts."""
+    out = np.empty(len(part), np.int32)
+    ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+    start = 0
+    while start < len(part):
+        end = int(ends[min(len(ends) - 1, np.searchsorted(ends, start + tokens))])
+        codes = (part[start:end] - part[start]) * (place.max() + 1) + place[start:end]
+        _, at, times = np.unique(codes, return_inverse=True, return_counts=True)
+        out[start:end] = times[at]
+        start = end
+    return out
+
+
 def losses(own: pa.Table, answers: pa.Table) -> pa.Table:
     """Sums of the losses of the parts in a bag."""
     r = own.to_pylist()[0]
     _, at, word, before, pair = unbag(r)
     told = sorted(answers.to_pylist(), key=lambda x: x["slice"])
     tokens, every, vocabulary = (sum(x["totals"][i] for x in told) for i in range(3))
-    sums = np.concatenate([unpack(x["counts"], "<i8").reshape(4, -1) for x in told], axis=1).astype(np.float64)
+    sums = np.concatenate([unpack(x["counts"], "<i8").reshape(4, -1) for x in told], axis=1)
     part = np.repeat(np.arange(len(r["lengths"])), r["lengths"])[at]
+    size = np.array(r["lengths"])[part] - 1
+    seen_here = [in_part(part, x) for x in (word, before, pair)]
+    # what the target and all documents have counted of the text itself
+    counted = [np.isin(r["rows"], r["good"] or [])[part], np.ones(len(part), bool)] if r["counted"] else [np.zeros(len(part), bool)] * 2
+    n_target, n_every = (n - size * c for n, c in zip((tokens, every), counted))
     found = []
-    for i, scale in ((0, 1.0), (1, tokens / max(1, every))):
-        p, both = (sums[i][x] * scale for x in (word, pair))
-        seen = (sums[i] + sums[2 + i])[before] * scale
-        p = (p + RAISE) / (tokens + RAISE * max(1 << WORD_BITS, vocabulary))
-        p = np.where(seen > 0, PAIR_WEIGHT * both / np.maximum(seen, 1e-9) + (1 - PAIR_WEIGHT) * p, p)
+    for i, scale in ((0, np.ones(len(part))), (1, n_target / np.maximum(1, n_every))):
+        one, seen, both = (x - h * counted[i] for x, h in zip((sums[i][word], (sums[i] + sums[2 + i])[before], sums[i][pair]), seen_here))
+        p = (one * scale + RAISE) / (n_target + RAISE * max(1 << WORD_BITS, vocabulary))
+        p = np.where((seen > 0) & (scale > 0), PAIR_WEIGHT * both / np.maximum(seen, 1) + (1 - PAIR_WEIGHT) * p, p)
         found.append(-np.bincount(part, np.log(p), len(r["lengths"])) if tokens else [None] * len(r["lengths"]))
     values = [r["rows"], r["ids"], [n - 1 for n in r["lengths"]], *found]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -224,7 +245,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     sent = blocks(models.bags.join(models.good, "bag", "left"), slices, True, same)
     sent = sent if same else sent.unionByName(blocks(own, slices, False, True))
     told = sent.groupBy("slice").applyInArrow(answer, ANSWER)
-    parts = own.groupBy("bag").cogroup(told.groupBy("bag")).applyInArrow(losses, PART)
+    asking = own.join(models.good, "bag", "left").withColumn("counted", F.lit(True)) if same else own.withColumns({"good": F.lit(None).cast("array<long>"), "counted": F.lit(False)})
+    parts = asking.groupBy("bag").cogroup(told.groupBy("bag")).applyInArrow(losses, PART)
     out = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     out = out.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
