@@ -7,27 +7,24 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import settled as cut
+from tessera.session import shared_folder
+
+__all__ = ["apart", "bounded", "cut", "documents", "shared_folder", "text_chunks", "text_column", "word_chunks"]
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
+#: Most bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a folder of its own; on a cluster
-    it's an error, for no folder but a shared one outlives an executor."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(place or "/tmp/checkpoints/tessera")
-    return sc._jsc.sc().getCheckpointDir().get()
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of so many bytes: with the default of 64 MB two tasks of long texts take much of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def apart(df: DataFrame, *keys: str, values: int = 8) -> DataFrame:
