@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.line_dedup import MIN_WORDS, SENTENCE_WORDS
+from tessera.llm.line_dedup import MIN_WORDS, RUN_WORDS
 from tessera.llm.quality import LEAST_KEPT, LINE_WORDS, MAX_DOCS, MAX_SHARE
 from tessera.llm.secrets import BASE, MORE
 
@@ -36,14 +36,15 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 LINES = rf"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 u AS (SELECT doc_id, unnest(range(len(l))) AS unit, unnest(l) AS line FROM l),
-p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, string_split_regex(line, '[.!?] ') AS parts FROM u),
-s AS (SELECT doc_id, unit, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS line, start AS line_start FROM p WHERE len(parts) > 1),
-t AS (SELECT doc_id, unit, part, line, line_start + coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id, unit ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
-every AS (SELECT doc_id, unit, 0::BIGINT AS part, line, start, {MIN_WORDS} AS least FROM p UNION ALL SELECT doc_id, unit, part, line, start, {SENTENCE_WORDS} FROM t),
-w AS (SELECT *, {words('line')} AS w FROM every),
-k AS (SELECT doc_id, unit, part, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS "end", rtrim(lower(array_to_string(w, ' ')), '.!?') AS key FROM w WHERE len(w) >= least),
-f AS (SELECT *, first_value(doc_id) OVER q AS kept_doc_id, first_value(unit) OVER q AS kept_unit, first_value(part) OVER q AS kept_part FROM k WINDOW q AS (PARTITION BY key ORDER BY doc_id, unit, part))
-SELECT doc_id, unit, part, start, "end", kept_doc_id, kept_unit, kept_part FROM f WHERE doc_id <> kept_doc_id OR unit <> kept_unit OR part <> kept_part"""
+p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start, string_split_regex(line, '[.!?] ') AS parts FROM u),
+s AS (SELECT doc_id, unit, unnest(range(1, len(parts) + 1)) AS place, len(parts) AS n_parts, unnest(parts) AS line, line_start FROM p),
+t AS (SELECT doc_id, unit, CASE WHEN n_parts > 1 THEN place ELSE 0 END AS part, line, line_start + coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id, unit ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+w AS (SELECT *, {words('line')} AS w FROM t),
+k AS (SELECT doc_id, unit, part, len(w) AS n, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS "end", rtrim(lower(array_to_string(w, ' ')), '.!?') AS key FROM w WHERE len(w) >= {MIN_WORDS}),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit, part) AS seq, first_value(doc_id) OVER q AS kept_doc_id, first_value(unit) OVER q AS kept_unit, first_value(part) OVER q AS kept_part FROM k WINDOW q AS (PARTITION BY key ORDER BY doc_id, unit, part)),
+g AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM f WHERE doc_id <> kept_doc_id OR unit <> kept_unit OR part <> kept_part),
+r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS total FROM g)
+SELECT doc_id, unit, CAST(part AS BIGINT) AS part, start, "end", kept_doc_id, kept_unit, CAST(kept_part AS BIGINT) AS kept_part FROM r WHERE total >= {RUN_WORDS}"""
 
 
 def secret_part(place: int, kind: str, pattern: str, group: int, least: int) -> str:
