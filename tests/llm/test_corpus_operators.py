@@ -134,6 +134,11 @@ def test_wide_dedup_keeps_one_of_each_group(spark):
     assert kept == sorted([100 * g for g in range(12)] + [5000 + i for i in range(20)])
 
 
+def shingles(text):
+    w = text.lower().encode().split()
+    return set(zip(*(w[j:] for j in range(5)))) or ({tuple(w)} if w else set())
+
+
 def test_wide_dedup_decides_by_similarity(spark):
     """Pairs just above 0.8 go and those just below stay; the distance of rings errs on both sides there."""
     rng = random.Random(4)
@@ -143,19 +148,66 @@ def test_wide_dedup_decides_by_similarity(spark):
         own = [word() for _ in range(504)]
         for c, last in ((0, 504), (1, 449 if g % 2 else 447)):  # with the tail replaced: 445 or 443 of 500 shingles are shared
             rows.append((10 * g + c, " ".join(own[:last] + [word() for _ in range(504 - last)])))
-    sets = {i: set(zip(*(t.split()[j:] for j in range(5)))) for i, t in rows}
+    sets = {i: shingles(t) for i, t in rows}
     similar = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 600, 10)}
     assert all((0.8 <= s < 0.81) if i // 10 % 2 else (0.79 < s < 0.8) for i, s in similar.items())
-    reach(spark)
-    texts = spark.createDataFrame(rows, "id long, text string")
-    pairs = spark.createDataFrame([(i, i + 1) for i in similar], "a long, b long")
-    assert {r.a for r in simhash.alike(pairs, texts, 5, 0.8).collect()} == {i for i, s in similar.items() if s >= 0.8}
-    rings = {bytes(r.t): bytes(r.ring) for r in simhash.wide_fingerprints(spark.createDataFrame([(str(i).encode(), t) for i, t in rows], "t binary, text string"), 5).collect()}
-    ring = {i: np.frombuffer(rings[str(i).encode()], np.uint8) for i, _ in rows}
-    far = [int(np.bitwise_count(ring[i] ^ ring[i + 1]).sum()) for i in similar]
-    assert max(far) <= simhash.greatest_distance(0.8)
+    rings = {i: simhash.rings_of([simhash.wide_fingerprint(simhash.shingle_set(t.encode(), 5))]) for i, t in rows}
+    most = simhash.greatest_distance(0.8)
+    far = [int(simhash.ring_distances(rings[i], rings[i + 1], most)[0]) for i in similar]
+    assert max(far) <= most
     kept = {r.doc_id for r in simhash.deduplicate(make(spark, rows)).collect()}
-    assert all(i + 1 in kept for i, s in similar.items() if s < 0.8)
+    assert {i for i in similar if i + 1 not in kept} == {i for i, s in similar.items() if s >= 0.8}
+
+
+def test_chains_prune_only_what_is_too_far():
+    rng = np.random.default_rng(5)
+    bits = simhash.RING_BITS
+    most = simhash.greatest_distance(0.8)
+    one = rng.integers(0, 1 << 63, (1, bits // 64)).astype(np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(bits, n, replace=False)) for n in range(0, 2 * most, 5) for _ in range(3)]
+    many = one ^ np.array([[f >> 64 * i & (1 << 64) - 1 for i in range(bits // 64)] for f in flips], np.uint64)
+    plain = np.array([f.bit_count() for f in flips])
+    got = simhash.ring_distances(many, one, most)
+    assert (got[plain <= most] == plain[plain <= most]).all() and (got[plain > most] > most).all()
+
+
+def edited(rng, words, own):
+    """A copy with some words replaced, taken out or put in, or cut at an end."""
+    own = list(own)
+    kind = rng.randrange(4)
+    if kind == 3:
+        lost = rng.randrange(len(own) // 4)
+        return own[lost:] if rng.random() < 0.5 else own[: len(own) - lost]
+    for _ in range(rng.randrange(1 + len(own) // 40)):
+        at = rng.randrange(len(own))
+        own[at : at + (kind < 2)] = [rng.choice(words)] if kind else []
+    return own
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_wide_dedup_equals_brute_force(spark, monkeypatch, block):
+    """Copies of copies, families whose members are less alike, short texts, and one passage in many texts."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(3000)]
+    texts = [rng.choices(words, k=n) for n in (0, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 12, 20)]
+    texts += [t[:-1] for t in texts if len(t) > 1]
+    for n in (30, 60, 120, 200, 400, 900):
+        for _ in range(3):
+            family = [rng.choices(words, k=n)]
+            for _ in range(14):
+                family.append(edited(rng, words, rng.choice(family)))
+            texts += family
+    passage = rng.choices(words, k=80)
+    texts += [rng.choices(words, k=40) + passage + rng.choices(words, k=40) for _ in range(40)]
+    far = rng.choices(words, k=200)
+    texts += [[w if rng.random() < 0.95 else rng.choice(words) for w in far] for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i for i, r in roots(range(len(rows)), links).items() if i == r}
+    assert 60 < len(want) < len(rows) - 150
+    assert {r.doc_id for r in simhash.deduplicate(make(spark, rows)).collect()} == want
 
 
 # ---------------------------------------------------------------- 3
@@ -174,6 +226,36 @@ def test_token_counts_equal_the_library(texts):
         assert count.text(text) == want and count.text(text, size=41) == want, text[:40]
 
 
+def test_token_counts_of_the_table_equal_a_plain_search(spark, sf, texts):
+    """The whole query against a dynamic program over all substrings, with the tie rule: the first of equal scores by start."""
+    pieces = dict(token_counts.vocabulary(token_counts.default_vocabulary()))
+    unknown = min(pieces.values()) - 10
+    longest = max(map(len, pieces))
+
+    def plain(word):
+        best = [(0.0, 0)] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - longest), end):
+                x = word[start:end]
+                step = (pieces[x], 1) if x in pieces else (unknown, None) if end - start == 1 else None
+                if step and (best[end] is None or best[start][0] + step[0] > best[end][0]):
+                    n = step[1] if step[1] else len(x.encode()) if all(f"<0x{b:02X}>" in pieces for b in x.encode()) else 1
+                    best[end] = (best[start][0] + step[0], best[start][1] + n)
+        return best[-1][1]
+
+    out = {r.doc_id: r.n_tokens for r in token_counts.op3_token_counts(spark, sf).collect()}
+    assert set(out) == set(texts)
+    memo = {}
+    for i, t in list(texts.items())[:40]:
+        if t and "\n" not in t and "▁" not in t:
+            total = 0
+            for w in t.split(" "):
+                w = "▁" + w
+                memo[w] = memo.get(w) or plain(w)
+                total += memo[w]
+            assert out[i] == total, t[:60]
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -206,6 +288,23 @@ def test_tiling_equals_brute_force():
         assert got == plain_tiles(item, text, 3), (item, text)
 
 
+def test_contaminated_documents_equal_brute_force(spark, sf, texts):
+    """The whole query: tiling written again, over all pairs that share five words in a row."""
+    words = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = set()
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    of_items = [(i, w, runs(w)) for i, w in items]
+    for doc, text in texts.items():
+        own = words(text)
+        seeds = runs(own)
+        for item, w, grams in of_items:
+            if grams & seeds and (n := plain_tiles(w, own, 5)) >= 0.5 * len(w):
+                want.add((doc, item, len(w), n))
+    got = {(r.doc_id, r.item_id, r.item_words, r.covered_words) for r in decontamination.op4_decontamination(spark, sf).collect()}
+    assert got == want and len(want) >= 3
+
+
 def test_reordered_passages_are_found(spark):
     item = " ".join(f"w{i}" for i in range(30))
     parts = item.split()
@@ -245,79 +344,79 @@ def test_language_of_nothing(spark):
 # ---------------------------------------------------------------- 6
 
 
-def plain_models(texts, target):
-    def counts(chosen):
-        words, context, both = (collections.Counter() for _ in range(3))
-        for t in chosen:
-            ids = lm_scoring.cells(t.lower().encode().split())
-            left = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
-            words.update(ids.tolist())
-            context.update(left.tolist())
-            both.update(lm_scoring.pair_cells(left, ids).tolist())
-        return words, context, both
+def plain_losses(texts, good):
+    """(target, background) mean losses of each text under models without it, by counting again."""
+    bags = {i: ["", *t.lower().encode().split()] for i, t in texts.items()}
 
-    return counts([texts[i] for i in target]), counts(texts.values())
+    def counts(w):
+        return collections.Counter(w[1:]), collections.Counter(w[:-1]), collections.Counter(zip(w, w[1:]))
+
+    own = {i: counts(w) for i, w in bags.items()}
+    sums = []
+    for chosen in (good, set(texts)):
+        total = tuple(collections.Counter() for _ in range(3))
+        for i in chosen:
+            for t, c in zip(total, own[i]):
+                t.update(c)
+        sums.append((chosen, total))
+    size = max(1 << lm_scoring.WORD_BITS, len(sums[1][1][0]))
+
+    def of(i):
+        w = bags[i]
+        n = [sum(t[0].values()) - (i in chosen) * (len(w) - 1) for chosen, t in sums]
+        for (chosen, (one, context, two)), scale in zip(sums, (1, n[0] / max(1, n[1]))):
+            out, less = 0, i in chosen
+            for a, b in zip(w, w[1:]):
+                p = ((one[b] - less * own[i][0][b]) * scale + lm_scoring.RAISE) / (n[0] + lm_scoring.RAISE * size)
+                seen = context[a] - less * own[i][1][a]
+                if seen > 0 and scale > 0:
+                    p = lm_scoring.PAIR_WEIGHT * (two[a, b] - less * own[i][2][a, b]) / seen + (1 - lm_scoring.PAIR_WEIGHT) * p
+                out -= np.log(p)
+            yield out / max(1, len(w) - 1)
+
+    return of
 
 
 def test_scores_equal_plain_cross_entropies(spark, sf, texts):
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()} & set(texts)
-    (tw, tc, tb), (bw, bc, bb) = plain_models(texts, good)
-    scale = sum(tw.values()) / sum(bw.values())
-    size = 1 << lm_scoring.WORD_BITS
+    of = plain_losses(texts, good)
+    out = {r.doc_id: r for r in lm_scoring.op6_lm_scoring(spark, sf).collect()}
+    assert set(out) == set(texts) and 0 < len(good) < len(texts)
+    for i, t in texts.items():
+        if t.split():
+            assert (out[i].target_loss, out[i].background_loss) == pytest.approx(tuple(of(i)), abs=1e-9)
 
-    def loss(words, context, both, f, left, right, pair):
-        total = sum(words.values()) * f + lm_scoring.RAISE * size
-        p = (words[right] * f + lm_scoring.RAISE) / total
-        if context[left]:
-            p = lm_scoring.PAIR_WEIGHT * min(1, both[pair] / context[left]) + (1 - lm_scoring.PAIR_WEIGHT) * p
-        return -np.log(p)
 
-    out = {r.doc_id: r for r in lm_scoring.op6_lm_scoring(spark, sf).collect()}
-    for i in list(texts)[:25]:
-        ids = lm_scoring.cells(texts[i].lower().encode().split())
-        left = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
-        pair = lm_scoring.pair_cells(left, ids).tolist()
-        triples = list(zip(left.tolist(), ids.tolist(), pair))
-        t = np.mean([loss(tw, tc, tb, 1, *x) for x in triples])
-        b = np.mean([loss(bw, bc, bb, scale, *x) for x in triples])
-        assert out[i].n_tokens == len(ids) and out[i].score == pytest.approx(t - b, abs=1e-4)
-
-
-def test_scores_equal_unhashed_brute_force(spark, monkeypatch):
-    """More words and pairs than any fixed table held, other documents scored too, and a text longer than a bag."""
+def test_scores_equal_brute_force_at_size(spark, monkeypatch):
+    """More words and pairs than any fixed table holds, and other documents scored too."""
     monkeypatch.setattr(lm_scoring, "BAG_WORDS", 5000)
     rng = random.Random(6)
     words = [f"w{i}" for i in range(150_000)]
-    rows = [(i, " ".join(rng.sample(words, 3000) + ["end", "of", "text"])) for i in range(250)] + [(900, " ".join(rng.choices(words[:2000], k=12_000)))]
+    rows = [(i, " ".join(rng.sample(words, 3000) + ["end", "of", "text"])) for i in range(250)]
     texts, docs = dict(rows), make(spark, rows)
     good = set(range(0, 250, 5))
-
-    def counts(chosen):
-        one, context, two = (collections.Counter() for _ in range(3))
-        for i in chosen:
-            w = ["", *texts[i].split()]
-            one.update(w[1:])
-            context.update(w[:-1])
-            two.update(zip(w, w[1:]))
-        return one, context, two
-
-    (tw, tc, tb), (bw, bc, bb) = counts(good), counts(texts)
-    n, every = sum(tw.values()), sum(bw.values())
-    assert len(bw) > 1 << 17 and len(bb) > 1 << 19
-
-    def loss(one, context, two, f, a, b):
-        p = (one[b] * f + lm_scoring.RAISE) / (n + lm_scoring.RAISE * max(1 << lm_scoring.WORD_BITS, len(bw)))
-        return -np.log(lm_scoring.PAIR_WEIGHT * two[a, b] / context[a] + (1 - lm_scoring.PAIR_WEIGHT) * p if context[a] else p)
-
-    models = lm_scoring.fit(docs, docs.where("doc_id % 5 = 0 and doc_id < 250"))
+    of = plain_losses(texts, good)
+    models = lm_scoring.fit(docs, docs.where("doc_id % 5 = 0"))
     out = {r.doc_id: r for r in lm_scoring.score(docs, models).collect()}
     assert set(out) == set(texts)
-    for i in (0, 1, 249, 900):
-        w = ["", *texts[i].split()]
-        want = [np.mean([loss(*m, a, b) for a, b in zip(w, w[1:])]) for m in ((tw, tc, tb, 1), (bw, bc, bb, n / every))]
-        assert (out[i].n_tokens, out[i].target_loss, out[i].background_loss) == (len(w) - 1, pytest.approx(want[0], abs=1e-9), pytest.approx(want[1], abs=1e-9))
-    other = {r.doc_id: r.score for r in lm_scoring.score(make(spark, rows[:3]), models).collect()}
-    assert other == {i: pytest.approx(out[i].score, abs=1e-9) for i in range(3)}
+    for i in (0, 1, 249):
+        assert (out[i].n_tokens, out[i].target_loss, out[i].background_loss) == pytest.approx((3003, *of(i)), abs=1e-9)
+    new = " ".join(rng.choices(rows[3][1].split(), k=12_000))  # longer than a bag, and in no model
+    far = plain_losses(texts | {900: new}, good)
+    got = lm_scoring.score(make(spark, [(900, new)]), models).first()
+    assert got.target_loss == pytest.approx(next(far(900)), abs=1e-9) and got.n_tokens == 12_000
+
+
+def test_a_copy_is_no_news_to_the_background(spark):
+    """Texts of one language: one that occurs twice is known to the model of all documents, one that occurs once isn't."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=100))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(20, 30)]
+    docs = make(spark, rows)
+    out = {r.doc_id: r.score for r in lm_scoring.score(docs, lm_scoring.fit(docs, docs.where("doc_id < 20"))).collect()}
+    twice = [out[i] for i in out if 20 <= i < 30 or i >= 100]
+    assert min(twice) > max(out[i] for i in out if i < 20 or 30 <= i < 60)
 
 
 def test_scores_of_nothing(spark):
@@ -359,6 +458,18 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert sorted(r.doc_id for r in quality.keep(docs).collect()) == [*range(100, 120), *range(200, 220), 300]
 
 
+def test_paragraphs_are_left_to_the_dedup_operators(spark):
+    """A long line that 30 different texts of a host have stays in them; substring dedup takes it out of all but the first."""
+    reach(spark)
+    rng = random.Random(14)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    long, short = own(quality.LINE_WORDS + 1), own(quality.LINE_WORDS)
+    docs = spark.createDataFrame([(i, f"{own(40)}\n{long}\n{short}\n{own(30)}", "h") for i in range(30)], "doc_id long, text string, source string")
+    kept = quality.keep(docs).collect()
+    assert len(kept) == 30 and all(long in r.text and short not in r.text for r in kept)
+    assert {r.doc_id for r in line_dedup.deduplicate(docs).collect() if long in r.text} == {0}
+
+
 def test_limited_lines_go_from_the_texts_that_stay(spark):
     reach(spark)
     rng = random.Random(8)
@@ -382,63 +493,99 @@ def test_limited_lines_go_from_the_texts_that_stay(spark):
 # ---------------------------------------------------------------- 8
 
 
-def test_line_dedup_equals_plain(spark, docs, texts):
+def plain_repeats(texts, min_words, run_words):
     first, want = {}, set()
     for i in sorted(texts):
-        at = 0
+        at, runs = 0, [[]]
         for unit, line in enumerate(texts[i].split("\n")):
-            pieces = re.split("[.!?] ", line)
-            cases, inner = [(0, at, line, 5)], at
+            pieces, inner = re.split("[.!?] ", line), at
             for part, piece in enumerate(pieces, 1):
-                if len(pieces) > 1:
-                    cases.append((part, inner, piece, 8))
-                inner += len(piece) + 2
-            for part, start, piece, least in cases:
-                key = " ".join(piece.lower().split())
-                if len(key.split()) >= least:
+                key, part = " ".join(piece.lower().split()), part if len(pieces) > 1 else 0
+                n = len(key.split())
+                if n >= min_words:
                     key = key.rstrip(".!?")
                     if key in first:
-                        want.add((i, unit, part, start, start + len(piece), *first[key]))
-                    first.setdefault(key, (i, unit, part))
+                        runs[-1].append((n, (i, unit, part, inner, inner + len(piece), *first[key])))
+                    else:
+                        first[key] = (i, unit, part)
+                        runs.append([])
+                inner += len(piece) + 2
             at += len(line) + 1
-    got = {(r.doc_id, r.unit, r.part, r.start, r.end, r.kept_doc_id, r.kept_unit, r.kept_part) for r in line_dedup.repeats(docs).collect()}
+        want |= {x for run in runs if sum(n for n, _ in run) >= run_words for _, x in run}
+    return want
+
+
+@pytest.mark.parametrize("least", [(3, 20), (1, 1), (5, 60)])
+def test_line_dedup_equals_plain(spark, docs, texts, least):
+    got = {(r.doc_id, r.unit, r.part, r.start, r.end, r.kept_doc_id, r.kept_unit, r.kept_part) for r in line_dedup.repeats(docs, "line", *least).collect()}
+    want = plain_repeats(texts, *least)
     assert got == want and any(x[2] for x in want)
 
 
 def test_line_dedup_text_and_order(spark):
     line = "one two three four five"
     rows = [(2, f"a\n{line}\nb"), (1, f"{line}\nc"), (None, line), (3, None), (1, f"{line.upper()}\nd")]
-    got = sorted(((r.doc_id or 0, r.text) for r in line_dedup.deduplicate(make(spark, rows)).collect()), key=str)
+    got = sorted(((r.doc_id or 0, r.text) for r in line_dedup.deduplicate(make(spark, rows), run_words=5).collect()), key=str)
     assert got == sorted([(2, "a\nb"), (1, f"{line}\nc"), (0, ""), (3, ""), (1, "d")], key=str)
     paragraphs = make(spark, [(1, f"{line}\n\nx"), (2, f"y\n\n{line}")])
-    assert [(r.doc_id, r.start, r.end) for r in line_dedup.repeats(paragraphs, "paragraph").collect()] == [(2, 3, 3 + len(line))]
+    assert [(r.doc_id, r.start, r.end) for r in line_dedup.repeats(paragraphs, "paragraph", run_words=5).collect()] == [(2, 3, 3 + len(line))]
 
 
 def test_passages_inside_of_lines(spark):
-    sentence = "a sentence of eight words that comes twice"
-    rows = [(1, f"Some text before. {sentence}. And after it."), (2, f"Other words. {sentence.upper()}! More of them"), (3, sentence + ".")]
-    got = {(r.doc_id, r.part, r.start, r.end) for r in line_dedup.repeats(make(spark, rows)).collect()}
-    assert got == {(2, 2, 13, 13 + len(sentence)), (3, 0, 0, len(sentence) + 1)}
+    """Sentences of a repeated passage go, also short ones; a repeated phrase or a single short sentence doesn't."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+    passage = [words(n) for n in (9, 4, 2, 12, 6, 9, 10)]
+    inside = ". ".join(passage)
+    rows = [(1, f"{words(9)}. {inside}. {words(8)}"), (2, f"{words(7)}! {inside.upper()}! {words(7)}"), (3, f"{passage[0]}. {words(30)}.\n{passage[3]}.")]
+    got = {(r.doc_id, r.part) for r in line_dedup.repeats(make(spark, rows)).collect()}
+    assert got == {(2, i) for i in (2, 3, 5, 6, 7, 8)}
+    text = {r.doc_id: r.text for r in line_dedup.deduplicate(make(spark, rows)).collect()}
+    assert text[1] == rows[0][1] and text[3] == rows[2][1] and len(text[2].split()) == 16
+
+
+def test_line_dedup_finds_passages_and_leaves_the_rest(spark):
+    """Planted passages of 51 words and more at random places: nearly all are found, and no text without one loses a line."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
+
+    def prose(n):
+        out = []
+        while len(out) < n:
+            out += [*rng.choices(vocabulary, k=rng.randint(3, 14)), "."]
+        return " ".join(out[: n + n // 8]).replace(" .", ".")
+
+    passages = [prose(rng.randint(51, 80)) for _ in range(60)]
+    rows = [(i, f"{prose(rng.randint(20, 90))} {passages[i % 60]} {prose(rng.randint(20, 90))}") for i in range(120)] + [(200 + i, prose(150)) for i in range(120)]
+    found = {r.doc_id for r in line_dedup.repeats(make(spark, rows)).collect()}
+    assert len(found & set(range(60, 120))) >= 57 and not found - set(range(60, 120))
 
 
 # ---------------------------------------------------------------- 9
 
 
-def plain_removed(raws, length):
+def plain_covered(raws, length):
+    """Of each text which bytes strings of that length cover that start anywhere else too."""
     seen = collections.Counter(x[i : i + length] for x in raws for i in range(len(x) - length + 1))
-    out = []
     for x in raws:
         m = np.zeros(len(x), bool)
         for i in range(len(x) - length + 1):
             if seen[x[i : i + length]] > 1:
                 m[i : i + length] = True
-        runs = int((np.diff(np.concatenate([[0], m.view(np.int8)])) == 1).sum())
-        out.append((len(x), int(m.sum()), runs, hashlib.sha256(np.frombuffer(x, np.uint8)[~m].tobytes()).hexdigest()))
+        yield x, m, [(int(a), int(b)) for a, b in zip(*run_index.runs_of(m))]
+
+
+def plain_removed(raws, length, least, words):
+    out = []
+    for (x, m, runs), (_, _, wide) in zip(plain_covered(raws, length), plain_covered(raws, least)):
+        inside = [sum(a <= w.start() and w.end() <= b for w in re.finditer(rb"[^\x20\x09-\x0D]+", x)) for a, b in wide]
+        inside = [n for n in inside if n >= words]
+        out.append((len(x), int(m.sum()), len(runs), hashlib.sha256(np.frombuffer(x, np.uint8)[~m].tobytes()).hexdigest(), len(inside), sum(inside)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_run_index_equals_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "length", "least"), [(4096, 400, 256), (2, 400, 256), (4096, 100, 64), (4096, 120, 120)])
+def test_run_index_equals_brute_force(spark, hot, length, least):
     rng = random.Random(6)
     text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     base = [text(rng.randint(0, 1500)) for _ in range(20)]
@@ -450,10 +597,27 @@ def test_run_index_equals_brute_force(spark, hot):
             a = rng.randint(0, len(b))
             parts.append(b[a : a + rng.randint(0, 900)] + rng.choice(["", text(30)]))
         rows.append("".join(parts))
-    rows += ["a" * 900, "ab" * 400, "a" * 399, None, "", rows[3], rows[3], "é" * 300, "xyz" * 100 + rows[5]]
+    rows += ["a" * 900, "ab" * 400, "a" * 399, None, "", rows[3], rows[3], "é" * 300, "xyz" * 100 + rows[5], "\0" * 50 + rows[5] + "\0" * 50]
     docs = make(spark, [(i if i % 9 else None, x) for i, x in enumerate(rows)])
-    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run_index.removed(docs, 400, hot).collect())
-    assert got == plain_removed([(x or "").encode() for x in rows], 400)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.n_passage_words) for r in run_index.removed(docs, length, hot, least, 30).collect())
+    want = plain_removed([(x or "").encode() for x in rows], length, least, 30)
+    assert got == want
+
+
+def test_passages_of_fifty_words_are_reported(spark):
+    """Passages of 51 words in the middle of texts, most of them shorter than what is removed; the other texts stay as they are."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(n))
+    passages = [words(51) for _ in range(30)]
+    rows = [f"{words(40)} {passages[i // 2]} {words(30)}" for i in range(60)] + [words(120) for _ in range(60)]
+    got = {r.doc_id: r for r in run_index.removed(make(spark, list(enumerate(rows)))).collect()}
+    assert sum(len(p) < 400 for p in passages) > 20
+    assert all((got[i].n_passages == 1 and got[i].n_passage_words >= 51) == (i < 60) for i in got)
+
+
+def test_rows_equal_to_brute_force_on_the_table(spark, docs):
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.n_passage_words) for r in run_index.removed(docs).collect())
+    assert got == plain_removed([(r.text or "").encode() for r in docs.collect()], 400, 256, 50)
 
 
 def test_index_statistics_equal_brute_force():
@@ -477,9 +641,9 @@ def test_index_statistics_equal_brute_force():
 def test_long_texts_are_read_in_parts(monkeypatch):
     rng = random.Random(8)
     raw = bytes(rng.choices(b"abcd", k=5000))
-    whole = {(a, d, p >> 24) for part in run_index.segments(raw, 400) for a, d, p in zip(part[0].tolist(), part[1], part[2].tolist())}
+    whole = {(a, d, p >> 24) for part in run_index.segments(raw, 400, 400) for a, d, p in zip(part[0].tolist(), part[1], part[2].tolist())}
     monkeypatch.setattr(run_index, "PART", 1000)
-    windows = [(p >> 24, p >> 12 & 4095) for part in run_index.segments(raw, 400) for p in part[2].tolist()]
+    windows = [(p >> 24, p >> 12 & 4095) for part in run_index.segments(raw, 400, 400) for p in part[2].tolist()]
     assert sorted(i for lo, n in windows for i in range(lo, lo + n + 1)) == list(range(4601)) and whole
 
 

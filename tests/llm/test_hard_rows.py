@@ -13,7 +13,8 @@ EXTRA = ["t", "fp", "a", "b", "id", "row", "h", "kinds", "spans", "host", "diges
 @pytest.fixture(scope="module")
 def hard(spark):
     reach(spark)
-    long = " ".join(f"word{i % 977} token{i % 31}." for i in range(60_000))
+    # over 2 MB: beyond the size at which texts are cut into parts
+    long = " ".join(f"word{i % 977} token{i % 31}." for i in range(130_000))
     same = "\n".join(f"line {i} of the same text that others have too" for i in range(20))
     rows = [
         (1, None, None, None, None),
@@ -94,3 +95,40 @@ def test_stages_on_an_empty_table(spark, hard, sf):
     docs = hard.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0, name
+
+
+def test_the_long_text_is_cut(hard):
+    text = hard.where("doc_id = 3").first().text
+    assert len(text) > 2 * (1 << 20) and len(text.encode()) > run_index.PART
+
+
+def test_long_texts_count_whole(hard):
+    """What operators that read a long text in parts make of it, against one look at the whole."""
+    text = hard.where("doc_id = 3").first().text
+    row = lambda df: df.where("doc_id = 3").first()
+    words = text.split()
+    assert row(quality.judge(hard)).n_words == len(words) == 260_000
+    assert row(lm_scoring.score(hard, lm_scoring.fit(hard, hard.where("doc_id < 5")))).n_tokens == len(words)
+    assert row(simhash.near_duplicates(hard)).fp == simhash.fingerprint(text.encode(), 3, 42)
+    assert simhash.shingle_set(text.encode(), 5).size == len(set(zip(*(words[i:] for i in range(5)))))
+
+
+def test_decontamination_of_hard_rows(hard, items):
+    assert decontamination.contaminated(hard, items).collect() == []
+    whole = hard.where("doc_id = 4").select(F.lit(9).alias("item_id"), "text").limit(1)
+    assert sorted((r.doc_id or 0) for r in decontamination.contaminated(hard, whole).collect()) == [0, 4, 4, 5]
+
+
+def test_ties(spark):
+    """Equal lengths, scores and centroids: the same result each time, and the least or first wins."""
+    import numpy as np
+
+    window = packing.differencing(np.full(64, 100), 8)
+    assert (np.bincount(window) == 8).all() and (packing.differencing(np.full(64, 100), 8) == window).all()
+    counter = token_counts.Counter([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("<0x61>", -9.0)])
+    assert [counter.text(x) for x in ("a", "aa", "aaa")] == [1, 2, 2]  # of equal paths the one whose last piece is longer
+    same = spark.createDataFrame([(i, "one and the same text", lang) for i, lang in enumerate(["fr", "de", "fr", "de"])], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.predict(same, language_id.fit(same)).collect()} == {"de"}
+    copies = spark.createDataFrame([(i, "words that are the same in both of these texts") for i in (7, 3, 5)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicate(copies).collect()] == [3]
+    assert {r.kept_doc_id for r in line_dedup.repeats(copies, run_words=5).collect()} == {3}
