@@ -55,15 +55,18 @@ class Block:
         self.k = k
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        grams = defaultdict(list)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, items, places: arrays, for a block has many
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or "")], np.uint64)
             if len(ids) >= k:
-                for p, h in enumerate(rolling(ids, k).tolist()):
-                    grams[h].append((len(self.items), p))
+                h = rolling(ids, k)
+                parts.append((h, np.full(len(h), len(self.items), np.int32), np.arange(len(h), dtype=np.int32)))
                 self.items.append((item_id, ids))
-        self.hashes = np.array(sorted(grams), np.uint64)
-        self.places = [grams[h] for h in self.hashes.tolist()]
+        every, owner, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), *[np.empty(0, np.int32)] * 2)
+        order = np.argsort(every, kind="stable")
+        self.owner, self.place = owner[order], place[order]
+        self.hashes, first = np.unique(every[order], return_index=True)
+        self.first = np.concatenate([first, [len(every)]]).astype(np.int64)
 
     def matches(self, text: str, coverage: float) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, item's words, words marked, tiles) of each item that the text covers."""
@@ -83,7 +86,8 @@ class Block:
         hit = self.hashes[at] == h
         seeds = defaultdict(list)
         for t, slot in zip(whole[hit].tolist(), at[hit].tolist()):
-            for item, p in self.places[slot]:
+            here = slice(self.first[slot], self.first[slot + 1])
+            for item, p in zip(self.owner[here].tolist(), self.place[here].tolist()):
                 seeds[item].append((t - p, p))
         for item, found in seeds.items():
             item_id, own = self.items[item]
