@@ -61,17 +61,20 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
 
 
-def hybrid(first: DataFrame, second: DataFrame, ids_of_second: DataFrame, key: str = "source1_entity_id") -> DataFrame:
-    """Rows of the second list for the given ids, of the first for all others."""
-    ids = ids_of_second.select(key).distinct()
-    return first.join(ids, key, "left_anti").unionByName(second.join(ids, key, "left_semi"))
-
-
 def same_candidates(first: DataFrame, second: DataFrame) -> bool:
     """Whether two candidate lists have the same rows, counted."""
     return first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
 
 
+def hybrid(first: DataFrame, second: DataFrame, ids_of_second: DataFrame, key: str = "source1_entity_id", candidates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows of the second list for the given ids, of the first for all others. candidates: both runs' candidate lists; if they
+    differ, the runs aren't of the same pairs, which is an error."""
+    if candidates is not None and not same_candidates(*candidates):
+        raise ValueError("the two runs have different candidates")
+    ids = ids_of_second.select(key).distinct()
+    return first.join(ids, key, "left_anti").unionByName(second.join(ids, key, "left_semi"))
+
+
 def country_report(lists: DataFrame, countries: DataFrame, column: str = "matched_entity_ids") -> DataFrame:
     """country, n_s1, mean_list, empty_percent. countries: source1_entity_id, country."""
     size = F.when(F.col(column) == "", 0).otherwise(F.regexp_count(column, F.lit(",")) + 1)

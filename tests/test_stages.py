@@ -109,3 +109,12 @@ def test_tables_without_folds_are_of_all_pairs(spark):
     df = spark.createDataFrame([(1, ["a"]), (1, ["a"]), (0, ["a"])], "y int, miss array<string>")
     with_fold = df.withColumn("fold", F.monotonically_increasing_id() % 2)
     assert learn.llr_table(df, ["miss"]).collect() == learn.llr_table(with_fold, ["miss"]).collect()
+
+
+def test_hybrid_wants_equal_candidates(spark):
+    lists = spark.createDataFrame([("a", "1"), ("b", "2")], "source1_entity_id string, matched_entity_ids string")
+    other = spark.createDataFrame([("a", "9"), ("b", "8")], lists.schema)
+    got = io.hybrid(lists, other, lists.where("source1_entity_id = 'b'"), candidates=(lists, lists.orderBy("matched_entity_ids")))
+    assert {tuple(r) for r in got.collect()} == {("a", "1"), ("b", "8")}
+    with pytest.raises(ValueError):
+        io.hybrid(lists, other, lists, candidates=(lists, other))
