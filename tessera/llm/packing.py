@@ -13,6 +13,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,8 +33,9 @@ END_ID = 1
 #: Longest piece of a tail, and windows of a block: bounds on the work of one merge, not on the data.
 PIECE = 256
 BLOCK_WINDOWS = 256
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, and characters of texts that it takes apart at once.
 MEMO = 300_000
+CHUNK = 1 << 18
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -86,6 +88,7 @@ class WordIds:
     of each is one that ends a word. A text with a character of ODD goes to the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread holds memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -161,7 +164,7 @@ class WordIds:
         held: list[str] = []
         size = 0
         for text in texts:
-            if size and size + len(text) > 1 << 20:
+            if size and size + len(text) > CHUNK:
                 yield from self.together(held)
                 held, size = [], 0
             held.append(text)
