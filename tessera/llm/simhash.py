@@ -344,12 +344,21 @@ def compare(groups: DataFrame, similarity: float) -> DataFrame:
 
 
 def dealt_groups(rows: DataFrame) -> DataFrame:
-    """rows (k, id, n and more) for the tasks that compare them: i, j and side more. A group of up to BLOCK members is one task's;
-    a larger one is cut into blocks, and each pair of blocks is a task's."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = rows.withColumn("side", F.pmod(F.xxhash64("id", "k"), blocks))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return other.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other", "n")
+    """rows (k, id, n, label, and as `top` the count and label of the group's largest label) for the tasks that compare them: i, j
+    and side more.
+
+    A group of up to BLOCK members is one task's. A larger one is cut into blocks, those of the largest label's members apart from the
+    others', and each pair of blocks is a task's but for two of the largest label, whose members are joined already. So a large
+    group of copies with a few others near it is read once for each block of the others."""
+    small, major = F.col("n") <= BLOCK, F.col("label") == F.col("top.label")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK).cast("long"), F.lit(1).cast("long"))
+    minors, majors = blocks(F.col("n") - F.col("top.c")), blocks(F.col("top.c"))
+    place = F.xxhash64("id", "k")
+    zero = F.lit(0).cast("long")
+    side = F.when(small, zero).when(major, minors + F.pmod(place, majors)).otherwise(F.pmod(place, minors))
+    last = F.when(small, zero).when(major, minors - 1).otherwise(minors + majors - 1)
+    own = rows.select("k", "id", "label", side.alias("side"), F.explode(F.sequence(zero, last)).alias("other"))
+    return own.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
 
 
 def linked(keys: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -373,7 +382,8 @@ def linked(keys: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
     roots = cut(components(links).toDF("id", "label"))
 
     rows = shared.join(roots, "id", "left").select("k", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = rows.groupBy("k").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("k")
+    sizes = rows.groupBy("k", "label").agg(F.count("*").alias("c")).groupBy("k").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"))
+    mixed = sizes.where("labels > 1").select("k", "top")
     groups = cut(dealt_groups(apart(rows, "k").join(apart(mixed, "k"), ["k", "apart"]).drop("apart")))
     held = with_partners(groups.join(sets.drop("set"), "id"), similarity)
     more = compare(groups.join(held, ["k", "i", "j", "id"]).join(sets, "id"), similarity)
