@@ -175,7 +175,7 @@ def normalise_addresses(df: DataFrame, raw: str, country: str | None = None, fol
         "street": joined(F.filter("_r", lambda t: ~digits(t) & ~typed(t) & ~among(t, T.UNIT_WORDS))),
         "city": joined(F.array_distinct(F.filter(F.flatten(F.transform(rest, lambda q: q["k"])), lambda t: ~typed(t) & ~among(t, T.CITY_NOISE)))),
         "state": F.coalesce(F.get(F.filter("_s", lambda s: s.isNotNull()), F.lit(0)), empty),
-        "postcode": F.coalesce(F.get(F.filter(nums, lambda t: F.length(t) == 6), F.lit(0)), empty),
+        "postcode": F.when(F.col("_w").isin(T.NO_PIN), empty).otherwise(F.coalesce(F.get(F.filter(nums, lambda t: F.length(t) == 6), F.lit(0)), empty)),
     }
     return step.withColumns(out).drop("_a", "_p", "_w", "_s", "_k", "_q", "_i", "_r", "_f")
 

@@ -50,6 +50,11 @@ def test_postcode_is_the_first_six_digit_token(spark):
     assert text.normalise_addresses(df, "raw").first().postcode == "411001"
 
 
+def test_a_six_digit_house_is_a_postcode_only_where_codes_have_six_digits(spark):
+    df = spark.createDataFrame([("120000 Main St, TX", "US"), ("120000 Rue Foch", "France"), ("Plot 7, Pune 411001", "India")], "raw string, country string")
+    assert [(r.house, r.postcode) for r in text.normalise_addresses(df, "raw", "country").collect()] == [("120000", ""), ("120000", ""), ("7", "411001")]
+
+
 @pytest.mark.parametrize(("raw", "latin"), [("abc", True), ("é", True), ("दिल्ली", False)])
 def test_is_latin(spark, raw, latin):
     df = spark.createDataFrame([(raw,)], "x string")
