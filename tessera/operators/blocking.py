@@ -1,7 +1,8 @@
 """Candidate pairs from several legs: similarity of character n-grams both ways, exact keys, and their union.
 
-A side is a DataFrame with an id, a text and a partition key; a country or state is a column, never a loop. Terms are joined on
-(part, term), so the work is the sum of the products of both sides' document frequencies; frequent terms are dropped before."""
+A side is a DataFrame with an id, a text and a partition key; a country or state is a column, never a loop. The work of a leg is the
+sum of the products of both sides' document frequencies within a partition; frequent terms are dropped before. `weights` and
+`similarities` state what a leg ranks, as rows; the legs themselves come from blocks of both sides (grams.py), which keep the best."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.tables import STATE_GROUPS
 from tessera.functions.text import lookup
+from tessera.operators import grams
+from tessera.session import settled
 
 
 def view(name: str) -> Column:
@@ -32,8 +35,9 @@ def word_grams(text: Column, n: int = 3) -> Column:
 def idf(pool: DataFrame, n: int = 3, min_df: int = 2, max_df: float = 0.05, by: str = "region") -> DataFrame:
     """region, term, idf of the terms that are neither rare nor frequent within a region. pool: id, region, text."""
     size = pool.groupBy(by).agg(F.count("*").alias("n"))
-    df = pool.select(by, F.explode(F.array_distinct(word_grams(F.col("text"), n))).alias("term")).groupBy(by, "term").agg(F.count("*").alias("df"))
-    kept = df.join(size, by).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    each = lambda: F.explode(F.array_distinct(word_grams(F.col("text"), n))).alias("term")
+    df = grams.document_counts(pool, by) if n == 3 else pool.select(by, each()).groupBy(by, "term").agg(F.count("*").alias("df"))
+    kept = df.join(F.broadcast(size), by).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     return kept.select(by, "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -105,12 +109,13 @@ def candidates(s1: DataFrame, pool: DataFrame, requested: DataFrame | None = Non
     legs = []
     for name, k in forward.items():
         a, b = (x.select(F.col("entity_id").alias("id"), F.col("country").alias("region"), "part", view(name).alias("text")) for x in (s1, pool))
-        terms = idf(b)
-        wa, wb = weights(a, terms), weights(b, terms)
-        sims = similarities(wa, wb)
+        b = grams.whole(b)
+        known = grams.vocabulary(idf(b))
+        wa, wb = settled(grams.vectors(grams.whole(a), known)), settled(grams.vectors(b, known))
+        sims = settled(grams.nearest(wa, wb, k, reverse[name]))
         legs += [leg(sims, k, "s1", f"f_{name}"), leg(sims, reverse[name], "cand", f"r_{name}")]
         if name == "name":
-            legs.append(leg(similarities(wa, wb.where("part = '?'"), within=("region",)), orphan, "cand", "o_name"))
+            legs.append(leg(grams.nearest(wa, wb.where("part = '?'"), reverse=orphan, within=("region",)), orphan, "cand", "o_name"))
     keys = {"addr": (F.col("addr_clean"), 12), "namecity": (F.when(F.col("city") != "", F.concat("name_sorted", F.lit("|"), "city")).otherwise(""), 0)}
     for name, (key, length) in keys.items():
         a, b = (x.select(F.col("entity_id").alias("id"), F.col("country").alias("region"), key.alias("key")) for x in (s1, pool))

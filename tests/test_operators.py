@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import augment, blocking, context, dense, features, learn, models
+from tessera.operators import augment, blocking, context, dense, features, grams, learn, models
 from tessera.session import reach
 from tessera.sources import io
 
@@ -294,3 +294,24 @@ def test_candidates_claimed_by_more_records_than_a_short_holds(spark):
     out = context.score_context(context.competition(pairs).withColumn("ce_a", F.col("p")), ["ce_a"])
     last = out.where(F.col("s1") == n - 1).first()
     assert (last.c_rank_cand, last.c_nclaim, last.cx_rank_cand) == (n, n, n)
+
+
+def test_block_legs_equal_ranks_over_all_similarities(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["ab", "abc", "bcd", "xyz", "zz", "É", "ab c"]
+    rows = [(i, "x", "pq"[i % 2], " ".join(rng.choice(words, 4)) if i % 9 else " \t") for i in range(80)]
+    rows += [(7, "x", "q", "xyz xyz"), (80, "x", "p", None)]
+    side = spark.createDataFrame(rows, "id long, region string, part string, text string")
+    pool = grams.whole(side)
+    terms = blocking.idf(pool, max_df=0.6)
+    w = blocking.weights(side, terms).localCheckpoint()
+    v = grams.vectors(pool, grams.vocabulary(terms)).localCheckpoint()
+    for size in (1 << 14, 16):  # one block, and several of either side
+        monkeypatch.setattr(grams, "ROWS", size)
+        for within in (("region", "part"), ("region",)):
+            sims = blocking.similarities(w.where("id % 4 = 0"), w, within=within)
+            for over, k, found in (("s1", 5, grams.nearest(v.where("id % 4 = 0"), v, 5, within=within)), ("cand", 3, grams.nearest(v.where("id % 4 = 0"), v, 0, 3, within=within)), ("cand", 3, grams.nearest(v.where("id % 4 = 0"), v, 5, 3, within=within))):
+                plain = {tuple(r) for r in blocking.leg(sims, k, over, "x").collect()}
+                assert plain and {tuple(r) for r in blocking.leg(found, k, over, "x").collect()} == plain
+                if (over, within) == ("cand", ("region", "part")):
+                    assert found.count() < sims.count()
