@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import apart, cut, documents, text_column, word_chunks
+from tessera.llm.common import apart, cut, documents, merged, text_column, word_chunks
 from tessera.llm.components import components
 
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -88,7 +88,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     ring = fps.select("fp", F.explode(F.array(*parts)).alias("k")).select("fp", "k.*")
     near = F.array(F.lit(0).cast("long"), *(F.lit(1 << j).cast("long") for j in range(width)))
     probe = ring.select(F.col("fp").alias("b"), "i", "s", "t", F.explode(near).alias("d")).select("b", "i", "s", F.col("t").bitwiseXOR(F.col("d")).alias("t"))
-    both = ring.withColumnRenamed("fp", "a").join(probe, ["i", "s", "t"]).where("a < b")
+    both = merged(ring.withColumnRenamed("fp", "a"), probe, ["i", "s", "t"]).where("a < b")
     diff = F.col("a").bitwiseXOR(F.col("b"))
     chain = F.lit(True)
     for length in range(3, m):
@@ -103,9 +103,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
     own = cut(fingerprints(docs, words, seed))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
-    members = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = merged(distinct, roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(members.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return merged(own, merged(members, lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 SIMILARITY = 0.8
