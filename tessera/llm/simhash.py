@@ -365,8 +365,9 @@ def linked(keys: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
     """(id, root) of the nodes that have a text alike. keys: id, k. nodes: id, t, doc_id. texts: t, doc_id, text.
 
     First each node is compared with one other, that which of all nodes that share a key with it shares most with the rest;
-    where texts are copies of one, that's the one, and its copies become a group at a link each. Then the members of different
-    groups that share a key are compared, all with all, in blocks, by the task that holds them; what leaves it are links."""
+    where texts are copies of one, that's the one, and its copies become a group at a link each. Then the nodes of all keys with the
+    same such node are put together, and those of different groups are compared, all with all, in blocks, by the task that holds
+    them; what leaves it are links. So all that share a key are compared."""
     counts = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(apart(keys, "k").join(apart(counts, "k"), ["k", "apart"]).drop("apart"))
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
@@ -377,13 +378,15 @@ def linked(keys: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
 
     ranked = shared.join(degree, "id").select("k", "id", F.struct(F.col("degree"), (-F.col("id")).alias("minus")).alias("rank"))
     best = ranked.groupBy("k").agg(F.max("rank").alias("best"))
-    near = apart(ranked, "k").join(apart(best, "k"), ["k", "apart"]).where("best <> rank").groupBy("id").agg(F.max("best").alias("best"))
+    led = cut(apart(ranked, "k").join(apart(best, "k"), ["k", "apart"]).select("id", "rank", "best"))
+    near = led.where("best <> rank").groupBy("id").agg(F.max("best").alias("best"))
     links = cut(alike(both(near.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")), "small", "ring", "set"), similarity))
     roots = cut(components(links).toDF("id", "label"))
 
-    rows = shared.join(roots, "id", "left").select("k", "id", "n", F.coalesce("label", "id").alias("label"))
-    sizes = rows.groupBy("k", "label").agg(F.count("*").alias("c")).groupBy("k").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"))
-    mixed = sizes.where("labels > 1").select("k", "top")
+    # keys with the same most connected member are one group, so that a family is dealt out once, not for each key that it shares
+    rows = cut(led.select((-F.col("best.minus")).alias("k"), "id").distinct().join(roots, "id", "left").select("k", "id", F.coalesce("label", "id").alias("label")))
+    sizes = rows.groupBy("k", "label").agg(F.count("*").alias("c")).groupBy("k").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"))
+    mixed = sizes.where("labels > 1").select("k", "n", "top")
     groups = cut(dealt_groups(apart(rows, "k").join(apart(mixed, "k"), ["k", "apart"]).drop("apart")))
     held = with_partners(groups.join(sets.drop("set"), "id"), similarity)
     more = compare(groups.join(held, ["k", "i", "j", "id"]).join(sets, "id"), similarity)

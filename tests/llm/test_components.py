@@ -51,3 +51,22 @@ def test_near_duplicates_broadcast_nothing(spark):
     for df in (simhash.near_duplicates(docs), simhash.links(fps.localCheckpoint())):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_family_is_dealt_out_once(spark, monkeypatch):
+    """Texts that share many keys are compared in one group, not again for each of the keys."""
+    reach(spark)
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(9999)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):  # each a tenth of its words away from the base, so two of them are further from each other than 0.8
+        own, at = list(base), draw.randrange(260)
+        own[at : at + 24] = [f"x{i}_{j}" for j in range(24)]
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(base[:150] + [f"y{i}_{j}" for j in range(150)])) for i in range(20)]
+    seen = []
+    plain_deal = simhash.dealt_groups
+    monkeypatch.setattr(simhash, "dealt_groups", lambda df: seen.append(df.count()) or plain_deal(df))
+    left = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {0, *range(100, 120)}
+    assert seen and seen[0] <= 2 * len(rows)
