@@ -117,40 +117,62 @@ class RunIndex:
         new_run = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0))  # the ends of two strings are no run
         self.runs = len(new_run) + 1
         # at a run's first suffix the match with the suffix above, at its last the match with the one below
-        self.above = self.sampled(suffixes[np.concatenate([[0], new_run + 1])], np.concatenate([[-1], suffixes[new_run]]))
-        self.below = self.sampled(suffixes[np.concatenate([new_run, [len(suffixes) - 1]])], np.concatenate([suffixes[new_run + 1], [-1]]))
+        upper, lower = suffixes[new_run], suffixes[new_run + 1]
+        shared = self.common(upper, lower)
+        self.above = self.streamed(np.append(lower, suffixes[0]), np.append(shared, 0))
+        self.below = self.streamed(np.append(upper, suffixes[-1]), np.append(shared, 0))
 
     def sort(self, symbols: np.ndarray) -> np.ndarray:
-        """All suffixes in order, by prefix doubling from seven symbols on; keeps the ranks of each length for common prefixes."""
+        """All suffixes in order, by prefix doubling from seven symbols on; keeps the ranks of each length for common prefixes.
+
+        A suffix's rank is the place of the first that it doesn't differ from yet, and only those that have such are sorted again.
+        Each string's end is a symbol of its own, the earlier the less: a suffix differs from all others once its end is reached."""
         n, step = self.size, 7
         key = symbols[:n].astype(np.int64)
+        ended = key == 0
         for j in range(1, step):
+            ahead = symbols[j : n + j].astype(np.int64)
+            ahead[ended] = 0
             key <<= 9
-            key |= symbols[j : n + j].astype(np.int64)
+            key |= ahead
+            ended |= ahead == 0
         self.levels += [(k, key >> 9 * (step - k)) for k in (1, 2, 4)]
+        order = np.argsort(key)
+        last = np.flatnonzero(ended)
+        alone = ended[order]
+        order[alone] = last[np.argsort(key[last], kind="stable")]
+        key = key[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]]) | alone
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        left = np.arange(n)
         while True:
-            order = np.argsort(key)
-            key = key[order]
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-            if rank[order[-1]] == n - 1 or step >= n:
+            left = left[~(first & np.append(first[1:], True))]  # places that share a rank
+            if not len(left):
                 return order
-            self.levels.append((step, rank))
-            key = rank.astype(np.int64) * (n + 1)
-            key[:-step] += rank[step:] + 1
+            self.levels.append((step, rank.copy()))
+            at = order[left]
+            key = rank[at].astype(np.int64) * n + rank[at + step]
+            sorting = np.argsort(key)
+            key = key[sorting]
+            order[left] = at = at[sorting]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[at] = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
             step *= 2
 
-    def sampled(self, at: np.ndarray, neighbour: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of the suffixes at `at` and their neighbours, streamed to every position."""
-        i, j = at.copy(), neighbour.copy()
-        length = np.zeros(len(at), np.int64)
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of the suffixes at i and at j."""
+        i, j = i.copy(), j.copy()
+        length = np.zeros(len(i), np.int64)
         for step, rank in reversed(self.levels):
-            inside = (j >= 0) & (i + step <= self.size) & (j + step <= self.size)
-            same = np.zeros(len(at), bool)
-            same[inside] = rank[i[inside]] == rank[j[inside]]
+            same = (rank[np.minimum(i, self.size - 1)] == rank[np.minimum(j, self.size - 1)]) & (np.maximum(i, j) + step <= self.size)
             length += same * step
             i += same * step
             j += same * step
+        return length
+
+    def streamed(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The samples' lengths carried on to every position."""
         value = np.full(self.size, -1, np.int64)
         value[at] = length
         nearest = np.maximum.accumulate(np.where(value >= 0, np.arange(self.size), 0))

@@ -638,6 +638,14 @@ def test_index_statistics_equal_brute_force():
     assert index.runs < index.size
 
 
+def test_index_sorts_no_further_than_its_strings():
+    rng = random.Random(8)
+    strings = ["".join(rng.choices("abc\0", k=rng.randint(20, 60))).encode() for _ in range(100)] * 2
+    index = run_index.RunIndex(strings)
+    assert max(step for step, _ in index.levels) < 60
+    assert index.matching_statistics().tolist() == [n for x in strings for n in range(len(x), -1, -1)]
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     rng = random.Random(8)
     raw = bytes(rng.choices(b"abcd", k=5000))
