@@ -13,7 +13,7 @@ are dropped. Of the others' segments, told apart by a digest within the anchor,
 Blocks of such strings, those of a row that overlap made one, are concatenated and indexed: the suffix order gives the
 Burrows-Wheeler transform, of which only the runs are kept, with the text positions at the runs' ends as samples. Matches with
 the neighbours in suffix order are measured at the samples alone; everywhere else the length of the match is one less than at
-the position before. Streaming these matching statistics over the text marks the starts of repeated strings, of `length` bytes
+the position before. Suffixes are sorted no further than `length` bytes, and those without a match of `least` left out. Streaming these matching statistics over the text marks the starts of repeated strings, of `length` bytes
 (these are removed) and of `least` bytes. A passage is a stretch that repeated strings of `least` bytes cover and that holds
 `passage_words` words or more; passages are reported and, where they are shorter than `length` bytes, not removed.
 
@@ -44,9 +44,10 @@ LENGTH = 400
 LEAST = 256
 PASSAGE_WORDS = 50
 GRAM = 64
-#: Window starts handled at once in pass one, bytes of an indexed block, and the bound on a gathered group.
+#: Window starts handled at once in pass one, bytes of an indexed block, suffix pairs compared at once, and the bound on a gathered group.
 PART = 1 << 21
 BLOCK = 1 << 20
+PAIRS = 1 << 16
 HOT_SEGMENTS = 4096
 
 POSITION_BITS = np.uint64(23)
@@ -98,91 +99,130 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def ordered(key: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits, sorted, and the places that have them, ascending before and where keys are equal."""
+    low = int(at[-1]).bit_length() if len(at) else 0
+    if bits + low > 63:
+        order = np.argsort(key, kind="stable")
+        return key[order], at[order]
+    both = np.sort(key << low | at)  # much faster than argsort
+    return both >> low, both & (1 << low) - 1
+
+
+def first_places(first: np.ndarray) -> np.ndarray:
+    """For each place the last one up to it where `first` is true."""
+    return np.maximum.accumulate(np.arange(len(first), dtype=np.int32) * first)
+
+
 class RunIndex:
-    """Run-length Burrows-Wheeler transform of some strings, with samples at the runs' ends."""
+    """Run-length Burrows-Wheeler transform of some strings, with samples at the runs' ends.
+
+    owned: ranges of starts in each string; only these are compared with each other (None: all). Their matches are exact from
+    `least` to `depth` (None: any length); shorter ones may be given too short, longer ones too short but not below `depth`."""
 
-    def __init__(self, strings: list[bytes]) -> None:
+    def __init__(self, strings: list[bytes], owned: list[list[tuple[int, int]]] | None = None, least: int = 1, depth: int | None = None) -> None:
         sizes = np.array([len(x) + 1 for x in strings])
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.size = int(self.ends[-1])
-        symbols = np.zeros(self.size + 6, np.uint64)  # 0 ends a string; bytes count from 1
-        symbols[: self.size - 1] = np.frombuffer(b"\0".join(strings), np.uint8)
-        symbols[: self.size] += np.uint64(1)
-        symbols[self.ends - 1] = 0
-        self.levels: list[tuple[int, np.ndarray]] = []
-        suffixes = self.sort(symbols)
-        before = symbols[suffixes - 1]
-        before[suffixes == 0] = 0
-        new_run = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0))  # the ends of two strings are no run
+        self.levels: list[tuple[int, int]] = []
+        raw = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
+        wanted = np.full(self.size, owned is None)
+        for start, ranges in zip(self.starts.tolist(), owned or []):
+            for lo, hi in ranges:
+                wanted[start + lo : start + hi] = True
+        suffixes, tied, reached = self.sort(raw, wanted, least, depth or int(sizes.max()))
+        # a run goes on where both suffixes have the same symbol before them and the suffixes from there are looked at, too
+        inside = np.append(False, wanted[:-1])
+        inside[self.starts] = False
+        upper, lower = suffixes[:-1], suffixes[1:]
+        new_run = np.flatnonzero((raw[upper - 1] != raw[lower - 1]) | ~inside[upper] | ~inside[lower])
         self.runs = len(new_run) + 1
         # at a run's first suffix the match with the suffix above, at its last the match with the one below
+        new_run = new_run[~(tied[new_run] & tied[new_run + 1])]
         upper, lower = suffixes[new_run], suffixes[new_run + 1]
-        shared = self.common(upper, lower)
-        self.above = self.streamed(np.append(lower, suffixes[0]), np.append(shared, 0))
-        self.below = self.streamed(np.append(upper, suffixes[-1]), np.append(shared, 0))
-
-    def sort(self, symbols: np.ndarray) -> np.ndarray:
-        """All suffixes in order, by prefix doubling from seven symbols on; keeps the ranks of each length for common prefixes.
-
-        A suffix's rank is the place of the first that it doesn't differ from yet, and only those that have such are sorted again.
-        Each string's end is a symbol of its own, the earlier the less: a suffix differs from all others once its end is reached."""
-        n, step = self.size, 7
-        key = symbols[:n].astype(np.int64)
-        ended = key == 0
-        for j in range(1, step):
-            ahead = symbols[j : n + j].astype(np.int64)
-            ahead[ended] = 0
-            key <<= 9
-            key |= ahead
-            ended |= ahead == 0
-        self.levels += [(k, key >> 9 * (step - k)) for k in (1, 2, 4)]
-        order = np.argsort(key)
-        last = np.flatnonzero(ended)
-        alone = ended[order]
-        order[alone] = last[np.argsort(key[last], kind="stable")]
-        key = key[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]]) | alone
+        shared = self.common(raw, upper, lower)
+        self.samples = np.zeros(self.size, np.int64)
+        self.samples[lower] = shared
+        self.samples[upper] = np.maximum(self.samples[upper], shared)
+        self.samples[suffixes[tied]] = reached
+
+    def sort(self, raw: np.ndarray, wanted: np.ndarray, least: int, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The wanted suffixes that may have a match of `least` in order, which of them are tied, and the symbols that these share.
+
+        By prefix doubling from four symbols on, until nothing is tied or `depth` is reached. A suffix's rank is its place among all,
+        the tied ones' that of the first. Each string's end is a symbol of its own, the earlier the less: a suffix differs from all
+        others once its end is reached.
+
+        Only what is needed is sorted again. A suffix that nothing is tied with has no longer match, nor has one that reaches it by
+        whole steps a match of `least`. The others need the ranks at whole steps from them, up to the last length."""
+        n, steps = self.size, [4]
+        while steps[-1] < depth:
+            steps.append(2 * steps[-1])
+        one = np.zeros(n + 3, np.int64)  # 0 ends a string; bytes count from 1
+        one[:n] = raw
+        one[:n] += 1
+        one[self.ends - 1] = 0
+        two = one[:-1] << 9 | one[1:]
+        key = two[:n] << 18 | two[2:]
+        alone = np.zeros(n, bool)
+        for j in range(4):
+            last = self.ends - 1 - j
+            last = last[last >= self.starts]
+            key[last] = key[last] >> 9 * (4 - j) << 9 * (4 - j)
+            alone[last] = True
+        key, at = ordered(key, np.arange(n), 36)
+        first = np.append(True, key[1:] != key[:-1]) | alone[at]
         rank = np.empty(n, np.int32)
-        rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        left = np.arange(n)
-        while True:
-            left = left[~(first & np.append(first[1:], True))]  # places that share a rank
-            if not len(left):
-                return order
-            self.levels.append((step, rank.copy()))
-            at = order[left]
-            key = rank[at].astype(np.int64) * n + rank[at + step]
-            sorting = np.argsort(key)
-            key = key[sorting]
-            order[left] = at = at[sorting]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            rank[at] = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-            step *= 2
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        rank[at] = first_places(first)
+        alone[at[first & np.append(first[1:], True)]] = True
+
+        bits = n.bit_length()
+        wanted = wanted.copy()
+        for i, step in enumerate(steps):
+            if step <= least:
+                reaching, reach = alone.copy(), step
+                while 2 * reach <= least:
+                    reaching[:-reach] |= reaching[reach:]
+                    reach *= 2
+                wanted &= ~reaching
+            needed = wanted.copy()
+            for wider in reversed(steps[i + 1 : -1]):
+                needed[wider:] |= needed[:-wider]
+            at = np.flatnonzero(needed & ~alone)
+            if step == steps[-1] or not len(at):
+                break
+            self.levels.append((step, len(at)))
+            key, at = ordered(rank[at].astype(np.int64) << bits | rank[at + step], at, 2 * bits)
+            own = key >> bits
+            first, group = np.append(True, key[1:] != key[:-1]), np.append(True, own[1:] != own[:-1])
+            rank[at] = own + first_places(first) - first_places(group)
+            alone[at[first & np.append(first[1:], True)]] = True
+        chosen = np.flatnonzero(wanted)
+        order = ordered(rank[chosen].astype(np.int64), chosen, bits)[1]
+        return order, ~alone[order], step
+
+    def common(self, raw: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of the suffixes at i and at j."""
-        i, j = i.copy(), j.copy()
+        left = np.minimum(*(self.ends[np.searchsorted(self.ends, x, "right")] - 1 - x for x in (i, j)))
         length = np.zeros(len(i), np.int64)
-        for step, rank in reversed(self.levels):
-            same = (rank[np.minimum(i, self.size - 1)] == rank[np.minimum(j, self.size - 1)]) & (np.maximum(i, j) + step <= self.size)
-            length += same * step
-            i += same * step
-            j += same * step
-        return length
-
-    def streamed(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The samples' lengths carried on to every position."""
-        value = np.full(self.size, -1, np.int64)
-        value[at] = length
-        nearest = np.maximum.accumulate(np.where(value >= 0, np.arange(self.size), 0))
-        return value[nearest] - (np.arange(self.size) - nearest)
+        width = 64
+        windows = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(width, np.uint8)), width)
+        for base in range(0, len(i), PAIRS):
+            rest = base + np.flatnonzero(left[base : base + PAIRS] > 0)
+            while len(rest):
+                at = length[rest]
+                differs = windows[i[rest] + at] != windows[j[rest] + at]
+                end = differs.any(axis=1)
+                length[rest] += np.where(end, differs.argmax(axis=1), width)
+                rest = rest[~end & (length[rest] < left[rest])]
+        return np.minimum(length, left)
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position the length of its longest match with another position; none runs over a string's end. A match that
-        would is one of strings that end together, so it's as long as what is left of the string."""
-        left = np.repeat(self.ends - 1, self.ends - self.starts) - np.arange(self.size)
-        return np.minimum(np.maximum(self.above, self.below), left)
+        """For each position the length of its longest match with another position: the samples' lengths carried on, one less at
+        each position. None runs over a string's end."""
+        place = np.arange(self.size)
+        return np.maximum.accumulate(self.samples + place) - place
 
 
 def runs_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,16 +320,20 @@ def sharing(group: list[dict], least: int) -> list[dict]:
 
 
 def marks_of(held: list[dict], length: int, least: int) -> pa.RecordBatch:
-    """What the index over these strings marks, and the kinds that it confirms. Strings of a row that overlap are made one."""
-    strings: list[list] = []  # row, t, lo, raw, kinds
+    """What the index over these strings marks, and the kinds that it confirms. Strings of a row that overlap are made one.
+
+    Of a single segment only its windows' starts are looked at; what starts behind them is in the segment of another anchor."""
+    strings: list[list] = []  # row, t, lo, raw, kinds, owned
     for x in sorted(held, key=lambda x: (x["row"], x["lo"])):
         at = x["lo"] - strings[-1][2] if strings and strings[-1][0] == x["row"] else None
         if at is not None and at <= len(strings[-1][3]):
             strings[-1][3] += x["raw"][len(strings[-1][3]) - at :]
             strings[-1][4] += x["kinds"]
         else:
-            strings.append([x["row"], x["t"], x["lo"], bytearray(x["raw"]), list(x["kinds"])])
-    index = RunIndex([bytes(x[3]) for x in strings])
+            at = 0
+            strings.append([x["row"], x["t"], x["lo"], bytearray(x["raw"]), list(x["kinds"]), []])
+        strings[-1][5].append((at, at + (len(x["raw"]) if x["twin"] else x["span"] + 1)))
+    index = RunIndex([bytes(x[3]) for x in strings], [x[5] for x in strings], least, length)
     found = index.matching_statistics()
     out: list[tuple] = []
     missed = []
@@ -300,7 +344,7 @@ def marks_of(held: list[dict], length: int, least: int) -> pa.RecordBatch:
         for s, a, b in zip(np.searchsorted(index.ends, first, "right").tolist(), first.tolist(), end.tolist()):
             base = strings[s][2] - int(index.starts[s])
             out.append((level, strings[s][1], base + a, base + b - 1 + level, None, None))
-    for s, (_, _, lo, raw, kinds) in enumerate(strings):
+    for s, (_, _, lo, _, kinds, _) in enumerate(strings):
         base = int(index.starts[s]) - lo
         for k in kinds:
             a, b = k["lo"] + base, k["lo"] + k["span"] + 1 + base

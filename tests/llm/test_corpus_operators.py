@@ -646,6 +646,26 @@ def test_index_sorts_no_further_than_its_strings():
     assert index.matching_statistics().tolist() == [n for x in strings for n in range(len(x), -1, -1)]
 
 
+def test_index_sorts_only_what_can_be_repeated():
+    rng = random.Random(9)
+    noise = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    long, short = noise(3000), noise(300)
+    strings = [noise(2000) + long + noise(2000), long, noise(2000) + short, short + noise(2000)]
+    index = run_index.RunIndex(strings, None, 256, 400)
+    got = index.matching_statistics()
+    assert max(step for step, _ in index.levels) < 400
+    assert index.levels[-1][1] < 7000 < index.size / 2
+    for level in (256, 400):
+        want = {(s, i) for s, base in ((0, 2000), (1, 0)) for i in range(base, base + 3001 - level)}
+        want |= {(s, i) for s, base in ((2, 2000), (3, 0)) for i in range(base, base + 301 - level)}
+        assert {(s, i) for s, x in enumerate(strings) for i in range(len(x)) if got[index.starts[s] + i] >= level} == want
+    # matches of owned starts alone, the others' ranks are needed for them
+    index = run_index.RunIndex(strings, [[(2500, 2600)], [(400, 450), (500, 600)], [], []], 256, 400)
+    got = index.matching_statistics()
+    assert (got[2500:2600] >= 400).all() and (got[index.starts[1] + 500 : index.starts[1] + 600] >= 400).all()
+    assert index.levels[-1][1] <= 250
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     rng = random.Random(8)
     raw = bytes(rng.choices(b"abcd", k=5000))
