@@ -1,17 +1,21 @@
 """String similarities.
 
 Set and number comparisons are built-in expressions. The edit-based scores have no built-in form; they are Arrow functions that
-score each distinct pair of a batch once. Longest common subsequences use one big-integer row (bit-parallel)."""
+score each distinct pair of a batch once. Each has a plain form for one pair, with longest common subsequences from one big-integer
+row (bit-parallel), and one for many short pairs at once (batch.py), which gives the same values."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import batch
 from tessera.functions.text import tokens
 
 
@@ -142,27 +146,105 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + min(prefix, 4) * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-def scorer(f: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+Strings = list[str]
+
+#: by_tokens() and the tokens of a text that many pairs have.
+ordered = lru_cache(1 << 14)(by_tokens)
+words_of = lru_cache(1 << 14)(lambda x: frozenset(x.split()))
+
+
+def many_ratios(a: Strings, b: Strings) -> np.ndarray:
+    def score(a: Strings, b: Strings) -> np.ndarray:
+        return 100 * (2 * batch.common(a, b) / batch.lengths(a, b).sum(axis=0))
+
+    return batch.scored(ratio, score, a, b, [x == y for x, y in zip(a, b)], 100.0)
+
+
+def many_partial_ratios(a: Strings, b: Strings) -> np.ndarray:
+    known = [x in y or y in x for x, y in zip(a, b)]  # an empty string is in any, but only in another empty one for 100
+    out = batch.scored(partial_ratio, lambda a, b: 100 * batch.best_windows(a, b), a, b, known, 100.0)
+    out[[bool(x) != bool(y) for x, y in zip(a, b)]] = 0.0
+    return out
+
+
+def many_token_sort_ratios(a: Strings, b: Strings) -> np.ndarray:
+    return many_ratios([ordered(x) for x in a], [ordered(x) for x in b])
+
+
+def many_token_set_ratios(a: Strings, b: Strings) -> np.ndarray:
+    """The tokens in common are a prefix of either side; so they are counted, and the rest is compared."""
+    out, at, left, right, before = np.zeros(len(a)), [], [], [], []
+    for i, (x, y) in enumerate(zip(map(words_of, a), map(words_of, b))):
+        both = x & y
+        if both and (len(both) == len(x) or len(both) == len(y)):
+            out[i] = 100.0
+        elif x and y:
+            at.append(i)
+            left.append(" ".join(sorted(x - both)))
+            right.append(" ".join(sorted(y - both)))
+            before.append(sum(map(len, both)) + len(both) if both else 0)  # with a space behind each
+    if at:
+        same, own = np.array(before), batch.lengths(left, right)
+        rest = batch.scored(lcs, batch.common, left, right, None, 0)
+        whole = 2 * (same + rest) / (own + same).sum(axis=0)
+        alone = 2 * (same - 1) / np.maximum(same - 1 + own + same, 1)
+        out[at] = 100 * np.where(same > 0, np.maximum(whole, alone.max(axis=0)), whole)
+    return out
+
+
+def many_partial_token_ratios(a: Strings, b: Strings) -> np.ndarray:
+    out, at = np.zeros(len(a)), []
+    for i, (x, y) in enumerate(zip(map(words_of, a), map(words_of, b))):
+        if x & y:
+            out[i] = 100.0
+        elif x and y:
+            at.append(i)
+    if at:
+        x, y = [a[i] for i in at], [b[i] for i in at]
+        alone = [[" ".join(sorted(words_of(t))) for t in side] for side in (x, y)]
+        out[at] = np.maximum(many_partial_ratios([ordered(t) for t in x], [ordered(t) for t in y]), many_partial_ratios(*alone))
+    return out
+
+
+def many_weighted_ratios(a: Strings, b: Strings) -> np.ndarray:
+    sizes = batch.lengths(a, b)
+    least, most = sizes.min(axis=0), sizes.max(axis=0)
+    lengths = most / np.maximum(least, 1)
+    plain = many_ratios(a, b)
+    out = np.zeros(len(a))
+    near, far = np.flatnonzero((least > 0) & (lengths < 1.5)), np.flatnonzero((least > 0) & (lengths >= 1.5))
+    of = lambda f, at: f([a[i] for i in at], [b[i] for i in at])
+    if len(near):
+        out[near] = np.maximum(plain[near], 0.95 * np.maximum(of(many_token_sort_ratios, near), of(many_token_set_ratios, near)))
+    if len(far):
+        scale = np.where(lengths[far] <= 8, 0.9, 0.6)
+        out[far] = np.maximum(plain[far], np.maximum(scale * of(many_partial_ratios, far), 0.95 * scale * of(many_partial_token_ratios, far)))
+    return out
+
+
+def many_jaro_winklers(a: Strings, b: Strings) -> np.ndarray:
+    return batch.scored(jaro_winkler, batch.jaro_winklers, a, b, [x == y for x, y in zip(a, b)], 1.0)
+
+
+def scorer(many: Callable[[Strings, Strings], np.ndarray]) -> Callable[[Column, Column], Column]:
     @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        memo: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a.fillna(""), b.fillna("")):
-            if pair not in memo:
-                memo[pair] = f(*pair)
-            out.append(memo[pair])
-        return pd.Series(out, dtype="float64")
+        places: dict[tuple[str, str], int] = {}
+        at = [places.setdefault(pair, len(places)) for pair in zip(a.fillna(""), b.fillna(""))]
+        if not at:
+            return pd.Series([], dtype="float64")
+        return pd.Series(many([x for x, _ in places], [y for _, y in places])[at])
 
     return score
 
 
 SCORERS = {
-    "ratio": scorer(ratio),
-    "partial_ratio": scorer(partial_ratio),
-    "token_sort_ratio": scorer(token_sort_ratio),
-    "token_set_ratio": scorer(token_set_ratio),
-    "weighted_ratio": scorer(weighted_ratio),
-    "jaro_winkler": scorer(jaro_winkler),
+    "ratio": scorer(many_ratios),
+    "partial_ratio": scorer(many_partial_ratios),
+    "token_sort_ratio": scorer(many_token_sort_ratios),
+    "token_set_ratio": scorer(many_token_set_ratios),
+    "weighted_ratio": scorer(many_weighted_ratios),
+    "jaro_winkler": scorer(many_jaro_winklers),
 }
 
 
@@ -227,7 +309,7 @@ def number_relation(a: Column, b: Column) -> Column:
 TYPO = 0.88
 
 
-def align(a: list[str], b: list[str]) -> tuple[list[str], list[str], int, int]:
+def align(a: list[str], b: list[str], alike: Callable[[str, str], float] = jaro_winkler) -> tuple[list[str], list[str], int, int]:
     """Tokens of a without a partner, tokens of b without one, equal partners, partners that are typos of each other.
 
     Each token of a in turn takes an equal token of b, else the most alike one (the first of equals) from TYPO up."""
@@ -237,21 +319,39 @@ def align(a: list[str], b: list[str]) -> tuple[list[str], list[str], int, int]:
             left.remove(t)
             equal += 1
             continue
-        alike = max(left, key=lambda u: jaro_winkler(t, u), default=None)
-        if alike is not None and jaro_winkler(t, alike) >= TYPO:
-            left.remove(alike)
+        best, near = TYPO, None
+        for u in left:
+            if (x := alike(t, u)) > best or near is None and x >= TYPO:
+                best, near = x, u
+        if near is not None:
+            left.remove(near)
             typos += 1
         else:
             missing.append(t)
     return missing, left, equal, typos
 
 
+def aligned(pairs: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> list[tuple[list[str], list[str], int, int]]:
+    """align() of each pair; the likeness of each two tokens that may be compared is computed once."""
+    met: dict[tuple[str, str], float] = {}
+    for a, b in pairs:
+        for t in a:
+            if t not in b:
+                for u in b:
+                    met[t, u] = 0.0
+    if met:
+        met = dict(zip(met, many_jaro_winklers([t for t, _ in met], [u for _, u in met]).tolist()))
+    alike = lambda t, u: met[t, u] if (t, u) in met else jaro_winkler(t, u)
+    return [align(list(a), list(b), alike) for a, b in pairs]
+
+
 ALIGNED = T.StructType([T.StructField(x, T.ArrayType(T.StringType())) for x in ("missing", "extra")] + [T.StructField(x, T.IntegerType()) for x in ("n_exact", "n_typo")])
 
 
 @F.pandas_udf(ALIGNED)
 def alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Greedy alignment of two columns of token arrays."""
-    rows = [align(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["missing", "extra", "n_exact", "n_typo"])
-
+    places: dict[tuple, int] = {}
+    at = [places.setdefault((tuple(x) if x is not None else (), tuple(y) if y is not None else ()), len(places)) for x, y in zip(a, b)]
+    rows = aligned(list(places))
+    return pd.DataFrame([rows[i] for i in at], columns=["missing", "extra", "n_exact", "n_typo"])

@@ -105,7 +105,7 @@ def candidates(s1: DataFrame, pool: DataFrame, requested: DataFrame | None = Non
     Ranks count all S1 rows; requested (entity_id) then keeps some of them."""
     forward = forward or {"name": 10, "addr": 15, "name_addr": 20}
     reverse = reverse or {"name": 3, "addr": 3, "name_addr": 5}
-    s1, pool = partition_keys(s1, pool)
+    s1, pool = (settled(x.select("entity_id", "country", "part", "name_core", "name_sorted", "addr_clean", "house", "street", "city")) for x in partition_keys(s1, pool))
     legs = []
     for name, k in forward.items():
         a, b = (x.select(F.col("entity_id").alias("id"), F.col("country").alias("region"), "part", view(name).alias("text")) for x in (s1, pool))

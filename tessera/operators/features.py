@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import SCORERS, containment, flag, house_features, jaccard, legal_state, levenshtein_similarity, three_way, token_set
+from tessera.operators.learn import EDIT_COUNTS, EDITS, edits
 
 FIELDS = ["name_clean", "name_core", "name_sorted", "name_concat", "legal", "addr_clean", "addr_nums", "house", "street", "city", "state", "postcode"]
 
@@ -17,8 +18,9 @@ def attach(pairs: DataFrame, records: DataFrame, key: str, suffix: str, extra: l
     return pairs.join(side, key, "left").na.fill("", [c + suffix for c in FIELDS])
 
 
-def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
-    """All comparison features of (s1, cand, ...); other columns stay. s1, pool: entity_id and normalised columns; pool: is_domain, src."""
+def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, with_edits: bool = False) -> DataFrame:
+    """All comparison features of (s1, cand, ...), and if wanted the token edits that the context reads; other columns stay. s1, pool:
+    entity_id and normalised columns; pool: is_domain, src."""
     df = attach(attach(pairs, s1, "s1", "_a"), pool, "cand", "_b", ["is_domain", "src"])
     a, b = (lambda c: F.col(c + "_a")), (lambda c: F.col(c + "_b"))
     s = SCORERS
@@ -69,7 +71,9 @@ def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame
     }
     same = s1.groupBy("name_sorted").agg(F.count("*").cast("int").alias("n_s1_same_name"))
     df = df.join(same.withColumnRenamed("name_sorted", "name_sorted_a"), "name_sorted_a", "left").na.fill(0, ["n_s1_same_name"])
-    return df.select(*pairs.columns, *(c.alias(k) for k, c in features.items()), "n_s1_same_name")
+    more = [*EDITS, *EDIT_COUNTS] if with_edits else []
+    df = edits(df) if with_edits else df
+    return df.select(*pairs.columns, *(c.alias(k) for k, c in features.items()), "n_s1_same_name", *more)
 
 
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -98,10 +98,11 @@ def llr_table_oof(df: DataFrame, kinds: list[str], least: int = 3) -> DataFrame:
     return out.select("kind", "word", "fold", log_ratio(F.col("op"), F.col("on"), F.col("P") - F.col("fp"), F.col("N") - F.col("fn")).alias("llr"))
 
 
-def llr_features(df: DataFrame, table: DataFrame, kinds: list[str], keys: list[str]) -> DataFrame:
-    """e_llr_<kind>_sum, e_llr_<kind>_min and e_unk_<kind> of each row; a table with a fold is matched on it."""
+def llr_features(df: DataFrame, table: DataFrame, kinds: list[str], keys: list[str], source: DataFrame | None = None) -> DataFrame:
+    """e_llr_<kind>_sum, e_llr_<kind>_min and e_unk_<kind> of each row; a table with a fold is matched on it. source: where the rows'
+    words are read, if that is less work than df."""
     by = ["kind", "word", *(["fold"] if "fold" in table.columns else [])]
-    words = df.select(*keys, *by[2:], F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("words")) for k in kinds))).alias("e")).select(*keys, *by[2:], "e.kind", F.explode("e.words").alias("word"))
+    words = (df if source is None else source).select(*keys, *by[2:], F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("words")) for k in kinds))).alias("e")).select(*keys, *by[2:], "e.kind", F.explode("e.words").alias("word"))
     known = words.join(table, by, "left")
     aggs = []
     for k in kinds:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocking, context, decide, features, learn, models
 from tessera.operators.context import Evidence
-from tessera.session import settled
+from tessera.session import settled, stored
 from tessera.sources import io
 
 GRID = [round(0.30 + 0.02 * i, 2) for i in range(33)]
-KEYS = ("s1", "cand", "y", "fold", "p")
+KEYS = ("s1", "cand", "y", "fold", "p", *learn.EDITS, *learn.EDIT_COUNTS)  # edits are context, which the first stage doesn't read
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,10 @@ def fit(train: DataFrame, validation: DataFrame, truth: DataFrame, ids: DataFram
     The second stage learns from scores and word tables that never saw the row's fold, as it will meet them on new pairs."""
     first, second = first or {}, second or {}
     columns = feature_columns(train)
-    train, validation = settled(train), settled(validation)
+    train, validation = stored(train), stored(validation)
     scored = models.out_of_fold(train, columns, **first)
     one = models.fit(train, columns, **first)
-    own = settled(context.build(scored, evidence, least))
+    own = stored(context.build(scored, evidence, least))
     by_fold = learn.llr_table_oof(own.select("fold", "y", *learn.EDITS), learn.EDITS)
     tables = settled(learn.llr_table(own.select("fold", "y", *learn.EDITS), learn.EDITS))
     told = learn.llr_features(own, by_fold, learn.EDITS, ["s1", "cand"])
@@ -75,7 +75,7 @@ def fit(train: DataFrame, validation: DataFrame, truth: DataFrame, ids: DataFram
 
 def score(trained: Trained, pairs: DataFrame, evidence: Evidence, least: float = 0.01) -> DataFrame:
     """The pairs that the first stage leaves, with p, their context and p2. pairs: s1, cand and features."""
-    one = settled(models.predict(trained.first, pairs, trained.columns, least=least))
+    one = models.predict(trained.first, pairs, trained.columns, least=least)  # build() writes it
     told = context.build(one, replace(evidence, tables=trained.tables), least)
     return models.predict(trained.second, told, trained.context_columns, "p2")
 
@@ -112,7 +112,7 @@ def link(s1: DataFrame, pool: DataFrame, truth: DataFrame, train: DataFrame, val
     Returns the models, the pairs that the second stage scored (s1, cand, p, p2) and the matches (s1, cand)."""
     requested = s1.select("entity_id") if requested is None else requested
     parts, _ = candidate_parts(s1, pool, {"every": s1.select("entity_id")}, dense=dense)
-    table = settled(features.labelled(features.pair_features(parts["every"], s1, pool), truth))
+    table = stored(features.labelled(features.pair_features(parts["every"], s1, pool, with_edits=True), truth))
     of = lambda df, ids: df.join(ids.select(F.col("entity_id").alias("s1")), "s1", "left_semi")
     evidence = Evidence(s1, pool)
     ids = validation.select(F.col("entity_id").alias("s1"))

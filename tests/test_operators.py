@@ -1,5 +1,7 @@
 """Blocking, dense search, learned tables, sources, models and augmentation on small data."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -324,3 +326,17 @@ def test_a_group_of_copies_sends_no_more_than_the_best_of_each_side(spark):
     copies = v.where("id < 200")
     found = grams.nearest(copies.where("id % 4 = 0"), copies, 5)
     assert sorted((r.s1, r.cand) for r in found.collect()) == [(a, b) for a in range(0, 200, 4) for b in range(5)]
+
+
+def test_grams_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc \té𝄞") for _ in range(rng.choice([0, 1, 3, 30, 90]))) for _ in range(400)] + ["", " "]
+    monkeypatch.setattr(grams, "LETTERS", 300)
+    got, end = {}, 0
+    for begin, stop, rows, keys, tf in grams.all_grams(texts):
+        assert begin == end
+        end = stop
+        for row, key, n in zip(rows.tolist(), keys.tolist(), tf.tolist()):
+            got.setdefault(row, []).append((key, n))
+    assert end == len(texts)
+    assert [got.get(i, []) for i in range(len(texts))] == [list(zip(*(x.tolist() for x in grams.grams(t)))) for t in texts]

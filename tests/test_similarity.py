@@ -134,3 +134,17 @@ def test_score_family_equals_plain_forms():
         a, b = rng.choice(names), rng.choice(names)
         for name, f in plain.items():
             assert getattr(S, name)(a, b) == pytest.approx(f(a, b)), (name, a, b)
+
+
+def test_scores_of_many_are_those_of_each():
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("abc 01é漢") for _ in range(rng.choice([0, 1, 2, 5, 9, 20, 20, 30, 140 if rng.random() < 0.05 else 12])))
+    a, b = [text() for _ in range(900)], [text() for _ in range(900)]
+    for i in range(0, 900, 3):
+        b[i] = a[i].replace("a", rng.choice("abc"), 1)
+    for name in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "partial_token_ratio", "weighted_ratio", "jaro_winkler"):
+        one, many = getattr(S, name), getattr(S, f"many_{name}s")
+        assert many(a, b).tolist() == [one(x, y) for x, y in zip(a, b)], name
+        assert many(a[:5], b[:5]).tolist() == [one(x, y) for x, y in zip(a[:5], b[:5])], name
+    pairs = [(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)]
+    assert S.aligned(pairs) == [S.align(list(x), list(y)) for x, y in pairs]

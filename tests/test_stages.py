@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import context, decide, learn, models, stages
+from tessera.operators import context, decide, features, learn, models, stages
 from tessera.plans import linkage
 from tessera.session import reach
 from tessera.sources import io
@@ -118,3 +118,19 @@ def test_hybrid_wants_equal_candidates(spark):
     assert {tuple(r) for r in got.collect()} == {("a", "1"), ("b", "8")}
     with pytest.raises(ValueError):
         io.hybrid(lists, other, lists, candidates=(lists, other))
+
+
+def test_context_scores_names_once_for_each_part(spark):
+    """Python runs once for siblings and once for clusters, however many parts read the ranks; edits that are there aren't made again."""
+    reach(spark)
+    rows = [(i, *["x y"] * len(features.FIELDS), "US") for i in (1, 2, 11, 12)]
+    df = spark.createDataFrame(rows, ", ".join(["entity_id long", *(f"{c} string" for c in features.FIELDS), "country string"]))
+    s1, pool = df.where("entity_id < 10"), df.where("entity_id > 10").withColumns({"src": F.lit(2), "is_domain": F.lit(0)})
+    pairs = spark.createDataFrame([(1, 11, 0.9), (1, 12, 0.4), (2, 12, 0.3)], "s1 long, cand long, p double")
+    plain = context.build(pairs, context.Evidence(s1, pool))
+    table = features.pair_features(pairs, s1, pool, with_edits=True)
+    assert not {*learn.EDITS, *learn.EDIT_COUNTS} & set(stages.feature_columns(table))
+    given = context.build(table.select(*pairs.columns, *learn.EDITS, *learn.EDIT_COUNTS), context.Evidence(s1, pool))
+    assert given.columns == plain.columns and sorted(map(tuple, given.collect())) == sorted(map(tuple, plain.collect()))
+    plan = given._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
